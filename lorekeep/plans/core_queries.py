@@ -1,0 +1,53 @@
+"""Registered queries of the core, each over its whole tables, with the equivalent SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lorekeep.operators import delivery
+from lorekeep.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+_KEYED = """
+WITH t AS (
+  SELECT delivery_id, lower(regexp_replace(sessionId, '^\\s+|\\s+$', '', 'g')) AS session_id,
+         CASE WHEN regexp_matches(lastUpdatedAt, '^[0-9]+$') THEN epoch_ms(CAST(lastUpdatedAt AS BIGINT))
+              WHEN regexp_matches(lastUpdatedAt, '([zZ]|[+-][0-9]{2}:?[0-9]{2})$') AND regexp_matches(lastUpdatedAt, '[T ][0-9]')
+                THEN CAST(CAST(lastUpdatedAt AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP)
+              ELSE CAST(lastUpdatedAt AS TIMESTAMP) END AS u,
+         CASE WHEN regexp_matches(createdAt, '^[0-9]+$') THEN epoch_ms(CAST(createdAt AS BIGINT))
+              WHEN regexp_matches(createdAt, '([zZ]|[+-][0-9]{2}:?[0-9]{2})$') AND regexp_matches(createdAt, '[T ][0-9]')
+                THEN CAST(CAST(createdAt AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP)
+              ELSE CAST(createdAt AS TIMESTAMP) END AS c,
+         status, batch_date, coalesce(len(conversation), 0) AS n_messages
+  FROM sessions),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(u, c) DESC NULLS LAST, delivery_id) AS rn
+      FROM t WHERE session_id <> '')
+"""
+
+
+@query("p5_found", _KEYED + "SELECT session_id, delivery_id FROM r WHERE rn > 1")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delivery.surplus_deliveries(table(spark, sf_dir, "sessions"))
+
+
+@query("p5_sessions", _KEYED + "SELECT session_id, delivery_id, status, batch_date, n_messages FROM r WHERE rn = 1")
+def p5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of each session; ``n_messages`` stands for the conversation so that the rows can be compared by hash."""
+    kept = delivery.latest_sessions(table(spark, sf_dir, "sessions"))
+    return kept.selectExpr("session_id", "delivery_id", "status", "batch_date", "cast(if(conversation is null, 0, size(conversation)) as bigint) as n_messages")
