@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import conversations
+from lorekeep.llm import conversations, tokens
 from lorekeep.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p2_conversations")
 def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversation_parts(table(spark, sf_dir, "cursor_disk_kv"))
+
+
+@query("p6_ids")
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
