@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import conversations, tokens
+from lorekeep.llm import conversations, stuffing, tokens
 from lorekeep.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,17 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "page_labels"))
+
+
+@query("p8_scores")
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = stuffing.fit(documents, table(spark, sf_dir, "page_labels"))
+    if model is None:
+        raise ValueError("the labels lack pages of one kind")
+    return stuffing.page_scores(documents, model)
