@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import conversations, stuffing, tokens
+from lorekeep.llm import conversations, near_duplicates, stuffing, tokens
 from lorekeep.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,13 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     if model is None:
         raise ValueError("the labels lack pages of one kind")
     return stuffing.page_scores(documents, model)
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar_notes(table(spark, sf_dir, "memories"))
+
+
+@query("p3_groups")
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.note_groups(table(spark, sf_dir, "memories"))
