@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import conversations, near_duplicates, stuffing, tokens
+from lorekeep.llm import conversations, mixing, near_duplicates, stuffing, tokens
 from lorekeep.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p3_groups")
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.note_groups(table(spark, sf_dir, "memories"))
+
+
+@query("p7_mix")
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p7_shares")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
