@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import conversations, mixing, near_duplicates, stuffing, tokens
-from lorekeep.session import table
+from lorekeep.llm import conversations, mixing, near_duplicates, secrets, stuffing, texts, tokens
+from lorekeep.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,17 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p7_shares")
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def _secret_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(texts.units(table(spark, sf_dir, "sessions"), table(spark, sf_dir, "memories"), table(spark, sf_dir, "tasks")), "units")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(_secret_units(spark, sf_dir))
+
+
+@query("p4_redacted")
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redact(_secret_units(spark, sf_dir))
