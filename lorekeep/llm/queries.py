@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import conversations, mixing, near_duplicates, secrets, stuffing, texts, tokens
+from lorekeep.llm import conversations, mixing, near_duplicates, personal, secrets, stuffing, texts, tokens
 from lorekeep.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p4_redacted")
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redact(_secret_units(spark, sf_dir))
+
+
+def _personal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(texts.units(table(spark, sf_dir, "sessions"), table(spark, sf_dir, "memories")), "units")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.items(_personal_units(spark, sf_dir), table(spark, sf_dir, "name_list"))
+    return found.select("src", "record_id", "msg_pos", "pii_type", "nth")
+
+
+@query("p1_redacted")
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redact(_personal_units(spark, sf_dir), table(spark, sf_dir, "name_list"))
