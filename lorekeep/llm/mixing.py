@@ -206,7 +206,8 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int
     docs = written(encoded(documents, targets), "encoded")
     shares = _planned(docs, targets, block)
     chosen = slots(documents.sparkSession, shares, shard, seed)
-    return chosen.join(packed_blocks(docs, block), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "n_tokens", "tokens")
+    # both sides grow with the data, whatever the planner makes of the slots' size
+    return chosen.hint("merge").join(packed_blocks(docs, block), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "n_tokens", "tokens")
 
 
 def shares(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
