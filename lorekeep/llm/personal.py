@@ -54,9 +54,11 @@ _ID = re.compile(
     | \d{3}-\d{2}-\d{4}
     | [A-CEGHJ-PRQTW-Z][A-Z]\ ?\d{2}\ ?\d{2}\ ?\d{2}\ ?[A-D]
     | [A-Z]{1,2}\d{7,8}
+    | (?:\d{8}|[XYZ]\d{7})-?[A-HJ-NP-TV-Z]
     )(?![A-Za-z0-9_]|-\d)""",
     re.X,
 )
+_LOOSE_ID = re.compile(r"(?<![A-Za-z0-9_.\-/@#])(?=[A-Z\-]{0,6}\d)[A-Z0-9][A-Z0-9\-]{5,18}[A-Z0-9](?![A-Za-z0-9_]|[.\-/]\w)")
 _UP = "A-ZÀ-ÖØ-ÞŁŚŽ"
 _LOW = "a-zß-öø-ÿłśž"
 _TOWN = rf"[{_UP}][{_LOW}]+(?:[ \-][{_UP}][{_LOW}]+)?"
@@ -76,7 +78,7 @@ _ADDRESS = re.compile(
 
 _T = rf"(?:[{_UP}][{_LOW}]+|[{_UP}]{{2,}})"
 _FAMILY = rf"(?:(?:[Vv]an der|VAN DER|[Vv]an|[Vv]on|[Dd]e|[Dd]e la|[Dd]i) )?(?:[OD]['’])?{_T}(?:-{_T})?"
-_CAPS = re.compile(rf"(?<![A-Za-z0-9_À-ÿŁł`/.\-]){_T}(?:-{_T})?(?:,? (?:[{_UP}]\.|{_FAMILY}))+(?![a-zA-Z0-9_/`(])")
+_CAPS = re.compile(rf"(?<![A-Za-z0-9_À-ÿŁł`/.\-]){_FAMILY}(?:,? (?:[{_UP}]\.|{_FAMILY}))+(?![a-zA-Z0-9_/`(])")
 _PART = re.compile(rf"[{_UP}]\.|{_FAMILY}")
 _PREFIX = re.compile(r"^(?:(?:van der|van|von|de la|de|di) )?(?:[od]['’])?", re.I)
 _TOKEN = re.compile(r"[A-Za-zÀ-ÿŁł]+|\d+|[一-鿿]|[^\sA-Za-z\d]")
@@ -174,9 +176,10 @@ class Scanner:
         for kind, a, b in taken:
             out.append((kind, a, b, True, "", "", *_context(text, a, b)))
         if digits:
-            for m in _LOOSE_PHONE.finditer(text):
-                if 7 <= sum(c.isdigit() for c in m.group()) <= 15 and all(m.end() <= x or m.start() >= y for _, x, y in taken):
-                    out.append(("phone", *m.span(), False, "", "", *_context(text, *m.span())))
+            for kind, form, least in (("phone", _LOOSE_PHONE, 7), ("id_number", _LOOSE_ID, 5)):
+                for m in form.finditer(text):
+                    if least <= sum(c.isdigit() for c in m.group()) <= 18 and all(m.end() <= x or m.start() >= y for _, x, y in taken):
+                        out.append((kind, *m.span(), False, "", "", *_context(text, *m.span())))
         mails = [(a, b) for kind, a, b in taken if kind in ("email", "address")]
         for a, b, given, family in (*_latin(text), *self._han(text)):
             if all(b <= x or a >= y for x, y in mails):
@@ -237,7 +240,7 @@ def bootstrap(found: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple
         half = graph.join(trusted.select("left", "right"), ["left", "right"])
         given = cut(given.unionByName(half.where("f is not null and g is null and second is null").select(F.col("first").alias("key"))).distinct())
         family = cut(family.unionByName(half.where("g is not null and f is null").select(F.col("family").alias("key"))).distinct())
-    numbers = found.where("kind = 'phone'").groupBy("kind", "left", "right").agg(F.count("*").alias("all"), F.count(F.when(F.col("sure"), 1)).alias("known"))
+    numbers = found.where("kind in ('phone', 'id_number')").groupBy("kind", "left", "right").agg(F.count("*").alias("all"), F.count(F.when(F.col("sure"), 1)).alias("known"))
     numbers = numbers.where((F.col("known") >= SURE_KNOWN) & (F.col("known") >= SURE_SHARE * F.col("all"))).select("kind", "left", "right")
     return given, family, cut(sure.unionByName(numbers))
 
