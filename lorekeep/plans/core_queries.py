@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import cleaning, text
-from lorekeep.operators import bm25, delivery, notes, recall, sessions
+from lorekeep.operators import bm25, delivery, notes, recall, sessions, topics
 from lorekeep.session import table
+from lorekeep.sources import chatlogs, markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -521,3 +522,66 @@ def remote_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "memories").where("project_key like '%/%'").select("project_key").distinct()
     remote = F.concat(F.lit("git@"), F.upper(F.substring_index("project_key", "/", 1)), F.lit(":"), F.expr("substring(project_key, instr(project_key, '/') + 1)"), F.lit(".git"))
     return own.select("project_key", text.remote_key(remote).alias("key"), text.directory(F.col("project_key")).alias("directory"))
+
+
+# --- sources and texts ------------------------------------------------------------------------------------------------
+
+
+@query(
+    "agent_messages",
+    """WITH l AS (SELECT key, arg_max(value, snapshot_at) AS value FROM cursor_disk_kv GROUP BY key),
+c AS (SELECT substring(key, 14) AS session_id FROM l WHERE key LIKE 'composerData:%' AND value IS NOT NULL),
+a AS (SELECT key, TRY_CAST(value AS JSON) AS j FROM l WHERE key LIKE 'agentKv:blob:%')
+SELECT session_id, key, j ->> '$.role' AS role, coalesce(nullif(j ->> '$.text', ''), j ->> '$.content') AS content
+FROM a JOIN c ON contains(substring(a.key, 14), c.session_id)
+WHERE j ->> '$.role' IN ('user', 'assistant') AND coalesce(nullif(j ->> '$.text', ''), j ->> '$.content') <> ''""",
+)
+def agent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatlogs.agent_messages(table(spark, sf_dir, "cursor_disk_kv"))
+
+
+@query("kv_kinds", "SELECT split_part(key, ':', 1) AS kind, count(*) AS n, count(DISTINCT key) AS keys FROM cursor_disk_kv WHERE key NOT LIKE 'composer.content.%' GROUP BY 1")
+def kv_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "cursor_disk_kv").where("key not like 'composer.content.%'")
+    once = rows.groupBy("key").agg(F.count("*").alias("n"))
+    return once.groupBy(F.substring_index("key", ":", 1).alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
+
+
+@query("frontmatter_roundtrip")
+def frontmatter_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes written as files' texts and read again: ``id`` and whether title, tags, origin and body came back."""
+    own = recall.one_of_each(table(spark, sf_dir, "memories"))
+    back = markdown.from_texts(markdown.as_texts(own)).select("id", F.struct("scope", "value", "source", "tags", "origin", "body").alias("b"))
+    fields = [F.nullif(c, F.lit("")).alias(c) for c in ("scope", "value", "source")]
+    mine = own.select("id", F.struct(*fields, F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "origin", F.ltrim(F.lit("\n"), F.coalesce("body", F.lit(""))).alias("body")).alias("a"))
+    return mine.join(back, "id").select("id", *((F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"same_{c}") for c in ("scope", "value", "source", "tags", "body")))
+
+
+@query("marked_blocks", f"""SELECT doc_id, md5(CASE WHEN text IS NULL THEN e'<!-- a -->\\nlist\\n<!-- z -->\\n' ELSE text || CASE WHEN ends_with(text, e'\\n\\n') THEN '' WHEN ends_with(text, e'\\n') THEN e'\\n' ELSE e'\\n\\n' END || e'<!-- a -->\\nlist\\n<!-- z -->\\n' END) AS digest FROM documents""")
+def marked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block added to each text, then replaced by another of the same marks."""
+    once = notes.with_block(F.col("text"), F.lit("old list"), "<!-- a -->", "<!-- z -->")
+    return _documents(spark, sf_dir).select("doc_id", F.md5(notes.with_block(once, F.lit("list"), "<!-- a -->", "<!-- z -->")).alias("digest"))
+
+
+@query("url_texts", "SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def url_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts percent-encoded and decoded again."""
+    coded = F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))
+    return _documents(spark, sf_dir).where("text is not null").select("doc_id", F.md5(text.url_text(coded)).alias("digest"))
+
+
+@query(
+    "topic_notes",
+    f"""SELECT 'personal' AS scope, title, NULL AS project_key, CASE WHEN value IN ('high', 'low') THEN value ELSE 'medium' END AS value, array_to_string(list_slice(coalesce(tags, []), 1, 6), ' ') AS tags
+FROM ({_NOTE}) WHERE scope <> 'project' UNION ALL SELECT CASE WHEN project_key IS NULL THEN 'personal' ELSE 'project' END, title, project_key, CASE WHEN value IN ('high', 'low') THEN value ELSE 'medium' END, array_to_string(list_slice(coalesce(tags, []), 1, 6), ' ') FROM ({_NOTE}) WHERE scope = 'project'""",
+)
+def topic_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = recall.one_of_each(table(spark, sf_dir, "memories")).withColumn("should_keep", F.lit(None).cast("boolean"))
+    made = topics.to_notes(topics.kept(own), "2026-07-01")
+    return made.select("scope", "title", "project_key", "value", F.array_join("tags", " ").alias("tags"))
+
+
+@query("best_of_each", "SELECT source, max(n_chars) AS n_chars, arg_min(doc_id, struct_pack(a := -n_chars, b := doc_id)) AS doc_id FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL GROUP BY source")
+def best_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.best_of(_documents(spark, sf_dir).where("source is not null and n_chars is not null").select("doc_id", "source", "n_chars"), "source", "n_chars")
