@@ -26,15 +26,10 @@ def or_else(text: Column, other: Column) -> Column:
 
 
 def han_tokens(text: Column) -> Column:
-    """Neighbouring pairs of each run of Chinese characters but for the stop list, and the run's last character."""
-    runs = F.regexp_extract_all(text, F.lit("[\\x{4e00}-\\x{9fff}]+"), F.lit(0))
-    stop = F.array(*(F.lit(x) for x in STOP_PAIRS))
-
-    def of(run: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
-        return F.when(F.length(run) == 1, F.array(run)).otherwise(F.concat(F.filter(pairs, lambda p: ~F.array_contains(stop, p)), F.array(F.right(run, F.lit(1)))))
-
-    return F.flatten(F.transform(runs, of))
+    """Neighbouring pairs of Chinese characters but for the stop list, and the last character of each run."""
+    han = "[\\x{4e00}-\\x{9fff}]"
+    pairs = F.regexp_extract_all(text, F.lit(f"(?=((?!{'|'.join(STOP_PAIRS)}){han}{han}))"), F.lit(1))
+    return F.concat(pairs, F.regexp_extract_all(text, F.lit(f"{han}(?!{han})"), F.lit(0)))
 
 
 def tokens(text: Column) -> Column:
