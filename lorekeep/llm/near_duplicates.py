@@ -173,8 +173,9 @@ def note_classes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     fields = [F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("body"), F.lit("")), F.coalesce(F.concat_ws("\n", "tags"), F.lit(""))]
     texts = notes.where("id is not null").select("id", F.concat_ws("\n", *fields).alias("text"))
-    one = texts.groupBy("id").agg(F.min("text").alias("text")).select("id", token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    one = written(one.withColumn("class", F.expr("xxhash64(tokens, 17)")), "notes")
+    # written before anything else looks at the tokens: the expressions would be evaluated anew for every use
+    sets = written(texts.groupBy("id").agg(F.min("text").alias("text")).select("id", token_set(F.col("text")).alias("tokens")), "notes")
+    one = sets.where(F.size("tokens") > 0).withColumn("class", F.expr("xxhash64(tokens, 17)"))
     return one.groupBy("class").agg(F.first("tokens").alias("tokens")), one.select("class", "id")
 
 
