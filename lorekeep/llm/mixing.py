@@ -26,8 +26,6 @@ from lorekeep.session import written
 BLOCK = 512
 #: Slots of an output shard.
 SHARD = 4096
-#: Ids of documents whose offsets are summed by one task, of each source.
-STRIDE = 20_000
 #: Most sources that a table of targets may name: the plan is made on the driver.
 MOST_SOURCES = 10_000
 SEED = 20
@@ -116,7 +114,8 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def encoded(documents: DataFrame, sources: DataFrame, name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
-    """``source, doc_id, n, tokens`` of the listed sources' documents; tokens little-endian, two bytes each.
+    """``source, doc_id, n, tokens, rid`` of the listed sources' documents; tokens little-endian, two bytes each; ``rid``
+    numbers the rows and is fixed once the table is written.
 
     Null, empty texts and documents with a null id or with a source that is null or not listed don't come out.
     """
@@ -131,22 +130,43 @@ def encoded(documents: DataFrame, sources: DataFrame, name: str = VOCABULARY, fo
             packed = [np.asarray(x, wide).tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, ids), pa.int32()), pa.array(packed, pa.binary())], names=["source", "doc_id", "n", "tokens"])
 
-    return picked.mapInArrow(run, "source string, doc_id bigint, n int, tokens binary")
+    return picked.mapInArrow(run, "source string, doc_id bigint, n int, tokens binary").withColumn("rid", F.monotonically_increasing_id())
+
+
+def _starts(docs: DataFrame) -> DataFrame:
+    """``rid, start``: where each document begins in the token stream of its source, in the order of the ids.
+
+    Ranges of the sorted rows are summed for themselves, each by one task, and then their few sums one after the other:
+    a source of any size, and ids however sparse, never make one task long.
+    """
+    narrow = docs.select("source", "doc_id", "rid", "n").repartitionByRange("source", "doc_id", "rid").sortWithinPartitions("source", "doc_id", "rid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, total = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            at = []
+            for source, n in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if source != last:
+                    last, total = source, 0
+                at.append(total)
+                total += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(at), pa.int32()), batch.column(2), batch.column(3), pa.array(at, pa.int64())], names=["source", "part", "rid", "n", "at"])
+
+    local = written(narrow.mapInArrow(run, "source string, part int, rid bigint, n int, at bigint"), "offsets")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = local.groupBy("source", "part").agg(F.sum("n").alias("sum")).select("source", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
+    return local.join(base, ["source", "part"]).select("rid", (F.col("base") + F.col("at")).alias("start"))
 
 
 def packed_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``source, block, n_tokens, tokens``: each source's documents in order of their ids, end to end, cut into blocks.
 
-    The last block of a source is shorter. Offsets are summed in two steps, within strides of ids and across them, so
-    that a source of any size is never one task. Rows of one id lie one behind the other, in the order of their tokens.
+    ``docs`` is a written table of :func:`encoded`. The last block of a source is shorter. Rows of one id lie one behind
+    the other.
     """
-    stride = F.floor(F.col("doc_id") / STRIDE)
-    sizes = docs.select("source", "doc_id", "n", F.xxhash64("tokens").alias("h")).withColumn("stride", stride)
-    before = Window.partitionBy("source").orderBy("stride").rowsBetween(Window.unboundedPreceding, -1)
-    strides = sizes.groupBy("source", "stride").agg(F.sum("n").alias("sum")).withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0))).drop("sum")
-    inside = Window.partitionBy("source", "stride").orderBy("doc_id", F.xxhash64("tokens")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.withColumn("stride", stride).withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(strides, ["source", "stride"])
-    placed = placed.select("source", "n", "tokens", (F.col("base") + F.col("at")).alias("start")).where("n > 0")
+    placed = docs.select("rid", "source", "n", "tokens").join(_starts(docs), "rid").where("n > 0")
     first = F.floor(F.col("start") / block)
     pieces = placed.withColumn("block", F.explode(F.sequence(first, F.floor((F.col("start") + F.col("n") - 1) / block))))
     lo = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))

@@ -2,6 +2,7 @@ import numpy as np
 
 from lorekeep.llm import mixing as M
 from lorekeep.llm.tokens import encoder
+from lorekeep.session import written
 
 DOC = "doc_id bigint, text string, source string"
 
@@ -40,10 +41,9 @@ def corpus(spark):
     return rows, spark.createDataFrame(rows, DOC), spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
 
 
-def test_blocks_hold_every_token_in_order(spark, monkeypatch):
-    monkeypatch.setattr(M, "STRIDE", 30)
+def test_blocks_hold_every_token_in_order(spark):
     rows, docs, targets = corpus(spark)
-    blocks = M.packed_blocks(M.encoded(docs, targets), 16).orderBy("source", "block").collect()
+    blocks = M.packed_blocks(written(M.encoded(docs, targets)), 16).orderBy("source", "block").collect()
     enc = encoder()
     for source in ("big", "small"):
         want = [t for i, x, s in rows if s == source and i is not None and x for t in enc.encode(x)]
