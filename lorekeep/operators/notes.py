@@ -162,3 +162,56 @@ def queue(tasks: DataFrame) -> DataFrame:
     """Waiting tasks, each once, with their place in the queue: by batch day (empty ones first), then creation."""
     one = tasks.where("status = 'pending' and task_id is not null").dropDuplicates(["task_id"])
     return one.select("task_id", or_else(F.col("batch_date"), F.lit("0000-00-00")).alias("day"), F.coalesce("created_at", F.lit("")).alias("created_at"))
+
+
+def scopes(notes: DataFrame, mode: str = "auto", project: str | None = None) -> DataFrame:
+    """The notes a search looks at: ``auto`` and ``all`` take every scope, ``current_project`` the personal notes' and the
+    project's own, ``personal`` and ``general`` only the personal ones; an unknown mode is ``auto``."""
+    own = F.col("scope") != "project"
+    if mode in ("personal", "general"):
+        return notes.where(own)
+    if mode == "current_project":
+        return notes.where((F.col("project_key") == project) & ~own) if project else notes.where("false")
+    return notes
+
+
+def resolved(notes: DataFrame, wanted: str) -> DataFrame:
+    """The one note a word stands for: with that id, else the first, by id, whose id or title holds it in any case."""
+    low = wanted.lower()
+    near = F.lower("id").contains(low) | F.lower(F.coalesce("title", F.lit(""))).contains(low)
+    return notes.where(near | (F.col("id") == wanted)).orderBy(F.when(F.col("id") == wanted, 0).otherwise(1), "id").limit(1)
+
+
+def remembered(texts: DataFrame, day: str) -> DataFrame:
+    """Notes that people dictate (``body, scope, project_key, tags``): redacted, with the first heading of depth one or the
+    first 30 characters as title, and a heading in front if there is none."""
+    from lorekeep.functions.cleaning import redacted
+    from lorekeep.functions.text import note_id, title
+
+    body, _ = redacted(F.col("body"))
+    held = texts.withColumn("body", strip(body)).where("body <> ''").withColumn("h1", title(F.col("body")))
+    name = or_else(F.col("h1"), strip(F.left(F.regexp_replace("body", r"\R", " "), F.lit(30))))
+    project = (F.col("scope") == "project") & (F.coalesce("project_key", F.lit("")) != "")
+    return held.select(
+        note_id(name, F.lit(day)).alias("id"), F.when(project, "project").otherwise("personal").alias("scope"), F.when(project, F.col("project_key")).alias("project_key"), name.alias("title"),
+        F.when(F.col("h1") != "", F.col("body")).otherwise(F.concat(F.lit("# "), name, F.lit("\n\n"), F.col("body"))).alias("body"), F.lit("manual").alias("source"), F.lit("medium").alias("value"),
+        F.lit(day).alias("created"), F.lit(day).alias("updated"), F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 6).alias("tags"),
+    )
+
+
+def archived(notes: DataFrame, ids: DataFrame, state: bool = True) -> DataFrame:
+    """The store with the notes of ``ids`` archived, or restored; all rows come out."""
+    marked = ids.select("id").distinct().withColumn("__hit", F.lit(True))
+    return notes.join(marked, "id", "left").withColumn("archived", F.when(F.col("__hit"), F.lit(state)).otherwise(F.col("archived"))).select(*notes.columns)
+
+
+def pending(sessions: DataFrame, done: DataFrame, key: str = "session_id") -> DataFrame:
+    """Sessions not yet worked on."""
+    return sessions.join(done.select(key).distinct(), key, "left_anti").select(*sessions.columns)
+
+
+def page(text: Column, most: int = 60_000) -> Column:
+    """At most ``most`` bytes of a text, cut between characters."""
+    raw = F.left(text, F.lit(most)).cast("binary")
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.substring(raw, F.lit(1), F.lit(most) - i).cast("string"))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.get(F.filter(cuts, F.is_valid_utf8), 0))

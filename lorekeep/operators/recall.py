@@ -36,7 +36,8 @@ def recall_stats(events: DataFrame, as_of: str, days: int) -> DataFrame:
     n = lambda e: F.count(F.when(F.col("event") == e, 1))
     active = window.where("event = 'search'").select(F.explode("hits").alias("id")).unionByName(window.where("event in ('read', 'adopt')").select("id")).where("id is not null and id <> ''").distinct()
     sums = window.agg(n("search").alias("n_search"), n("read").alias("n_read"), n("adopt").alias("n_adopt"))
-    return sums.crossJoin(active.agg(F.count("*").alias("n_active"))).withColumn("adoption_rate", F.when(F.col("n_search") > 0, F.col("n_read") / F.col("n_search")).otherwise(0.0))
+    both = sums.withColumn("__one", F.lit(1)).join(active.agg(F.count("*").alias("n_active")).withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return both.withColumn("adoption_rate", F.when(F.col("n_search") > 0, F.col("n_read") / F.col("n_search")).otherwise(0.0))
 
 
 def top_hits(events: DataFrame, as_of: str, days: int, k: int = 10) -> DataFrame:
@@ -115,11 +116,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def fuse(rows: DataFrame, bm25_column: str, cosine_column: str, weight: float = 0.3) -> DataFrame:
-    """Adds ``final_score``: the min-max scaled BM25 score and the cosine, weighted. One summary row is joined back, so
-    no window runs over all rows."""
-    ends = rows.agg(F.min(bm25_column).alias("__lo"), F.max(bm25_column).alias("__hi"))
-    span = F.when(F.col("__hi") == F.col("__lo"), 1.0).otherwise(F.col("__hi") - F.col("__lo"))
-    scaled = (F.col(bm25_column) - F.col("__lo")) / span
-    return rows.crossJoin(F.broadcast(ends)).withColumn("final_score", weight * scaled + (1 - weight) * F.coalesce(F.col(cosine_column), F.lit(0.0))).drop("__lo", "__hi")
-
-
+    """Adds ``final_score``: the min-max scaled BM25 score and the cosine, weighted. The two ends are one row that comes
+    to the driver first, so no window runs over all rows; a null cosine counts as 0."""
+    low, high = rows.agg(F.min(bm25_column), F.max(bm25_column)).first()
+    span = 1.0 if low == high or low is None else high - low
+    scaled = (F.col(bm25_column) - F.lit(low).cast("double")) / span
+    return rows.withColumn("final_score", weight * scaled + (1 - weight) * F.coalesce(F.col(cosine_column), F.lit(0.0)))

@@ -205,11 +205,16 @@ def snippet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).where("text is not null").select("doc_id", text.snippet_line("connection pool", F.col("text")).alias("line")).where("line is not null")
 
 
+def _probe(vectors: DataFrame):
+    """The vector asked for, that of the first id, as a literal."""
+    first = vectors.orderBy("vec_id").select("embedding").first()
+    return F.array(*(F.lit(x).cast("float") for x in (first[0] if first else [])))
+
+
 @query("cosine_topk", "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 4) AS cosine FROM embeddings, q ORDER BY cosine DESC, vec_id LIMIT 20")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    probe = rows.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))  # one row, whatever the table's size
-    scored = rows.crossJoin(F.broadcast(probe)).select("vec_id", F.round(recall.cosine(F.col("embedding"), F.col("q")), 4).alias("cosine"))
+    scored = rows.select("vec_id", F.round(recall.cosine(F.col("embedding"), _probe(rows)), 4).alias("cosine"))
     return scored.orderBy(F.desc("cosine"), "vec_id").limit(20)
 
 
@@ -225,8 +230,7 @@ def fused_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = bm25.scores(_documents(spark, sf_dir), SEARCH, "source", "doc_id", "text").where("abs(bm25) >= 1e-9")
     top = scored.orderBy(F.round("bm25", 9).desc(), "key").limit(50)
     vectors = table(spark, sf_dir, "embeddings")
-    probe = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    near = top.join(vectors, top["key"] == vectors["vec_id"], "left").crossJoin(F.broadcast(probe)).withColumn("cosine", recall.cosine(F.col("embedding"), F.col("q")))
+    near = top.join(vectors, top["key"] == vectors["vec_id"], "left").withColumn("cosine", recall.cosine(F.col("embedding"), _probe(vectors)))
     return recall.fuse(near, "bm25", "cosine").select("key", (F.round("final_score", 4) + 0.0).alias("final_score"))
 
 
@@ -585,3 +589,49 @@ def topic_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("best_of_each", "SELECT source, max(n_chars) AS n_chars, arg_min(doc_id, struct_pack(a := -n_chars, b := doc_id)) AS doc_id FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL GROUP BY source")
 def best_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.best_of(_documents(spark, sf_dir).where("source is not null and n_chars is not null").select("doc_id", "source", "n_chars"), "source", "n_chars")
+
+
+# --- what tools ask of the store --------------------------------------------------------------------------------------
+
+
+@query("scope_notes", f"SELECT id FROM ({_NOTE}) WHERE scope = 'project' AND project_key = '{_PROJECT}'")
+def scope_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.scopes(recall.one_of_each(table(spark, sf_dir, "memories")), "current_project", _PROJECT).select("id")
+
+
+@query("resolved_note", f"SELECT id, title FROM ({_NOTE}) WHERE contains(lower(id), 'decision') OR contains(lower(coalesce(title, '')), 'decision') ORDER BY id LIMIT 1")
+def resolved_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.resolved(recall.one_of_each(table(spark, sf_dir, "memories")), "Decision").select("id", "title")
+
+
+@query("pending_sessions", _LATEST + f" SELECT session_id FROM k WHERE session_id NOT IN (SELECT origin.session_id FROM ({_NOTE}) WHERE origin.session_id IS NOT NULL)")
+def pending_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that no note comes from."""
+    done = table(spark, sf_dir, "memories").select(F.col("origin.session_id").alias("session_id")).where("session_id is not null")
+    return notes.pending(_latest(spark, sf_dir), done).select("session_id")
+
+
+@query("archived_notes", f"SELECT id, coalesce(archived, false) OR value = 'low' AS archived FROM ({_NOTE})")
+def archived_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = recall.one_of_each(table(spark, sf_dir, "memories"))
+    return notes.archived(own, own.where("value = 'low'")).select("id", F.coalesce("archived", F.lit(False)).alias("archived"))
+
+
+@query(
+    "remembered_notes",
+    _LATEST + f""", b AS (SELECT task_id, {_stripped(_redacted_sql("coalesce(any_value(prompt), '')")[0])} AS body FROM tasks WHERE task_id IS NOT NULL GROUP BY task_id)
+SELECT count(*) AS n, sum(length(body)) AS chars FROM (SELECT DISTINCT body FROM b WHERE body <> '')""",
+)
+def remembered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task prompts taken as dictated notes, counted without the headings put in front."""
+    prompts = table(spark, sf_dir, "tasks").where("task_id is not null").groupBy("task_id").agg(F.any_value("prompt").alias("body"))
+    made = notes.remembered(prompts.withColumns({"scope": F.lit("personal"), "project_key": F.lit(None).cast("string"), "tags": F.lit(None).cast("array<string>")}), "2026-07-01")
+    bare = made.select(F.when(F.col("body").startswith(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"))), F.expr("substring(body, length(title) + 5)")).otherwise(F.col("body")).alias("body")).distinct()
+    return bare.agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
+
+
+@query("pages", "SELECT doc_id, length(text) AS chars, octet_length(encode(text)) AS bytes FROM documents WHERE octet_length(encode(text)) <= 60000")
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as pages; those cut are left to the tests."""
+    out = _documents(spark, sf_dir).where(F.octet_length("text") <= 60_000).select("doc_id", notes.page(F.col("text")).alias("t"))
+    return out.select("doc_id", F.length("t").cast("bigint").alias("chars"), F.octet_length("t").cast("bigint").alias("bytes"))

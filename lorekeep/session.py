@@ -48,9 +48,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_files: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables :func:`written` left in the shared folder; what still reads them can't be used any more."""
+    jvm = spark.sparkContext._jvm
+    while _files:
+        path = jvm.org.apache.hadoop.fs.Path(_files.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """As :func:`cut`, in compressed columns, for tables of which later steps read only some columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _files.append(path)
     return spark.read.schema(df.schema).parquet(path)
