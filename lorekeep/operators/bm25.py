@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekeep.functions.text import tokens
+from lorekeep.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of a scope that are looked at further, before those without a match go.
@@ -52,7 +53,9 @@ def scores(docs: DataFrame, query: str, scope: str, key: str, text: str) -> Data
 def candidates(scored: DataFrame, cap: int = CAP) -> DataFrame:
     """Adds ``shift`` (lifts a scope with negative scores above 0) and ``rank``; keeps the first ``cap`` of each scope and
     of these those with a match. The cap comes before, so it can cut matches that score below non-matches."""
-    scope = Window.partitionBy("scope")
-    low = F.min("bm25").over(scope)
-    ranked = scored.withColumn("shift", F.when(low < 0, 1 - low).otherwise(0.0)).withColumn("rank", F.row_number().over(scope.orderBy(F.round("bm25", 9).desc(), "key")))
-    return ranked.where(F.col("rank") <= cap).where(F.abs("bm25") >= 1e-9)
+    scored = cut(scored)
+    lows = scored.groupBy("scope").agg(F.min("bm25").alias("low"))
+    # the limit comes right behind the rank, so that each task sends at most ``cap`` rows of a scope
+    first = scored.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy(F.round("bm25", 9).desc(), "key"))).where(F.col("rank") <= cap)
+    lifted = first.join(lows, "scope").withColumn("shift", F.when(F.col("low") < 0, 1 - F.col("low")).otherwise(0.0))
+    return lifted.where(F.abs("bm25") >= 1e-9).select("scope", "key", "bm25", "shift", "rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekeep.functions.text import or_else, strip, words
+from lorekeep.session import numbered
 
 PROTECTED = ("manual", "edited")
 TAGS, TITLE = 2, 0.40
@@ -115,20 +116,25 @@ def summary_line(notes: DataFrame) -> Column:
     return F.when(F.coalesce(short, F.lit("")) == "", head).otherwise(F.concat(head, F.lit(" — "), short))
 
 
-def buckets(notes: DataFrame, most: int = 10) -> DataFrame:
-    """``project_key, bucket, rank, line`` of what a project's summary shows: all protected notes, and of the others the
-    ``most`` newest of high and of medium value."""
+def buckets(notes: DataFrame, most: int = 10, most_protected: int | None = None) -> DataFrame:
+    """``project_key, bucket, rank, line`` of what a project's summary shows: all protected notes (or the first
+    ``most_protected``), and of the others the ``most`` newest of high and of medium value."""
     protected = F.col("source").isin(*PROTECTED)
     bucket = F.when(protected, 0).when(F.col("value") == "high", 1).when(F.col("value") == "medium", 2)
     own = notes.where("scope = 'project' and not coalesce(archived, false)").withColumn("bucket", bucket).where("bucket is not null")
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("project_key", "bucket").orderBy(*newest())))
-    return ranked.where((F.col("bucket") == 0) | (F.col("rank") <= most)).select("project_key", "bucket", "rank", summary_line(notes).alias("line"))
+
+    def first(rows: DataFrame, n: int) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("project_key", "bucket").orderBy(*newest()))).where(F.col("rank") <= n)
+
+    kept = own.where("bucket = 0")
+    kept = numbered(kept, "project_key", newest(), "rank") if most_protected is None else first(kept, most_protected)
+    return kept.unionByName(first(own.where("bucket > 0"), most)).select("project_key", "bucket", "rank", summary_line(notes).alias("line"))
 
 
 def summaries(notes: DataFrame, most: int = 10, size: int = 4096) -> DataFrame:
-    """``project_key, summary`` in at most ``size`` characters; longer ones are cut and say so."""
-    shown = buckets(notes, most)
-    # lines beyond the size can't show: what is gathered of a project is bounded
+    """``project_key, summary`` in at most ``size`` characters; longer ones are cut and say so. Lines beyond the size
+    can't show, so what is gathered of a project is bounded."""
+    shown = buckets(notes, most, size // 8)  # no line has fewer than 8 characters with its line end
     order = Window.partitionBy("project_key").orderBy("bucket", "rank")
     near = shown.withColumn("before", F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") <= size)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "rank", "line"))), lambda s: s["line"]), "\n")
@@ -140,11 +146,11 @@ def compile_entries(notes: DataFrame) -> DataFrame:
     """``project_key, i, n, entry``: the numbered entries of a project's overview, by value, then age."""
     rank = F.when(F.col("value") == "high", 0).when(F.col("value") == "low", 2).otherwise(1)
     own = notes.where("scope = 'project' and not coalesce(archived, false)")
-    w = Window.partitionBy("project_key").orderBy(rank, or_else(F.col("updated"), F.col("created")), "id")
+    counts = own.groupBy(F.col("project_key").alias("__p")).agg(F.count("*").alias("n"))
+    rows = numbered(own, "project_key", [rank, or_else(F.col("updated"), F.col("created")), F.col("id")], "i").join(counts, F.col("project_key").eqNullSafe(F.col("__p"))).drop("__p")
     tag = F.when(F.col("source").isin(*PROTECTED), F.concat(F.lit(" [source="), F.col("source"), F.lit("]"))).otherwise(F.lit(""))
-    numbered = own.withColumn("i", F.row_number().over(w)).join(own.groupBy(F.col("project_key").alias("__p")).agg(F.count("*").alias("n")), F.col("project_key").eqNullSafe(F.col("__p"))).drop("__p")
     head = F.concat(F.lit("--- entry "), F.col("i").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" (id="), F.col("id"), F.lit(", value="), F.coalesce("value", F.lit("")), tag, F.lit(") ---\n"))
-    return numbered.select("project_key", "i", "n", F.concat(head, strip(F.coalesce("body", F.lit(""))), F.lit("\n")).alias("entry"))
+    return rows.select("project_key", "i", "n", F.concat(head, strip(F.coalesce("body", F.lit(""))), F.lit("\n")).alias("entry"))
 
 
 def with_block(text: Column, block: Column, start: str, end: str) -> Column:

@@ -19,6 +19,8 @@ REFUSALS = (
     r"(?i)\b(refuse|cannot help|cannot assist)\b",
 )
 MANY_CHARS, BUDGET = 80_000, 15_000
+#: Positions of one session that are put in order by one task.
+BLOCK = 4096
 
 
 def messages(sessions: DataFrame, key: str = "session_id") -> DataFrame:
@@ -76,24 +78,42 @@ def noise(rows: DataFrame, key: str = "session_id") -> DataFrame:
     return sums.join(most, key, "left").select(key, reason.alias("reason"))
 
 
+def previous(rows: DataFrame, columns: dict[str, str], key: str = "session_id") -> DataFrame:
+    """Adds, under new names, columns of the message before in the same session.
+
+    Sessions are worked on in blocks of ``BLOCK`` positions; only the last row of each block is looked at across them.
+    """
+    blocked = rows.withColumn("__b", F.floor(F.col("pos") / BLOCK))
+    inside = Window.partitionBy(key, "__b").orderBy("pos")
+    local = blocked.withColumns({new: F.lag(old).over(inside) for old, new in columns.items()} | {"__first": F.row_number().over(inside) == 1})
+    ends = blocked.groupBy(key, "__b").agg(*(F.max_by(old, "pos").alias(new) for old, new in columns.items()))
+    across = Window.partitionBy(key).orderBy("__b")
+    ends = ends.select(F.col(key).alias("__k"), F.col("__b").alias("__c"), *(F.lag(new).over(across).alias(f"__{new}") for new in columns.values()))
+    joined = local.join(ends, (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__c")), "left")
+    return joined.select(*rows.columns, *(F.when(F.col("__first"), F.col(f"__{new}")).otherwise(F.col(new)).alias(new) for new in columns.values()))
+
+
 def pairs(rows: DataFrame, key: str = "session_id") -> DataFrame:
     """Cleaned messages of core interactions: a user message stays if it is core, the assistant's directly behind it with
     it, any other if it is longer than 100 characters. Empty messages go first."""
     cleaned = rows.withColumn("content", cleaning.clean(F.col("content"))).where("content <> ''")
-    w = Window.partitionBy(key).orderBy("pos")
     core = cleaned.withColumn("core", (F.col("role") == "user") & cleaning.is_core(F.col("content")))
-    core = core.withColumn("before", F.lag("role").over(w)).withColumn("led", F.lag("core").over(w))
+    core = previous(core, {"role": "before", "core": "led"}, key)
     keep = F.when(F.col("role") == "user", F.col("core")).when((F.col("role") == "assistant") & (F.col("before") == "user"), F.col("led")).otherwise(F.length("content") > 100)
     return core.where(keep).select(key, "pos", "role", "content")
 
 
 def truncate(rows: DataFrame, budget: int = BUDGET, key: str = "session_id") -> DataFrame:
     """The most telling messages of each session within a budget of characters; the one that overflows is cut if more
-    than 200 characters are left. First and last messages count most."""
-    w = Window.partitionBy(key)
-    scored = rows.withColumn("weight", cleaning.importance(F.col("content")) + F.when((F.col("pos") == F.min("pos").over(w)) | (F.col("pos") == F.max("pos").over(w)), 100).otherwise(0))
-    by_weight = w.orderBy(F.desc("weight"), "pos").rowsBetween(Window.unboundedPreceding, 0)
-    summed = scored.withColumn("sum", F.sum(F.length("content")).over(by_weight)).withColumn("before", F.col("sum") - F.length("content"))
+    than 200 characters are left. First and last messages count most.
+
+    No message is empty, so at most ``budget + 1`` of a session can matter: that limit holds before rows are gathered.
+    """
+    ends = rows.groupBy(key).agg(F.min("pos").alias("__lo"), F.max("pos").alias("__hi"))
+    scored = rows.where("content <> ''").join(ends, key).withColumn("weight", cleaning.importance(F.col("content")) + F.when(F.col("pos").isin(F.col("__lo"), F.col("__hi")), 100).otherwise(0))
+    by_weight = Window.partitionBy(key).orderBy(F.desc("weight"), "pos")
+    near = scored.select(key, "pos", "role", "content", "weight").withColumn("__n", F.row_number().over(by_weight)).where(F.col("__n") <= budget + 1)
+    summed = near.withColumn("sum", F.sum(F.length("content")).over(by_weight.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("sum") - F.length("content"))
     cut = (F.col("before") <= budget) & (F.col("sum") > budget) & (budget - F.col("before") > 200)
     text = F.when(cut, F.concat(F.left("content", (budget - F.col("before")).cast("int")), F.lit("...[已截断]"))).otherwise(F.col("content"))
     return summed.where((F.col("sum") <= budget) | cut).select(key, "pos", "role", text.alias("content"))

@@ -66,3 +66,23 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     df.write.parquet(path)
     _files.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, group: str, order: list, number: str) -> DataFrame:
+    """Row numbers from 1 in each group, without a task that sees a whole group.
+
+    Rows are sorted into ranges, numbered in each, and the ranges' counts are added up. ``order`` are columns or sort
+    expressions that tell any two rows of a group apart; null groups are one.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    keys = {f"__o{i}": o for i, o in enumerate(order)}
+    ranged = df.withColumn("__g", F.col(group)).repartitionByRange("__g", *order)
+    ranged = cut(ranged.withColumn("__part", F.spark_partition_id()))
+    local = ranged.withColumn(number, F.row_number().over(Window.partitionBy("__part", "__g").orderBy(*keys.values())))
+    counts = ranged.groupBy("__g", "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(F.col("__g").alias("__h"), F.col("__part").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    joined = local.join(base, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__part") == F.col("__q")))
+    return joined.withColumn(number, (F.col(number) + F.col("__base")).cast("int")).drop("__g", "__h", "__part", "__q", "__base")
