@@ -138,10 +138,12 @@ def _messages(kv: DataFrame, texts: bool) -> DataFrame:
     bubbles = _latest(kv.where(F.col("key").startswith("bubbleId:")), facts(body["text"], body["type"])).select("key", F.col("v").alias("b"))
     contents = _latest(kv.where(F.col("key").startswith("composer.content.")), facts(F.coalesce(content["text"], content["content"]), F.lit(None).cast("string"))).where("v.ok").select(F.col("key").alias("ckey"), F.col("v").alias("d"))
 
-    keyed = rows.withColumn("key", F.when(~F.col("own"), F.concat(F.lit("bubbleId:"), "session_id", F.lit(":"), "bubble_id")))
+    # rows that need no partner get keys of their own, not null, which would bring them all to one task
+    none = F.concat(F.lit("-:"), "session_id", F.lit(":"), F.col("at").cast("string"))
+    keyed = rows.withColumn("key", F.when(~F.col("own"), F.concat(F.lit("bubbleId:"), "session_id", F.lit(":"), "bubble_id")).otherwise(none))
     found = keyed.join(bubbles, "key", "left")
     good = F.coalesce(F.col("b.ok"), F.lit(False))
-    found = found.withColumn("ckey", F.when(~F.col("own") & ~good, F.concat(F.lit("composer.content."), "bubble_id"))).join(contents, "ckey", "left")
+    found = found.withColumn("ckey", F.when(~F.col("own") & ~good, F.concat(F.lit("composer.content."), "bubble_id")).otherwise(none)).join(contents, "ckey", "left")
     text = lambda n: F.when(good, F.col(f"b.{n}")).otherwise(F.col(f"d.{n}"))
     return found.select(
         "session_id", "at", "bubble_id",
