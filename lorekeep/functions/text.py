@@ -70,6 +70,7 @@ def note_id(name: Column, date: Column) -> Column:
 def remote_key(url: Column) -> Column:
     """``host/path`` of a git remote in any notation; null for other texts."""
     u = strip(url)
+    # The notations of a remote, with host and path as groups.
     forms = (
         (r"^git@([^:]+):(.+?)(?:\.git)?$", 1),
         (r"^https?://(?:[^@]+@)?([^/]+)/(.+?)(?:\.git)?$", 1),

@@ -59,3 +59,50 @@ def candidates(scored: DataFrame, cap: int = CAP) -> DataFrame:
     first = scored.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy(F.round("bm25", 9).desc(), "key"))).where(F.col("rank") <= cap)
     lifted = first.join(lows, "scope").withColumn("shift", F.when(F.col("low") < 0, 1 - F.col("low")).otherwise(0.0))
     return lifted.where(F.abs("bm25") >= 1e-9).select("scope", "key", "bm25", "shift", "rank")
+
+
+class Index:
+    """Postings of a corpus in a folder, so that a query reads its own terms and no text.
+
+    ``postings`` (term, scope, key, f, len, df) are sorted by term, which lets the scan skip what the query doesn't name;
+    ``scopes`` has a row a scope. Scores and candidates equal :func:`scores` and :func:`candidates`.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, docs: DataFrame, scope: str, key: str, text: str, path: str) -> Index:
+        base = docs.select(F.coalesce(F.col(scope), F.lit("")).alias("scope"), F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
+        tf = base.select("scope", "key", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("scope", "key", "len", "term").agg(F.count("*").alias("f"))
+        tf.write.mode("overwrite").parquet(f"{path}/tf")
+        tf = docs.sparkSession.read.parquet(f"{path}/tf")
+        df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
+        lengths = base.select("scope", F.size("t").alias("len")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+        idf = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+        mean = df.join(lengths, "scope").groupBy("scope").agg(F.avg(idf).alias("mean"))
+        lengths.join(mean, "scope", "left").write.mode("overwrite").parquet(f"{path}/scopes")
+        tf.join(df, ["scope", "term"]).repartitionByRange("term", "scope", "key").sortWithinPartitions("term").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        return cls(docs.sparkSession, path)
+
+    def candidates(self, query: str, cap: int = CAP) -> DataFrame:
+        """``scope, key, bm25, shift, rank`` of the documents with a match, as :func:`candidates` gives them.
+
+        Documents without a match aren't read: their number stands for them, between those above and those below 0.
+        """
+        terms = query_terms(self.spark, query)
+        asked = {q: terms.count(q) for q in terms}
+        scopes = self.spark.read.parquet(f"{self.path}/scopes")
+        hits = self.spark.read.parquet(f"{self.path}/postings").where(F.col("term").isin(list(asked)) if asked else F.lit(False)).join(scopes, "scope")
+        idf = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+        weight = F.when(idf < 0, EPSILON * F.col("mean")).otherwise(idf)
+        times = F.element_at(F.create_map(*(F.lit(x) for kv in asked.items() for x in kv)), F.col("term")) if asked else F.lit(1)
+        part = times * weight * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+        scored = hits.groupBy("scope", "key").agg(F.sum(part).alias("bm25")).where(F.abs("bm25") >= 1e-9)
+        sums = scored.groupBy("scope").agg(F.count("*").alias("m"), F.count(F.when(F.col("bm25") > 0, 1)).alias("up"), F.min("bm25").alias("low")).join(scopes.select("scope", "n"), "scope")
+        place = Window.partitionBy("scope").orderBy(F.round("bm25", 9).desc(), "key")
+        first = scored.withColumn("r", F.row_number().over(place)).where(F.col("r") <= cap)
+        rank = F.when(F.col("bm25") > 0, F.col("r")).otherwise(F.col("r") + F.col("n") - F.col("m")).cast("int")
+        low = F.when(F.col("m") < F.col("n"), F.least("low", F.lit(0.0))).otherwise(F.col("low"))
+        placed = first.join(sums, "scope").select("scope", "key", "bm25", F.when(low < 0, 1 - low).otherwise(0.0).alias("shift"), rank.alias("rank"))
+        return placed.where(F.col("rank") <= cap)

@@ -10,6 +10,7 @@ from lorekeep.functions.text import jaccard, title, words
 from lorekeep.functions.times import instant
 from lorekeep.operators import bm25
 
+# Weights, half-life in days, floor, and the boost of recalls within so many days.
 VALUE_WEIGHT = {"high": 1.5, "medium": 1.0, "low": 0.5}
 SOURCE_WEIGHT = {"manual": 1.3, "edited": 1.2, "auto": 1.0, "bootstrap": 1.0}
 HALF_LIFE, FLOOR, BOOST, BOOST_CAP, BOOST_DAYS = 90.0, 0.5, 0.1, 1.5, 30
@@ -76,15 +77,20 @@ def cross_match(query: str, tags: Column, name: Column) -> Column:
     return (F.size(F.array_intersect(low, q)) >= 2) | (jaccard(words(name), words(F.lit(query))) > 0.30)
 
 
-def search(notes: DataFrame, events: DataFrame, query: str, project: str | None, as_of: str, k: int = 5) -> DataFrame:
-    """``id, scope, bm25, decay, score`` of the best notes for a query.
+def live_notes(notes: DataFrame) -> DataFrame:
+    """Notes to search, each once, with ``own``, the scope whose corpus they are in."""
+    live = one_of_each(notes).where("not coalesce(archived, false)")
+    return live.withColumn("own", F.when(F.col("scope") == "project", F.coalesce("project_key", F.lit(""))).otherwise(F.lit("personal")))
+
+
+def search(notes: DataFrame, events: DataFrame, query: str, project: str | None, as_of: str, k: int = 5, index: bm25.Index | None = None) -> DataFrame:
+    """``id, scope, bm25, decay, score`` of the best notes for a query, by an index of :func:`live_notes` if there is one.
 
     Personal notes and each project are scopes of their own; notes of other projects count only if close to the query,
     and less. Every note's own weight, source, supersession and decay scale its score.
     """
-    live = one_of_each(notes).where("not coalesce(archived, false)")
-    live = live.withColumn("own", F.when(F.col("scope") == "project", F.coalesce("project_key", F.lit(""))).otherwise(F.lit("personal")))
-    hits = bm25.candidates(bm25.scores(live, query, "own", "id", "body"))
+    live = live_notes(notes)
+    hits = index.candidates(query) if index else bm25.candidates(bm25.scores(live, query, "own", "id", "body"))
     joined = hits.withColumnRenamed("key", "id").join(live.drop("scope"), "id").join(recall_counts(events, as_of), "id", "left")
     cross = (F.col("own") != "personal") & (F.col("own") != F.lit(project)) if project else F.lit(False)
     joined = joined.where(~cross | cross_match(query, F.col("tags"), title(F.col("body"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import cleaning, text
 from lorekeep.operators import bm25, delivery, notes, recall, sessions, topics
-from lorekeep.session import table
+from lorekeep.session import shared_dir, table
 from lorekeep.sources import chatlogs, markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +108,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.candidates(scored).where("rank <= 5").select("scope", "key", F.round("bm25", 4).alias("bm25"), (F.round("shift", 4) + 0.0).alias("shift"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("bm25_index", SQL["bm25_topk"].replace(" AND rank <= 5", ""))
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates from an index built for this call; a store keeps its own."""
+    index = bm25.Index.build(_documents(spark, sf_dir), "source", "doc_id", "text", f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    return index.candidates(SEARCH).select("scope", "key", F.round("bm25", 4).alias("bm25"), (F.round("shift", 4) + 0.0).alias("shift"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(
     "search_tokens",
     "SELECT doc_id, unnest(list_distinct(" + _TOKENS.format("text") + ")) AS term FROM documents",

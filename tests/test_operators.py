@@ -78,6 +78,18 @@ def test_bm25_cap_comes_before_the_zero_drop(spark):
     assert rows(bm25.scores(df.select("scope", "key", F.lit("x").alias("t")), "  ", "scope", "key", "t")) == []
 
 
+@pytest.mark.parametrize("cap", [3, 300])
+def test_index_equals_the_scan(spark, tmp_path, cap):
+    random.seed(9)
+    docs = [(i, random.choice(["s", "t", None]), " ".join(random.choice("red blue green pool cache 连接池".split()) for _ in range(random.randint(0, 6))) or None) for i in range(60)]
+    df = spark.createDataFrame(docs, "k int, s string, t string")
+    index = bm25.Index.build(df, "s", "k", "t", str(tmp_path / "i"))
+    for query in ("pool", "red red blue", "连接池 green", "none", " "):
+        want = [(*r[:2], round(r[2], 9), round(r[3], 9), r[4]) for r in rows(bm25.candidates(bm25.scores(df, query, "s", "k", "t"), cap))]
+        got = [(*r[:2], round(r[2], 9), round(r[3], 9), r[4]) for r in rows(index.candidates(query, cap))]
+        assert sorted(got) == sorted(want), query
+
+
 @pytest.mark.parametrize(
     ("source", "age", "recalls", "floor", "want"),
     [("manual", 365, None, 0.5, 1.0), ("edited", 1000, None, 0.5, 1.0), ("auto", 0, 0, 0.5, 1.0), ("auto", 90, 0, 0.0, 0.5), ("auto", 1000, 0, 0.5, 0.5), ("auto", 60, 20, 0.5, 0.945), ("auto", 60, 0, 0.5, 0.63), ("manual", 365, 1, 0.5, 1.0)],
