@@ -43,11 +43,6 @@ def token_set(*texts: Column) -> Column:
     return F.array_sort(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)))
 
 
-def _allowed(size: np.ndarray | Column) -> Column:
-    p, q = THRESHOLD
-    return F.floor(size * (q - p) / (q + p))
-
-
 def _band(n: int) -> int:
     """The largest k with (1/t)^k <= n."""
     p, q = THRESHOLD
@@ -147,16 +142,18 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     """``a, b`` (a < b) of all pairs of different token sets that reach the threshold; ``classes`` has ``class, tokens``."""
     p, q = THRESHOLD
     probes = _probes(classes, _frequencies(classes))
-    left = probes.where("channel = band").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    right = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # the channel is in the signature, so one number is the whole join key
+    key = lambda part: F.col("sig").bitwiseXOR(part.cast("bigint") * 0x9E3779B97F4A7C1).alias("k")
+    bits = [f"s{i}" for i in range(SKETCH_WORDS)]
+    left = probes.where("channel = band").select(key(F.pmod(F.xxhash64("class"), F.col("parts"))), "class", "size", "pos", *bits)
+    right = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(key(F.col("part")), "class", "size", "pos", (F.col("band") > F.col("channel")).alias("upper"), *bits)
     lc, rc = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"r.{n}"))
-    most = _allowed(lc("size") + rc("size"))
-    apart = sum((F.bit_count(lc(f"s{i}").bitwiseXOR(rc(f"s{i}"))) for i in range(1, SKETCH_WORDS)), F.bit_count(lc("s0").bitwiseXOR(rc("s0"))))
+    most = (lc("size") + rc("size")) * (q - p)  # times 1 / (p + q), the largest difference allowed
+    apart = sum((F.bit_count(lc(s).bitwiseXOR(rc(s))) for s in bits[1:]), F.bit_count(lc(bits[0]).bitwiseXOR(rc(bits[0]))))
     meet = (
-        (lc("sig") == rc("sig")) & (lc("part") == rc("part")) & (lc("channel") == rc("channel"))
-        & (F.greatest(lc("pos"), rc("pos")) <= most) & (apart <= most)
-        & ((lc("band") < rc("band")) | (lc("class") < rc("class")))
-        & (F.least(lc("size"), rc("size")) * q >= F.greatest(lc("size"), rc("size")) * p)
+        (lc("k") == rc("k")) & (rc("upper") | (lc("class") < rc("class")))
+        & (lc("size") * q >= rc("size") * p) & (rc("size") * q >= lc("size") * p)
+        & (lc("pos") * (p + q) <= most) & (rc("pos") * (p + q) <= most) & (apart * (p + q) <= most)
     )
     met = left.alias("l").join(right.alias("r"), meet).select(F.least(lc("class"), rc("class")).alias("a"), F.greatest(lc("class"), rc("class")).alias("b")).distinct()
     tokens = classes.select("class", "tokens")
