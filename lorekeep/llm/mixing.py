@@ -126,9 +126,8 @@ def encoded(documents: DataFrame, sources: DataFrame, name: str = VOCABULARY, fo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name, folder).encode
         for batch in batches:
-            ids = [encode(t) for t in batch.column(2).to_pylist()]
-            packed = [np.asarray(x, wide).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, ids), pa.int32()), pa.array(packed, pa.binary())], names=["source", "doc_id", "n", "tokens"])
+            packed = [np.asarray(encode(t), wide).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 2 for x in packed], pa.int32()), pa.array(packed, pa.binary())], names=["source", "doc_id", "n", "tokens"])
 
     return picked.mapInArrow(run, "source string, doc_id bigint, n int, tokens binary").withColumn("rid", F.monotonically_increasing_id())
 
