@@ -23,7 +23,35 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("p2_found")
+_P2 = """
+WITH l AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY snapshot_at DESC NULLS LAST) AS n FROM cursor_disk_kv WHERE key IS NOT NULL) WHERE n = 1),
+o AS (SELECT key, CAST(value AS JSON) AS j FROM l WHERE json_valid(value) AND json_type(CASE WHEN json_valid(value) THEN value END) = 'OBJECT'),
+c AS (SELECT substring(key, 14) AS sid, j FROM o WHERE key LIKE 'composerData:%'),
+mk AS (SELECT sid, j, unnest(json_keys(j, '$.conversationMap')) AS id, generate_subscripts(json_keys(j, '$.conversationMap'), 1) AS i FROM c WHERE len(json_keys(j, '$.conversationMap')) > 0),
+mm AS (SELECT sid, i, id, json_extract_string(j, '$.conversationMap."' || id || '".type') AS type, json_extract_string(j, '$.conversationMap."' || id || '".text') AS text, true AS ok FROM mk),
+hh AS (SELECT sid, unnest(h).bubbleId AS id, unnest(h).type AS type, generate_subscripts(h, 1) AS i
+  FROM (SELECT sid, from_json(json_extract(j, '$.fullConversationHeadersOnly'), '[{"bubbleId":"VARCHAR","type":"VARCHAR"}]') AS h FROM c WHERE coalesce(len(json_keys(j, '$.conversationMap')), 0) = 0)),
+h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, id ORDER BY i) AS n FROM hh WHERE id IS NOT NULL) WHERE n = 1),
+hm AS (SELECT h1.sid, h1.i, h1.id, coalesce(h1.type, json_extract_string(b.j, '$.type')) AS type,
+  CASE WHEN b.key IS NOT NULL THEN json_extract_string(b.j, '$.text') ELSE coalesce(json_extract_string(d.j, '$.text'), json_extract_string(d.j, '$.content')) END AS text, b.key IS NOT NULL OR d.key IS NOT NULL AS ok
+  FROM h1 LEFT JOIN o b ON b.key = 'bubbleId:' || h1.sid || ':' || h1.id LEFT JOIN o d ON d.key = 'composer.content.' || h1.id),
+a AS (SELECT sid, i, id, type, text, ok FROM mm UNION ALL SELECT * FROM hm),
+k AS (SELECT sid, id, CASE WHEN type = '1' THEN 'user' ELSE 'assistant' END AS role, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS pos FROM a
+  WHERE regexp_matches(text, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]')),
+n AS (SELECT *, lead(role) OVER (PARTITION BY sid ORDER BY pos) AS next FROM k),
+bad AS (SELECT sid FROM a WHERE NOT ok UNION SELECT sid FROM n WHERE (pos = 0 AND role <> 'user') OR (role = 'user' AND next IS DISTINCT FROM 'assistant'))
+SELECT sid AS session_id, CAST(pos AS INT) AS pos, id AS bubble_id, role FROM n WHERE sid NOT IN (SELECT sid FROM bad)"""
+
+_P3 = """
+WITH t AS (SELECT id, lower(concat_ws(e'\\n', coalesce(any_value(title), ''), coalesce(any_value(body), ''), coalesce(array_to_string(any_value(tags), e'\\n'), ''))) AS x FROM memories WHERE id IS NOT NULL GROUP BY id),
+w AS (SELECT id, unnest(list_distinct(list_concat(regexp_extract_all(x, '[a-z0-9_]+'), flatten(list_transform(regexp_extract_all(x, '[\\x{4e00}-\\x{9fff}]+'),
+  lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END))))) AS word FROM t),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM m JOIN n p ON p.id = id_a JOIN n q ON q.id = id_b WHERE common * 10 >= (p.n + q.n - common) * 7"""
+
+
+@query("p2_found", _P2)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf_dir, "cursor_disk_kv"))
 
@@ -52,7 +80,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.page_scores(documents, model)
 
 
-@query("p3_found")
+@query("p3_found", _P3)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.similar_notes(table(spark, sf_dir, "memories"))
 
