@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekeep.functions.text import tokens
-from lorekeep.session import cut
+from lorekeep.session import cut, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of a scope that are looked at further, before those without a match go.
@@ -34,7 +34,8 @@ def scores(docs: DataFrame, query: str, scope: str, key: str, text: str) -> Data
     found = sorted(set(terms))
     count = lambda q: F.size(F.filter("t", lambda x: x == q))
     tf = {q: count(q) for q in found}
-    counted = base.select("scope", "key", F.size("t").alias("len"), *(tf[q].alias(f"f{i}") for i, q in enumerate(found)))
+    # written: it is read twice, and texts are far larger than their counts
+    counted = written(base.select("scope", "key", F.size("t").alias("len"), *(tf[q].alias(f"f{i}") for i, q in enumerate(found))), "counts")
     sizes = counted.groupBy("scope").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *(F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(found))))
     df = base.select("scope", F.explode(F.array_distinct("t")).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
     idf = lambda d: F.ln(F.col("n") - d + 0.5) - F.ln(d + 0.5)
