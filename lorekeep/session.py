@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +27,24 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once an application, unless they find it on their own path."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    on_path = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    near = context.master.startswith("local[") and Path.cwd() == root
+    if context.applicationId in _shipped or root in on_path or near:
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lorekeep-"), "lorekeep"), "zip", root, "lorekeep")
+    context.addPyFile(archive)  # served by the driver to every executor
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables of a folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
