@@ -18,29 +18,34 @@ def normal_id(value: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", "")), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_first(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row of each ``key``, the first by ``order``; rows with a null key don't come out. Columns stay as they are."""
-    rank = "__rank"
+    rank = unused(df, "rank")
     ranked = df.where(F.col(key).isNotNull()).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.where(F.col(rank) == 1).drop(rank)
 
 
-def _keyed(sessions: DataFrame) -> DataFrame:
-    return sessions.withColumn("__sid", normal_id(F.col("sessionId"))).withColumn("__at", F.coalesce(instant(F.col("lastUpdatedAt")), instant(F.col("createdAt"))))
-
-
-def _order() -> list[Column]:
-    return [F.col("__at").desc_nulls_last(), F.col("delivery_id").asc_nulls_last()]
+def _arrival() -> Column:
+    return F.coalesce(instant(F.col("lastUpdatedAt")), instant(F.col("createdAt")))
 
 
 def latest_sessions(sessions: DataFrame) -> DataFrame:
     """One delivery of each session: the latest ``lastUpdatedAt`` (if null or unreadable ``createdAt``), among equals the
-    smallest ``delivery_id``.
+    smallest ``delivery_id``; with ``session_id``, which replaces a column of that name.
 
     Rows whose identifier is null or blank can't be told apart and don't come out; rows without any readable time lose
     against those with one. Of wholly equal rows one stays. Extra columns are kept; an empty table gives an empty one.
     """
-    return keep_first(_keyed(sessions), "__sid", _order()).drop("__at").withColumnRenamed("__sid", "session_id")
+    named = sessions.withColumn("session_id", normal_id(F.col("sessionId")))
+    return keep_first(named, "session_id", [_arrival().desc_nulls_last(), F.col("delivery_id").asc_nulls_last()])
 
 
 def surplus_deliveries(sessions: DataFrame) -> DataFrame:
@@ -49,8 +54,8 @@ def surplus_deliveries(sessions: DataFrame) -> DataFrame:
     The anti-join is on the delivery's own unique number, so that no session, however often delivered, makes a hot key.
     A delivery number that occurs in several rows of a session is one delivery.
     """
-    narrow = _keyed(sessions).select(F.col("__sid").alias("session_id"), "delivery_id", "__at").where("session_id is not null")
-    kept = keep_first(narrow, "session_id", _order()).select("session_id", "delivery_id")
+    narrow = sessions.select(normal_id(F.col("sessionId")).alias("session_id"), "delivery_id", _arrival().alias("at")).where("session_id is not null")
+    kept = keep_first(narrow, "session_id", [F.col("at").desc_nulls_last(), F.col("delivery_id").asc_nulls_last()]).select("session_id", "delivery_id")
     on = (F.col("a.delivery_id").eqNullSafe(F.col("b.delivery_id"))) & (F.col("a.session_id") == F.col("b.session_id"))
     return narrow.alias("a").join(kept.alias("b"), on, "left_anti").select("session_id", "delivery_id").distinct()
 

@@ -39,9 +39,10 @@ def test_delivery_of_nothing(spark):
 
 
 def test_delivery_hot_session_and_extra_columns(spark):
-    df = spark.range(30_000).select(F.col("id").alias("delivery_id"), F.when(F.col("id") < 20_000, "hot").otherwise(F.col("id").cast("string")).alias("sessionId"), F.lit("2026-01-01").alias("createdAt"), F.lit(None).cast("string").alias("lastUpdatedAt"), F.lit(1).alias("__n"), F.lit("y").alias("at"))
+    df = spark.range(30_000).select(F.col("id").alias("delivery_id"), F.when(F.col("id") < 20_000, "hot").otherwise(F.col("id").cast("string")).alias("sessionId"), F.lit("2026-01-01").alias("createdAt"), F.lit(None).cast("string").alias("lastUpdatedAt"), F.lit(1).alias("rank"), F.lit("y").alias("at"), F.lit("z").alias("session_id"))
     assert delivery.surplus_deliveries(df).count() == 19_999
-    assert delivery.latest_sessions(df).where("session_id = 'hot'").select("delivery_id").first()[0] == 0
+    kept = delivery.latest_sessions(df)
+    assert kept.columns == df.columns and kept.where("session_id = 'hot'").select("delivery_id", "rank", "at").first()[:] == (0, 1, "y")
 
 
 def test_new_batches(spark):
