@@ -27,6 +27,8 @@ SKETCH_WORDS = 4
 BLOCKS = 1.35
 #: Hash buckets of the block frequencies that order the blocks; what reaches the driver is one number a bucket.
 BUCKETS = 1 << 18
+#: Bytes of token sets that are worked on at once.
+SLICE = 1 << 20
 #: A block value met by more sets than this is split over several tasks.
 HOT = 4000
 
@@ -67,39 +69,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _signatures(hashes: np.ndarray, channel: int) -> np.ndarray:
-    """A 64-bit value of every block of the sketch of one set."""
-    n = _blocks_of(channel)
-    h = hashes.view(np.uint64)
-    block = (h % np.uint64(n)).astype(np.int64)
-    value = np.zeros(n, np.uint64)
-    np.bitwise_xor.at(value, block, _mix(h))
-    return _mix(value + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((channel + 64) * 0xD1B54A32D192ED03 % (1 << 64)))
-
-
-def _sketch(hashes: np.ndarray) -> np.ndarray:
-    bits = _mix(hashes.view(np.uint64) + np.uint64(7)) % np.uint64(64 * SKETCH_WORDS)
-    out = np.zeros(SKETCH_WORDS, np.uint64)
-    np.bitwise_xor.at(out, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
-    return out.view(np.int64)
-
-
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    ends = batch.column(1).offsets.to_numpy()
-    flat = batch.column(1).values.to_numpy(zero_copy_only=False)
-    for c, a, b in zip(batch.column(0).to_pylist(), ends, ends[1:], strict=False):
-        if b > a:
-            yield c, flat[a:b]
+def _cells(flat: np.ndarray, sizes: np.ndarray, channels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of many sets at once: a 64-bit value of each block, its set, and its place among the set's blocks."""
+    kinds, at = np.unique(channels, return_inverse=True)
+    n = np.array([_blocks_of(int(c)) for c in kinds], np.int64)[at]
+    first = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    h = flat.view(np.uint64)
+    cell = first[row] + (h % n[row].astype(np.uint64)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    sorted_cells = cell[order]
+    starts = np.flatnonzero(np.r_[True, sorted_cells[1:] != sorted_cells[:-1]])
+    value = np.zeros(int(n.sum()), np.uint64)
+    value[sorted_cells[starts]] = np.bitwise_xor.reduceat(_mix(h)[order], starts)
+    owner = np.repeat(np.arange(len(sizes)), n)
+    place = np.arange(len(value)) - first[owner]
+    salt = np.array([(int(c) + 64) * 0xD1B54A32D192ED03 % (1 << 64) for c in kinds], np.uint64)[at]
+    return _mix(value + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt[owner]), owner, place
+
+
+def _sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A parity sketch of each set, ``SKETCH_WORDS`` numbers a row."""
+    wide = 64 * SKETCH_WORDS
+    bit = (_mix(flat.view(np.uint64) + np.uint64(7)) % np.uint64(wide)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * wide + bit, minlength=len(sizes) * wide) & 1
+    return (odd.reshape(len(sizes), SKETCH_WORDS, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some sets at a time: classes, token hashes end to end, sizes, bands."""
+    for whole in batches:
+        step = max(1, whole.num_rows * SLICE // max(whole.nbytes, 1))
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
+            sizes = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            some = sizes > 0
+            if some.any():
+                kinds, where = np.unique(sizes[some], return_inverse=True)
+                yield batch.column(0).to_numpy(zero_copy_only=False)[some], flat, sizes[some], np.array([_band(int(x)) for x in kinds])[where]
 
 
 def _frequencies(classes: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, hashes in _sets(batch):
-                k = _band(len(hashes))
-                for channel in (k, k - 1):
-                    np.add.at(total, (_signatures(hashes, channel) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        for _, flat, sizes, band in _sets(batches):
+            for channels in (band, band - 1):
+                total += np.bincount((_cells(flat, sizes, channels)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
@@ -109,31 +125,29 @@ def _frequencies(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _probes(classes: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """``sig, class, size, band, channel, pos, parts, s0..`` of the d + 1 rarest blocks of every set in both band pairs."""
+def _probes(classes: DataFrame, frequency: np.ndarray, lower: bool) -> DataFrame:
+    """``sig, class, size, upper, pos, parts, s0..`` of the d + 1 rarest blocks of every set: for the pairs in which it is in
+    the lower band (or both are in one), and unless ``lower`` for those in which it is in the upper one, too."""
     p, q = THRESHOLD
-    names = ["sig", "class", "size", "band", "channel", "pos", "parts", *(f"s{i}" for i in range(SKETCH_WORDS))]
-    schema = "sig bigint, class bigint, size int, band int, channel int, pos int, parts int, " + ", ".join(f"s{i} bigint" for i in range(SKETCH_WORDS))
+    kinds = {"sig": pa.int64(), "class": pa.int64(), "size": pa.int32(), "upper": pa.bool_(), "pos": pa.int32(), "parts": pa.int32()} | {f"s{i}": pa.int64() for i in range(SKETCH_WORDS)}
+    schema = "sig bigint, class bigint, size int, upper boolean, pos int, parts int, " + ", ".join(f"s{i} bigint" for i in range(SKETCH_WORDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            for c, hashes in _sets(batch):
-                size, k, bits = len(hashes), _band(len(hashes)), _sketch(hashes)
-                # as the smaller set the partner has at most size * q / p tokens
-                d = (size * (p + q) * (q - p)) // (p * (q + p))
-                for channel in (k, k - 1):
-                    sig = _signatures(hashes, channel)
-                    n = frequency[(sig & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                    order = np.lexsort((sig, n))[: d + 1]
-                    m = len(order)
-                    fixed = (c, size, k, channel)
-                    cols = [sig[order].view(np.int64), *(np.full(m, x) for x in fixed), np.arange(m), np.maximum(1, -(-n[order] // HOT)), *(np.full(m, x) for x in bits)]
-                    for to, x in zip(out, cols, strict=True):
-                        to.append(x)
-            if out[0]:
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, *[pa.int64()] * SKETCH_WORDS]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t.to_pandas_dtype()), t) for x, t in zip(out, kinds, strict=True)], names=names)
+        for ids, flat, sizes, band in _sets(batches):
+            bits = _sketches(flat, sizes)
+            # a partner that is larger has at most size * q / p tokens; in the upper band a set is the larger one itself
+            roles = [(band, False, sizes * (p + q) * (q - p) // (p * (q + p)))]
+            roles += [] if lower else [(band - 1, True, 2 * sizes * (q - p) // (q + p))]
+            for channels, upper, d in roles:
+                sig, owner, place = _cells(flat, sizes, channels)
+                n = frequency[(sig & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                order = np.lexsort((sig, n, owner))
+                rank = place  # owners keep their places: the sorted cells of a set fill the same stretch
+                chosen = rank <= d[owner]
+                pick = order[chosen]
+                own = owner[pick]
+                columns = [sig[pick].view(np.int64), ids[own], sizes[own], np.full(len(pick), upper), rank[chosen], np.maximum(1, -(-n[pick] // HOT)), *bits[own].T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), t) if pa.types.is_boolean(t) else pa.array(np.ascontiguousarray(x).astype(t.to_pandas_dtype()), t) for x, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     return classes.select("class", "tokens").mapInArrow(run, schema)
 
@@ -141,12 +155,12 @@ def _probes(classes: DataFrame, frequency: np.ndarray) -> DataFrame:
 def similar_classes(classes: DataFrame) -> DataFrame:
     """``a, b`` (a < b) of all pairs of different token sets that reach the threshold; ``classes`` has ``class, tokens``."""
     p, q = THRESHOLD
-    probes = _probes(classes, _frequencies(classes))
+    frequency = _frequencies(classes)
     # the channel is in the signature, so one number is the whole join key
     key = lambda part: F.col("sig").bitwiseXOR(part.cast("bigint") * 0x9E3779B97F4A7C1).alias("k")
     bits = [f"s{i}" for i in range(SKETCH_WORDS)]
-    left = probes.where("channel = band").select(key(F.pmod(F.xxhash64("class"), F.col("parts"))), "class", "size", "pos", *bits)
-    right = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(key(F.col("part")), "class", "size", "pos", (F.col("band") > F.col("channel")).alias("upper"), *bits)
+    left = _probes(classes, frequency, True).select(key(F.pmod(F.xxhash64("class"), F.col("parts"))), "class", "size", "pos", *bits)
+    right = _probes(classes, frequency, False).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(key(F.col("part")), "class", "size", "pos", "upper", *bits)
     lc, rc = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"r.{n}"))
     most = (lc("size") + rc("size")) * (q - p)  # times 1 / (p + q), the largest difference allowed
     apart = sum((F.bit_count(lc(s).bitwiseXOR(rc(s))) for s in bits[1:]), F.bit_count(lc(bits[0]).bitwiseXOR(rc(bits[0]))))

@@ -107,3 +107,10 @@ def test_order_of_rows_with_parents(spark):
     assert all(got[("c", k)] == (None, True) for k in "xyz") and got[("d", "a")] == (0, False)
     chain = spark.range(300).select(F.lit("k").alias("conv"), F.col("id").cast("string").alias("id"), (F.col("id") - 1).cast("string").alias("parent"), F.lit(None).cast("int").alias("ts"))
     assert all(r["pos"] == int(r["id"]) for r in C.order_replies(chain, "conv", "id", "parent", "ts").collect())
+
+
+def test_clashing_columns(spark):
+    rows = [composer("good", None, {"u": {"type": 1, "text": "q"}, "a": {"type": 2, "text": "r"}}), composer("good", None, {"u": {"type": 1, "text": "q"}, "a": {"type": 2, "text": "r"}})]
+    df = spark.createDataFrame(rows, KV)
+    more = df.withColumns({c: F.lit(1) for c in ("v", "b", "m", "o", "at", "pos", "block", "session_id", "type", "role", "text", "ckey")})
+    assert sorted(tuple(r) for r in C.rebuild(more).collect()) == run(spark, rows) != []

@@ -75,3 +75,14 @@ def test_nothing_to_mix(spark):
     _, docs, targets = corpus(spark)
     assert M.mix(docs.limit(0), targets).count() == 0
     assert M.mix(docs, targets.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    _, docs, targets = corpus(spark)
+    names = ["rid", "n", "tokens", "start", "block", "pass", "shard", "slot", "part"]
+    more = docs.withColumns({c: F.lit("x") for c in names})
+    wide = targets.withColumns({c: F.lit("x") for c in names})
+    same = lambda d, t: sorted(map(str, M.mix(d, t, 16, 32).collect()))
+    assert same(more, wide) == same(docs, targets)

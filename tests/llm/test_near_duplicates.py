@@ -61,12 +61,17 @@ def test_hot_block_is_split(spark, monkeypatch):
 
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        a, b = (np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype(np.int64) * 7919 for _ in range(2))
-        d = len(np.setxor1d(a, b))
-        x = N._sketch(a) ^ N._sketch(b)
-        assert sum(int(v).bit_count() for v in x.view(np.uint64)) <= d
-        assert (N._signatures(a, 3) != N._signatures(b, 3)).sum() <= d
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype(np.int64) * 7919 for _ in range(400)]
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    bits = N._sketches(flat, sizes)
+    sig, owner, place = N._cells(flat, sizes, np.full(400, 3))
+    for i in range(0, 400, 2):
+        d = len(np.setxor1d(sets[i], sets[i + 1]))
+        assert sum(int(v).bit_count() for v in (bits[i] ^ bits[i + 1]).view(np.uint64)) <= d
+        a, b = sig[owner == i], sig[owner == i + 1]
+        assert len(a) == len(b) == N._blocks_of(3) and (a != b).sum() <= d
+        alone, _, _ = N._cells(sets[i], sizes[i : i + 1], np.array([3]))
+        assert (alone == a).all() and (place[owner == i] == np.arange(len(a))).all()
 
 
 def test_bands_meet():
