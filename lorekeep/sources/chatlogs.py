@@ -30,12 +30,12 @@ def jsonl_sessions(spark: SparkSession, path: str, start: str, end: str) -> Data
 
     A session's times are those of all its entries. Meta and side entries, and user entries whose content isn't plain
     text, are no messages; of an assistant's block list the text blocks count. Folders named ``subagents`` are skipped.
-    Messages keep the order of the lines; they are numbered by time and, in it, by their own digest.
+    Messages keep the order of the lines, whatever parts a file is read in.
     """
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     lines = lines.where(~F.col("file").contains("/subagents/")).withColumn("n", F.monotonically_increasing_id())
     e = F.from_json("value", _LINE)
-    rows = lines.withColumn("e", e).where("e is not null").select("file", "n", "e", F.get_json_object("value", "$.message.content").alias("raw"))
+    rows = lines.withColumn("e", e).where("e is not null").select("file", "block", "n", "e", F.get_json_object("value", "$.message.content").alias("raw"))
     spans = rows.groupBy("file").agg(F.min(instant(F.col("e.timestamp"))).alias("first"), F.max(instant(F.col("e.timestamp"))).alias("last"))
     is_list = F.col("raw").startswith("[")
     blocks = F.from_json("raw", _BLOCKS)
@@ -44,8 +44,8 @@ def jsonl_sessions(spark: SparkSession, path: str, start: str, end: str) -> Data
     user = (F.col("e.type") == "user") & ~side & ~F.coalesce("e.isMeta", F.lit(False)) & ~F.coalesce(is_list, F.lit(False))
     asst = (F.col("e.type") == "assistant") & ~side
     content = F.when(user, F.col("raw")).when(asst, F.when(is_list, joined).otherwise(strip(F.col("raw"))))
-    messages = rows.select("file", "n", F.col("e.type").alias("role"), content.alias("content")).where("content rlike '(?U)\\\\S'")
-    packed = messages.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("n", "role", "content"))).alias("m"))
+    messages = rows.select("file", "block", "n", F.col("e.type").alias("role"), content.alias("content")).where("content rlike '(?U)\\\\S'")
+    packed = messages.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "n", "role", "content"))).alias("m"))
     out = packed.join(spans, "file").where((F.col("first") <= F.to_timestamp(F.lit(end))) & (F.col("last") >= F.to_timestamp(F.lit(start))))
     names = F.filter("m", lambda x: x["role"] == "user")
     folder = F.element_at(F.split("file", "/"), -2)
