@@ -561,12 +561,12 @@ def kv_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("frontmatter_roundtrip")
 def frontmatter_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes written as files' texts and read again: ``id`` and whether title, tags, origin and body came back."""
+    """Notes written as files' texts and read again: ``id`` and whether its fields came back."""
     own = recall.one_of_each(table(spark, sf_dir, "memories"))
     back = markdown.from_texts(markdown.as_texts(own)).select("id", F.struct("scope", "value", "source", "tags", "origin", "body").alias("b"))
     fields = [F.nullif(c, F.lit("")).alias(c) for c in ("scope", "value", "source")]
-    mine = own.select("id", F.struct(*fields, F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "origin", F.ltrim(F.lit("\n"), F.coalesce("body", F.lit(""))).alias("body")).alias("a"))
-    return mine.join(back, "id").select("id", *((F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"same_{c}") for c in ("scope", "value", "source", "tags", "body")))
+    mine = own.select("id", F.struct(*fields, F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "origin", F.ltrim(F.coalesce("body", F.lit("")), F.lit("\n")).alias("body")).alias("a"))
+    return mine.join(back, "id").select("id", *((F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"same_{c}") for c in ("scope", "value", "source", "tags", "origin", "body")))
 
 
 @query("marked_blocks", f"""SELECT doc_id, md5(CASE WHEN text IS NULL THEN e'<!-- a -->\\nlist\\n<!-- z -->\\n' ELSE text || CASE WHEN ends_with(text, e'\\n\\n') THEN '' WHEN ends_with(text, e'\\n') THEN e'\\n' ELSE e'\\n\\n' END || e'<!-- a -->\\nlist\\n<!-- z -->\\n' END) AS digest FROM documents""")
