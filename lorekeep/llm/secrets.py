@@ -2,8 +2,8 @@
 
 First the corpus is indexed: every literal that stands where a credential stands (behind a key name, in a URL, behind
 an option ...) or has the form of one, with the number of records that hold it. Literals that many records share are
-placeholders and go; references, masks and templates are none. What is left is confirmed: values of an issued format
-and rare values. Then every text is scanned again with an automaton of the confirmed values, so that an occurrence
+placeholders and go, where records of near-equal text count once; references, masks and templates are none. What is left
+is confirmed: values of an issued format, however many records hold them, and rare values. Then every text is scanned again with an automaton of the confirmed values, so that an occurrence
 without any telling context is found too.
 """
 
@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,8 +24,12 @@ from pyspark.sql import functions as F
 
 from lorekeep.session import written
 
-#: A literal in more records than this is a placeholder.
+#: A literal in more groups of records than this, and than one in ``SHARE`` of all records, is a placeholder.
 MOST_OWNERS = 12
+SHARE = 1000
+#: Words beside the literals from which on a text tells whether records are near-equal, and min-hashes of a text.
+_TELLING = 8
+_HASHES = 16
 #: Bytes of confirmed values up to which one automaton, sent to every task, finds them; more are found by joins.
 AUTOMATON_BYTES = 4 << 20
 #: Bits of the map of values' runs; its size doesn't depend on the data.
@@ -210,27 +215,68 @@ def _automaton(keys: list[str]):
     return _built[1:]
 
 
-def index(texts: DataFrame) -> DataFrame:
-    """``value, owners, issued``: every literal of the corpus with the number of records that hold it."""
+_WORD = re.compile(r"[A-Za-z0-9_]+|[\u4e00-\u9fff]")
+_FACTORS = np.array([xxhash.xxh64_intdigest(f"{i}".encode()) | 1 for i in range(_HASHES)], dtype=np.uint64)
+
+
+def _sketch(text: str, spans: list[tuple[int, int, bool]]) -> list[int] | None:
+    """Min-hashes of the pairs of words around the literals; near-equal texts have most of them in common. None if there
+    are too few words to tell."""
+    parts, at = [], 0
+    for a, b, _ in spans:
+        parts.append(text[at:a])
+        at = b
+    words = _WORD.findall(" ".join([*parts, text[at:]]))
+    if len(words) < _TELLING:
+        return None
+    pairs = np.array([xxhash.xxh64_intdigest(f"{x} {y}".encode()) for x, y in {*zip(words, words[1:], strict=False)}], dtype=np.uint64)
+    return [int(((pairs * f) ^ (pairs * f >> np.uint64(29))).min() >> np.uint64(1)) for f in _FACTORS]
+
+
+def _held(texts: DataFrame) -> DataFrame:
+    """``value, owner, issued, sketch``: every literal of the corpus with each record that holds it, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values, owners, issued = [], [], []
+            values, owners, issued, sketches = [], [], [], []
             for owner, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for x, y, good in literals(text):
+                found = literals(text)
+                sketch = _sketch(text, found) if found else None
+                for x, y, good in found:
                     values.append(text[x:y])
                     owners.append(owner)
-                    issued.append(good)
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(owners, pa.int64()), pa.array(issued, pa.bool_())], names=["value", "owner", "issued"])
+                    issued.append(good and not _EMPTY.match(text[x:y]))
+                    sketches.append(sketch)
+            arrays = [pa.array(values, pa.string()), pa.array(owners, pa.int64()), pa.array(issued, pa.bool_()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["value", "owner", "issued", "sketch"])
+
+    found = texts.select(F.xxhash64("src", "record_id").alias("owner"), "text").mapInArrow(run, "value string, owner bigint, issued boolean, sketch array<bigint>")
+    return written(found.groupBy("value", "owner").agg(F.max("issued").alias("issued"), F.min("sketch").alias("sketch")), "literals")
+
+
+def index(held: DataFrame) -> DataFrame:
+    """``value, owners, issued``: every literal of :func:`_held` with the number of records that hold it."""
+    return held.groupBy("value").agg(F.count("*").alias("owners"), F.max("issued").alias("issued"))
+
 
-    found = texts.select(F.xxhash64("src", "record_id").alias("owner"), "text").mapInArrow(run, "value string, owner bigint, issued boolean")
-    once = found.groupBy("value", "owner").agg(F.max("issued").alias("issued"))
-    return once.groupBy("value").agg(F.count("*").alias("owners"), F.max("issued").alias("issued"))
+def _groups(held: DataFrame) -> DataFrame:
+    """``value, groups``: in how many groups of near-equal records a literal stands: the fewest different values that one
+    of the min-hashes has over its records. A record without a sketch is a group."""
+    own = F.coalesce("sketch", F.array_repeat("owner", _HASHES))
+    each = held.select("value", F.posexplode(own).alias("n", "h")).distinct().groupBy("value", "n").agg(F.count("*").alias("groups"))
+    return each.groupBy("value").agg(F.min("groups").alias("groups"))
 
 
 def confirmed(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """``value`` of the literals that aren't shared widely."""
-    return index(texts).where(F.col("owners") <= most_owners).select("value")
+    """``value`` of the literals that have an issued form or aren't shared widely: that stand in at most ``most_owners``
+    groups of near-equal records or, in a large corpus, in one of ``SHARE`` for each of its records."""
+    held = _held(texts)
+    records = texts.select(F.xxhash64("src", "record_id").alias("owner")).agg(F.approx_count_distinct("owner")).first()[0]
+    most = max(most_owners, records // SHARE)
+    counts = index(held)
+    fine = counts.where((F.col("owners") <= most) | F.col("issued")).select("value")
+    shared = counts.where((F.col("owners") > most) & ~F.col("issued")).select("value")
+    return fine.unionByName(_groups(held.join(shared, "value", "left_semi")).where(F.col("groups") <= most).select("value"))
 
 
 _RUN = re.compile(r"[^\W_]{4,}")

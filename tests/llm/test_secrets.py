@@ -75,3 +75,23 @@ def test_empty_and_long(spark):
     long = "word " * 200_000 + "password=Zz99xx88"
     got = S.find(spark.createDataFrame([("memory", "m", 0, long)], UNIT)).collect()
     assert [r["start_at"] for r in got] == [1_000_000 + 9]
+
+
+def test_shared_live_values_are_kept(spark):
+    """Issued values at any count, and others in versions of one note; a dummy of unrelated records goes."""
+    rng = random.Random(3)
+    words = ["w" + "".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(3000)]
+    note = rng.sample(words, 60)
+    rows = [("task", f"i{i}", 0, f"export X={GH}") for i in range(40)]
+    rows += [("memory", f"v{i}", 0, " ".join([*note[:30], f"edit{i}", *note[30:]]) + " password=Live-pw77x") for i in range(40)]
+    rows += [("session", f"u{i}", 0, " ".join(rng.sample(words, 60)) + " password=Shared-pw77x") for i in range(40)]
+    got = {r["record_id"] for r in S.find(spark.createDataFrame(rows, UNIT)).collect()}
+    assert got == {r[1] for r in rows if r[0] != "session"}
+
+
+def test_bound_grows_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARE", 10)
+    rows = [("task", f"d{i}", 0, "password=Shared-pw77x") for i in range(20)]
+    more = [("task", f"n{i}", 0, "nothing here") for i in range(400)]
+    assert S.find(spark.createDataFrame(rows, UNIT)).count() == 0
+    assert S.find(spark.createDataFrame(rows + more, UNIT)).count() == 20
