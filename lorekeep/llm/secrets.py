@@ -52,8 +52,8 @@ _ISSUED = re.compile(
 )
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:(?!-----BEGIN)[\s\S])*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s\\]*")
 
-#: Characters a bare value ends at.
-_BARE = r"[^\s\"'`<>,;&(){}\[\]，。；（）、|]"
+#: Characters a bare value ends at, Han characters among them.
+_BARE = r"[^\s\"'`<>,;&(){}\[\]，。；（）、|\u4e00-\u9fff]"
 _QUOTED = rf"(?:\"([^\"\n]+)\"|'([^'\n]+)'|({_BARE}+))"
 # Forms are matched on the text in lower case; the value is the last group that matched.
 _KEYED = re.compile(
@@ -66,20 +66,20 @@ _BEFORE = re.compile(r"[a-z0-9_.\-]*$")
 # Places where a credential stands without a key name, each with literals one of which its texts hold.
 _PLACES = [(hints, re.compile(p)) for hints, p in (
     (("://",), r"://[^\s:/@\"'<>]*:([^\s/@\"'<>]+)@"),
-    (("-u ", "-u=", "--user"), r"(?:^|\s)(?:-u|--user)[ =]['\"]?[^\s:'\"]+:([^\s'\"@]+)"),
+    (("-u ", "-u=", "--user"), r"(?:^|\s)(?:-u|--user)[ =](?:['\"][^\s:'\"]+:([^\s'\"@]+)|[^\s:'\"]+:([^\s'\"@\u4e00-\u9fff]+))"),
     (("sshpass",), rf"sshpass\s+-p\s*{_QUOTED}"),
-    (("login ",), r"\blogin\s+\S+\s+password\s+(\S+)"),
+    (("login ",), r"\blogin\s+\S+\s+password\s+([^\s\u4e00-\u9fff]+)"),
     (("identified",), r"\bidentified\s+by\s+(?:'([^']+)'|\"([^\"]+)\")"),
     (("basic",), r"\bauthorization[\"']?\s*[:=,]\s*[\"']?basic\s+([a-z0-9+/]{8,}={0,2})"),
     (("bearer", "token "), r"\b(?:bearer|token)\s+([a-z0-9_\-.=+/]{16,})"),
     (("value:",), rf"name:\s*[\"']?[a-z0-9_\-]*(?:password|secret|token|key)[\"']?\s*\n\s*value:\s*{_QUOTED}"),
     (("value=",), r"name=\"[a-z0-9_.\-]*(?:password|secret|token)\"\s+value=\"([^\"]+)\""),
     (('(\"',), r"\bnew\s+[a-z]\w*\(\s*\"[a-z0-9_]+\",\s*\"([^\"\s]{6,})\"\s*[,)]"),
-    (("/ pass", "/pass", "/ pwd"), r"\b(?:login|user|account|admin)\b[^\n]{0,40}?/\s*(?:pass|password|pwd)\s+([^\s,，。]+)"),
+    (("/ pass", "/pass", "/ pwd"), r"\b(?:login|user|account|admin)\b[^\n]{0,40}?/\s*(?:pass|password|pwd)\s+([^\s,，。\u4e00-\u9fff]+)"),
     (("密码", "口令", "密钥", "令牌"), r"(?:密码|口令|密钥|令牌)\s*(?:是|为|：|:)\s*([^\s，。；、（）\u4e00-\u9fff]+)"),
-    ((" is ",), r"\b(?:password|passphrase|secret|api key|token)\s+is\s+([^\s,，。]+)"),
+    ((" is ",), r"\b(?:password|passphrase|secret|api key|token)\s+is\s+([^\s,，。\u4e00-\u9fff]+)"),
 )]
-_ENTRY = re.compile(r"(?:^|\s)[A-Za-z0-9.\-]+:\d{2,5}:[A-Za-z0-9_*]+:[A-Za-z0-9_]+:(\S+)")
+_ENTRY = re.compile(r"(?:^|\s)[A-Za-z0-9.\-]+:\d{2,5}:[A-Za-z0-9_*]+:[A-Za-z0-9_]+:([^\s\u4e00-\u9fff]+)")
 
 _ISSUED_HINTS = ("akia", "asia", "sk-", "k_live_", "k_test_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "aiza", "eyj")
 _KEY_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey", "private_key", "private-key", "privatekey", "auth_key", "auth-key", "authkey", "credential", "pass", "private key-----")
@@ -179,9 +179,13 @@ def _key(value: str) -> str:
     return value if len(value) <= _HEAD else f"{value[:_HEAD]}\0{len(value)}\0{hashlib.sha1(value.encode()).hexdigest()}"  # noqa: S324
 
 
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z0-9]")
+
+
 def _stands_alone(text: str, a: int, b: int) -> bool:
-    """Whether a value without telling context is long and mixed, and no part of a longer word."""
-    return b - a >= 8 and any(c.isdigit() for c in text[a:b]) and not (text[max(a - 1, 0) : a].isalnum() or text[b : b + 1].isalnum())
+    """Whether a value without telling context is long and mixed, and no part of a longer word. Words are of ASCII letters
+    and digits; Han characters stand beside them without a blank."""
+    return b - a >= 8 and _DIGIT.search(text, a, b) is not None and not _LETTER.match(text, a - 1 if a else len(text)) and not _LETTER.match(text, b)
 
 
 def _spans(text: str, keys: frozenset, automaton) -> list[tuple[int, int]]:
@@ -279,7 +283,7 @@ def confirmed(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     return fine.unionByName(_groups(held.join(shared, "value", "left_semi")).where(F.col("groups") <= most).select("value"))
 
 
-_RUN = re.compile(r"[^\W_]{4,}")
+_RUN = re.compile(r"[A-Za-z0-9]{4,}")
 
 
 def _bit(run: str) -> int:

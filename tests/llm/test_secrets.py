@@ -95,3 +95,23 @@ def test_bound_grows_with_the_corpus(spark, monkeypatch):
     more = [("task", f"n{i}", 0, "nothing here") for i in range(400)]
     assert S.find(spark.createDataFrame(rows, UNIT)).count() == 0
     assert S.find(spark.createDataFrame(rows + more, UNIT)).count() == 20
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("--from-literal=password=zAUL5.Wsusc更稳妥", "zAUL5.Wsusc"), ("aws_secret_access_key = BeWFhHcH+COKeu5D1更稳妥的做法", "BeWFhHcH+COKeu5D1"), ("curl -u deploy:Xy12.z试一下", "Xy12.z"),
+        ("machine h login deploy password n3tRc然后", "n3tRc"), ("the password is a1B2c3然后", "a1B2c3"), ("admin / pass qW3rty改掉", "qW3rty"), ("db.example:5432:app:rw:pgP4ss然后", "pgP4ss"),
+    ],
+)
+def test_bare_values_end_at_han(text, value):
+    assert [text[a:b] for a, b, _ in S.literals(text)] == [value]
+
+
+def test_rescan_beside_han(spark, monkeypatch):
+    rows = [("memory", "m", 0, "password=Abc-defg00001.x"), ("session", "s", 0, "改成Abc-defg00001.x再试，不是xAbc-defg00001.x")]
+    df = spark.createDataFrame(rows, UNIT)
+    want = [("memory", "m", 0, 9), ("session", "s", 0, 2)]
+    assert sorted(tuple(r) for r in S.find(df).collect()) == want
+    monkeypatch.setattr(S, "AUTOMATON_BYTES", 0)
+    assert sorted(tuple(r) for r in S.find(df).collect()) == want
