@@ -14,6 +14,7 @@ import binascii
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -188,18 +189,25 @@ def _stands_alone(text: str, a: int, b: int) -> bool:
     return b - a >= 8 and _DIGIT.search(text, a, b) is not None and not _LETTER.match(text, a - 1 if a else len(text)) and not _LETTER.match(text, b)
 
 
+def _settled(text: str, told: list[tuple[int, int]], good: list[tuple[int, int]], places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The told places that are ``good`` and those of the other places that stand alone, apart from each other; of two
+    that overlap the first counts, then the longer."""
+    out = list(good)
+    for a, b in sorted(places, key=lambda s: (s[0], -s[1])):
+        if not any(a < y and x < b for x, y in told) and not any(a < y and x < b for x, y in out) and _stands_alone(text, a, b):
+            out.append((a, b))
+    return sorted(out)
+
+
 def _spans(text: str, keys: frozenset, automaton) -> list[tuple[int, int]]:
     """Where confirmed values stand: at telling places, and elsewhere if they are long and mixed and stand alone."""
     told = literals(text)
-    out = [(a, b) for a, b, _ in told if _key(text[a:b]) in keys]
+    places = []
     if automaton is not None:
         for end, (head, lengths) in automaton.iter(text):
             a = end + 1 - head
-            for n in lengths:
-                b = a + n
-                if not any(a < y and x < b for x, y, _ in told) and not any(a < y and x < b for x, y in out) and _key(text[a:b]) in keys and _stands_alone(text, a, b):
-                    out.append((a, b))
-    return sorted(out)
+            places += [(a, a + n) for n in lengths if _key(text[a : a + n]) in keys]
+    return _settled(text, [(a, b) for a, b, _ in told], [(a, b) for a, b, _ in told if _key(text[a:b]) in keys], places)
 
 
 _built: list = []
@@ -284,6 +292,8 @@ def confirmed(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
 
 
 _RUN = re.compile(r"[A-Za-z0-9]{4,}")
+#: The first 8 characters of a value without such a run, where it stands alone; neither it nor a run is ever the other.
+_SHORT = re.compile(r"(?<![A-Za-z0-9])(?=((?:(?![A-Za-z0-9]{4})[^ ]){8}))")
 
 
 def _bit(run: str) -> int:
@@ -292,14 +302,16 @@ def _bit(run: str) -> int:
 
 def _keys(texts: DataFrame, most_owners: int) -> tuple[DataFrame, int]:
     """``key, run, offset, bit`` of the confirmed values, written, and how many bytes the keys have. ``run`` is a value's
-    longest run of letters and digits, if it has one of 4."""
+    longest run of letters and digits, or its first 8 characters if it has none of 4; shorter values have none, as they
+    are found at telling places only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for v in b.column(0).to_pylist():
                 m = max(_RUN.finditer(v), key=lambda m: (m.end() - m.start(), -m.start()), default=None)
-                rows.append((_key(v), m and m.group(), m and m.start(), m and _bit(m.group())))
+                part, at = (m.group(), m.start()) if m else (v[:8], 0) if len(v) >= 8 else (None, None)
+                rows.append((_key(v), part, at, part and _bit(part)))
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["key", "run", "offset", "bit"])
 
@@ -331,8 +343,8 @@ def _by_automaton(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _by_join(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """As the automaton, for any number of values: told literals are joined by value, other occurrences by the longest run
-    of letters and digits of a value, which stands whole in every text that holds the value by itself. A bitmap of fixed
-    size keeps runs of no value from being shuffled."""
+    of letters and digits of a value, which stands whole in every text that holds the value by itself, or by its first
+    characters if all its runs are short. A bitmap of fixed size keeps runs of no value from being shuffled."""
 
     held = keys.where("run is not null")
     maps = held.groupBy((F.col("bit") / 32768).cast("int").alias("n")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("m")).collect()  # _BITS bits in all
@@ -345,11 +357,12 @@ def _by_join(texts: DataFrame, keys: DataFrame) -> DataFrame:
             for i, text in enumerate(b.column(3).to_pylist()):
                 for x, y, _ in literals(text):
                     rows.append(i), starts.append(x), ends.append(y), values.append(_key(text[x:y]))
-                for m in _RUN.finditer(text):
-                    bit = _bit(m.group())
+                for m in chain(_RUN.finditer(text), _SHORT.finditer(text)):
+                    run = m.group(m.lastindex or 0)
+                    bit = _bit(run)
                     part = maps.get(bit // 32768)
                     if part and part[bit % 32768 // 8] >> bit % 8 & 1:
-                        rows.append(i), starts.append(m.start()), ends.append(-1), values.append(m.group())
+                        rows.append(i), starts.append(m.start()), ends.append(-1), values.append(run)
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(3)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(values, pa.string())], names=[*_UNIT, "start", "end", "value"])
 
@@ -363,14 +376,16 @@ def _by_join(texts: DataFrame, keys: DataFrame) -> DataFrame:
             rows, starts, ends = [], [], []
             for i, (text, spans) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
                 told = [(s["start"], s["end"]) for s in spans if s["key"] is None]
-                out = [(s["start"], s["end"]) for s in spans if s["key"] is None and s["good"]]
-                for s in sorted((s for s in spans if s["key"] is not None), key=lambda s: (s["start"], -len(s["key"]), s["key"])):
-                    _, _, rest = s["key"].partition("\0")
-                    a = s["start"]
-                    z = a + (int(rest.partition("\0")[0]) if rest else len(s["key"]))
-                    if a >= 0 and _key(text[a:z]) == s["key"] and _stands_alone(text, a, z) and not any(a < y and x < z for x, y in told) and not any(a < y and x < z for x, y in out):
-                        out.append((a, z))
-                for x, y in sorted(out):
+                good = [(s["start"], s["end"]) for s in spans if s["key"] is None and s["good"]]
+                places = []
+                for s in spans:
+                    if s["key"] is not None and s["start"] >= 0:
+                        _, _, rest = s["key"].partition("\0")
+                        a = s["start"]
+                        z = a + (int(rest.partition("\0")[0]) if rest else len(s["key"]))
+                        if _key(text[a:z]) == s["key"]:
+                            places.append((a, z))
+                for x, y in _settled(text, told, good, places):
                     rows.append(i), starts.append(x), ends.append(y)
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(3)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[*_UNIT, "start", "end"])

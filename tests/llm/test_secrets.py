@@ -115,3 +115,14 @@ def test_rescan_beside_han(spark, monkeypatch):
     assert sorted(tuple(r) for r in S.find(df).collect()) == want
     monkeypatch.setattr(S, "AUTOMATON_BYTES", 0)
     assert sorted(tuple(r) for r in S.find(df).collect()) == want
+
+
+def test_joins_find_values_of_short_runs(spark, monkeypatch):
+    """And of two values that overlap, both ways take the longer one."""
+    rows = [("memory", "m", 0, "password=aB3-xY9-q7Z_k2W"), ("memory", "n", 0, "secret=a-1-b-2-c"), ("memory", "o", 0, "password=Abc-defg1"), ("memory", "p", 0, "password=Abc-defg1.x9")]
+    rows += [("session", "s", 0, "saw aB3-xY9-q7Z_k2W, xaB3-xY9-q7Z_k2W aB3-xY9-q7Z_k2W1 and 用a-1-b-2-c再试"), ("session", "t", 0, "saw Abc-defg1.x9 there")]
+    df = spark.createDataFrame(rows, UNIT)
+    once = sorted(tuple(r) for r in S.spans(df).collect())
+    assert once[-3:] == [("session", "s", 0, 4, 19), ("session", "s", 0, 60, 69), ("session", "t", 0, 4, 16)] and len(once) == 7
+    monkeypatch.setattr(S, "AUTOMATON_BYTES", 0)
+    assert sorted(tuple(r) for r in S.spans(df).collect()) == once
