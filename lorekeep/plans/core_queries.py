@@ -643,3 +643,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as pages; those cut are left to the tests."""
     out = _documents(spark, sf_dir).where(F.octet_length("text") <= 60_000).select("doc_id", notes.page(F.col("text")).alias("t"))
     return out.select("doc_id", F.length("t").cast("bigint").alias("chars"), F.octet_length("t").cast("bigint").alias("bytes"))
+
+
+_CUT = ", ".join(f"try(decode(encode(text)[1:{60_000 - i}]))" for i in range(4))
+
+
+@query("pages_cut", f"SELECT doc_id, length(t) AS chars, octet_length(encode(t)) AS bytes, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 60000 THEN text ELSE coalesce({_CUT}) END AS t FROM documents)")
+def pages_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a page, long ones cut and null ones too; ``pages`` has those that need no cut."""
+    out = _documents(spark, sf_dir).select("doc_id", notes.page(F.col("text")).alias("t"))
+    return out.select("doc_id", F.length("t").cast("bigint").alias("chars"), F.octet_length("t").cast("bigint").alias("bytes"), F.md5("t").alias("digest"))
