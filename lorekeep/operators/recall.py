@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +14,7 @@ from pyspark.sql.window import Window
 from lorekeep.functions.text import jaccard, title, words
 from lorekeep.functions.times import instant
 from lorekeep.operators import bm25
+from lorekeep.session import written
 
 # Weights, half-life in days, floor, and the boost of recalls within so many days.
 VALUE_WEIGHT = {"high": 1.5, "medium": 1.0, "low": 0.5}
@@ -121,6 +127,57 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
+def _blocks(rows: DataFrame, key: str, vector: str, most: int) -> DataFrame:
+    """``dim, ids, unit``: rows of one width in blocks of ``most``, their vectors scaled to length 1; rows without a whole
+    vector have no cosine and don't come out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            widths = pc.list_value_length(b.column(1))
+            out = []
+            for dim in pc.unique(widths).to_pylist():
+                own = b.filter(pc.equal(widths, dim))
+                for at in range(0, own.num_rows, most):
+                    part = own.slice(at, most)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dim)
+                    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                    out.append((dim, part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), unit.tobytes()))
+            kinds = (pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["dim", "ids", "unit"])
+
+    whole = rows.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    return whole.mapInArrow(run, "dim int, ids binary, unit binary")
+
+
+def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """``query_id, <key>, cosine`` of the ``k`` rows nearest to each query, itself among them if it is a row; cosines of 4
+    places, the smaller id first among equal ones. Every query meets every row, block against block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # of the query blocks of this task
+        for b in batches:
+            for dim, asked, a, width, ids, u in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if dim != width:
+                    continue
+                x = np.frombuffer(a).reshape(-1, dim) @ np.frombuffer(u).reshape(-1, dim).T
+                score = np.copysign(np.floor(np.abs(x) * 10_000 + 0.5), x).astype(np.int64)
+                at = np.broadcast_to(np.frombuffer(ids, np.int64), score.shape)
+                if asked in best:
+                    score, at = np.hstack([best[asked][0], score]), np.hstack([best[asked][1], at])
+                order = np.lexsort((at, -score), axis=1)[:, :k]
+                best[asked] = (np.take_along_axis(score, order, 1), np.take_along_axis(at, order, 1))
+        for asked, (score, at) in best.items():
+            q = np.repeat(np.frombuffer(asked, np.int64), score.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(at.ravel()), pa.array(score.ravel())], names=["query_id", "key", "score"])
+
+    left = written(_blocks(queries, key, vector, 256), "queries").select("dim", F.col("ids").alias("asked"), F.col("unit").alias("a"))
+    right = written(_blocks(rows, key, vector, 2048), "rows").withColumnRenamed("dim", "width")
+    met = left.crossJoin(right).mapInArrow(run, "query_id bigint, key bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), (F.col("score") / 10_000).alias("cosine"))
+
+
 def fuse(rows: DataFrame, bm25_column: str, cosine_column: str, weight: float = 0.3) -> DataFrame:
     """Adds ``final_score``: the min-max scaled BM25 score and the cosine, weighted. The two ends are one row that comes
     to the driver first, so no window runs over all rows; a null cosine counts as 0."""

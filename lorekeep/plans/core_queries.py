@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import cleaning, text
 from lorekeep.operators import bm25, delivery, notes, recall, sessions, topics
-from lorekeep.session import shared_dir, table
+from lorekeep.session import shared_dir, table, written
 from lorekeep.sources import chatlogs, markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,6 +242,35 @@ def fused_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.fuse(near, "bm25", "cosine").select("key", (F.round("final_score", 4) + 0.0).alias("final_score"))
 
 
+_QUERIES = "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0"
+
+
+@query("cosine_neighbours", f"WITH q AS ({_QUERIES}), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 4) AS cosine FROM embeddings, q) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 20")
+def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of every row whose id is divisible by 20; ``cosine_topk`` has those of the first row."""
+    rows = table(spark, sf_dir, "embeddings")
+    return recall.nearest(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 20)
+
+
+@query(
+    "fused_neighbours",
+    _bm25(_DOCS, SEARCH) + f""",
+qe AS ({_QUERIES}),
+top AS (SELECT key, bm25 FROM s WHERE abs(bm25) >= 1e-9 ORDER BY round(bm25, 9) DESC, key LIMIT 50),
+j AS (SELECT query_id, key, bm25, coalesce(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), e), 0) AS cosine FROM top LEFT JOIN embeddings v ON v.vec_id = top.key, qe)
+SELECT query_id, key, round(0.3 * (bm25 - min(bm25) OVER ()) / (CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 1 ELSE max(bm25) OVER () - min(bm25) OVER () END) + 0.7 * cosine, 4) AS final_score FROM j""",
+)
+def fused_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of the search ranked against every row whose id is divisible by 20; ``fused_rerank`` takes the first."""
+    scored = bm25.scores(_documents(spark, sf_dir), SEARCH, "source", "doc_id", "text").where("abs(bm25) >= 1e-9")
+    vectors = table(spark, sf_dir, "embeddings")
+    top = scored.orderBy(F.round("bm25", 9).desc(), "key").limit(50)
+    top = written(top.join(vectors, top["key"] == vectors["vec_id"], "left").select("key", "bm25", "embedding"), "candidates")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    near = asked.crossJoin(F.broadcast(top)).withColumn("cosine", recall.cosine(F.col("embedding"), F.col("asked")))
+    return recall.fuse(near, "bm25", "cosine").select("query_id", "key", (F.round("final_score", 4) + 0.0).alias("final_score"))
+
+
 # --- sessions ---------------------------------------------------------------------------------------------------------
 
 _LATEST = _KEYED + ", k AS (SELECT * FROM r WHERE rn = 1)"
