@@ -588,6 +588,14 @@ def kv_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.groupBy(F.substring_index("key", ":", 1).alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
 
 
+@query("kv_all_kinds", "SELECT CASE WHEN starts_with(key, 'composer.content.') THEN 'composer.content' ELSE split_part(key, ':', 1) END AS kind, count(*) AS n, count(DISTINCT key) AS keys FROM cursor_disk_kv GROUP BY 1")
+def kv_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows by kind; ``kv_kinds`` leaves out the kind that no colon follows."""
+    once = table(spark, sf_dir, "cursor_disk_kv").groupBy("key").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("key").startswith("composer.content."), "composer.content").otherwise(F.substring_index("key", ":", 1))
+    return once.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
+
+
 @query("frontmatter_roundtrip")
 def frontmatter_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes written as files' texts and read again: ``id`` and whether its fields came back."""

@@ -32,3 +32,10 @@ def test_nearest_answers_every_query(spark):
 
     for q in (0, 1000, 4980, 5000):
         assert sorted(got[q]) == sorted((-cosine(rows[q][1], v), i) for i, v in rows[:5001])[:5]
+
+
+def test_every_kind_of_key_is_counted(spark, tmp_path):
+    keys = ["composer.content.a", "composer.content.a", "composer.content.b:c", "bubbleId:s:1", "composerData:s"]
+    spark.createDataFrame([(k,) for k in keys], "key string").write.parquet(f"{tmp_path}/cursor_disk_kv.parquet")
+    got = {tuple(r) for r in core_queries.QUERIES["kv_all_kinds"](spark, str(tmp_path)).select("kind", "n", "keys").collect()}
+    assert got == {("composer.content", 3, 2), ("bubbleId", 1, 1), ("composerData", 1, 1)}
