@@ -18,7 +18,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folder of the public vocabulary files; a parameter of every function below.
 VOCABULARIES = os.environ.get("LOREKEEP_TOKENIZERS", "/opt/tokenizers")
@@ -32,7 +33,8 @@ _CHUNK = f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
 SHORT = 128
 #: Words and chunks that a worker remembers.
 REMEMBERED = 400_000
-#: Texts of one Arrow batch are encoded in slices of about so many ids.
+#: Ids after which the texts encoded so far are handed on, and texts taken from Arrow at once.
+SLICE, TEXTS = 1 << 18, 64
 _NONE = 1 << 30
 
 
@@ -119,9 +121,33 @@ class Encoder:
         return out
 
 
+def _file(name: str, folder: str) -> str:
+    """The vocabulary's path here: in the folder, or where :func:`share` put it."""
+    path = f"{folder}/{name}.tiktoken"
+    return path if os.path.exists(path) else SparkFiles.get(f"{name}.tiktoken")
+
+
 @lru_cache(maxsize=4)
 def encoder(name: str = VOCABULARY, folder: str = VOCABULARIES) -> Encoder:
-    return Encoder(f"{folder}/{name}.tiktoken")
+    return Encoder(_file(name, folder))
+
+
+@lru_cache(maxsize=16)
+def width(name: str = VOCABULARY, folder: str = VOCABULARIES) -> int:
+    """Bytes of an id: 2, or 4 for a vocabulary of more than 65 536."""
+    with open(_file(name, folder), "rb") as f:
+        return 2 if max((int(x.split()[1]) for x in f if x.strip()), default=0) < 1 << 16 else 4
+
+
+_shared: set[tuple[str, str]] = set()
+
+
+def share(spark: SparkSession, name: str = VOCABULARY, folder: str = VOCABULARIES) -> None:
+    """Give the vocabulary file to workers that don't see the folder, once an application; local ones see it."""
+    context, path = spark.sparkContext, f"{folder}/{name}.tiktoken"
+    if not context.master.startswith("local[") and (context.applicationId, path) not in _shared and os.path.exists(path):
+        context.addFile(path)
+        _shared.add((context.applicationId, path))
 
 
 def encode_column(df: DataFrame, key: str, text: str, ids: str = "ids", name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
@@ -130,16 +156,26 @@ def encode_column(df: DataFrame, key: str, text: str, ids: str = "ids", name: st
     One row comes out for each that goes in, whatever the key (null and repeated keys too). Nothing is shuffled, and
     only the two columns are read.
     """
+    share(df.sparkSession, name, folder)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name, folder).encode
-        for batch in batches:
-            flat, ends = array("i"), [0]
-            for t in batch.column(1).to_pylist():
-                flat.extend(encode(t))
-                ends.append(len(flat))
+
+        def made(batch: pa.RecordBatch, first: int, flat: array, ends: list[int]) -> pa.RecordBatch:
             values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=[key, ids])
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ends) - 1), values], names=[key, ids])
+
+        for batch in batches:
+            first, flat, ends = 0, array("i"), [0]
+            for at in range(0, batch.num_rows, TEXTS):
+                for t in batch.column(1).slice(at, TEXTS).to_pylist():
+                    flat.extend(encode(t))
+                    ends.append(len(flat))
+                if len(flat) >= SLICE:
+                    yield made(batch, first, flat, ends)
+                    first, flat, ends = first + len(ends) - 1, array("i"), [0]
+            if len(ends) > 1:
+                yield made(batch, first, flat, ends)
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{ids}` array<int>")
