@@ -1,10 +1,11 @@
 """A mix of sources at target weights, in fixed-length blocks of tokens.
 
-The token stream of each source is packed into blocks. Each output shard draws how many of its slots a source fills,
-multinomially, on condition that the totals over all shards equal the plan (so that the actual shares are met exactly
-to the block). A source's slots are numbered through all shards; slot q stands for pass ``q // n`` over the source's n
-blocks and, in that pass, for the block that a pseudorandom permutation of the indices puts there. Blocks are joined to
-slots by index.
+The token stream of each source is packed into blocks. Each output shard draws by a multinomial how many of its slots a
+source fills; every shard has its own seed, so any task can draw for any shard and no list of shards exists anywhere. A
+source's slots are numbered through all shards. The draws' totals stray from the plan by about the root of the number of
+slots; so many slots of the sources that drew too many, spread evenly, go to those that drew too few, and the actual shares
+and the caps are met exactly to the block. Number q stands for pass ``q // n`` over the source's n blocks and, in that pass,
+for the block that a pseudorandom permutation of the indices puts there. Blocks are joined to slots by index.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorekeep.llm.tokens import VOCABULARIES, VOCABULARY, encoder
+from lorekeep.llm.tokens import VOCABULARIES, VOCABULARY, encoder, share, width
 from lorekeep.session import written
 
 #: Tokens of a block.
 BLOCK = 512
 #: Slots of an output shard.
 SHARD = 4096
+#: Shards that one row of work draws for.
+RANGE = 32
 #: Most sources that a table of targets may name: the plan is made on the driver.
 MOST_SOURCES = 10_000
 SEED = 20
@@ -70,28 +73,33 @@ def plan(targets: list[tuple[str, float, int]], tokens: dict[str, int], block: i
     return [Share(s, w, r, n, blocks[s], slots[s]) for s, w, r, n in rows]
 
 
-def shard_counts(shares: list[Share], shard: int = SHARD, seed: int = SEED) -> Iterator[tuple[int, str, int, int]]:
-    """``shard, source, count, first``: the draw of each shard and the number of the source's first slot in it."""
-    rng = np.random.default_rng(seed)
-    left = np.array([s.slots for s in shares], np.int64)
-    first = np.zeros(len(shares), np.int64)
-    k = 0
-    while (total := int(left.sum())) > 0:
-        draw = left.copy() if total <= shard else _draw(rng, left, shard)
-        for i in np.flatnonzero(draw):
-            yield k, shares[i].source, int(draw[i]), int(first[i])
-        first += draw
-        left -= draw
-        k += 1
+def shard_draw(weights: np.ndarray, shard: int, size: int, seed: int = SEED) -> np.ndarray:
+    """How many of the ``size`` slots of a shard each source fills: a multinomial draw of the shard's own generator."""
+    return np.random.default_rng((seed, shard)).multinomial(size, weights / weights.sum()).astype(np.int64)
 
 
-def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    out, rest = np.zeros_like(left), int(left.sum())
-    for i, x in enumerate(left):
-        rest -= int(x)
-        out[i] = 0 if n == 0 or x == 0 else (n if rest == 0 else rng.hypergeometric(int(x), rest, n))
-        n -= int(out[i])
-    return out
+@dataclass(frozen=True)
+class Settled:
+    """Slots as drawn brought to the plan: of the sources that drew too many, evenly spread numbers go to the others."""
+
+    planned: np.ndarray
+    drawn: np.ndarray
+
+    def numbers(self, source: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The source and the number in it that a source's drawn slots ``q`` stand for in the end."""
+        over = np.maximum(self.drawn - self.planned, 0)
+        x, all_ = int(over[source]), max(int(self.drawn[source]), 1)
+        before = q * x // all_
+        out, number = np.full(len(q), source, np.int64), q - before
+        moved = (q + 1) * x // all_ > before
+        if moved.any():
+            short = np.maximum(self.planned - self.drawn, 0)
+            ends = np.cumsum(short)
+            j = int(over[:source].sum()) + before[moved]
+            to = np.searchsorted(ends, j, side="right")
+            out[moved] = to
+            number[moved] = self.drawn[to] + j - (ends - short)[to]
+        return out, number
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -113,21 +121,26 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def encoded(documents: DataFrame, sources: DataFrame, name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
-    """``source, doc_id, n, tokens, rid`` of the listed sources' documents; tokens little-endian, two bytes each; ``rid``
-    numbers the rows and is fixed once the table is written.
+def encoded(documents: DataFrame, sources: list[str], name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
+    """``source, doc_id, n, tokens, rid`` of the listed sources' documents (at most ``MOST_SOURCES``); tokens little-endian,
+    :func:`width` bytes each; ``rid`` numbers the rows and is fixed once the table is written.
 
     Null, empty texts and documents with a null id or with a source that is null or not listed don't come out.
     """
-    wide = "<u2"
+    spark = documents.sparkSession
+    bytes_ = width(name, folder)
+    share(spark, name, folder)
+    listed = spark.createDataFrame([(s,) for s in sources], "source string")
     picked = documents.where("doc_id is not null and source is not null and text is not null").select("source", "doc_id", "text")
-    picked = picked.join(F.broadcast(sources.select("source").distinct()), "source", "left_semi").where("text <> ''")
+    picked = picked.join(F.broadcast(listed), "source", "left_semi").where("text <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name, folder).encode
-        for batch in batches:
-            packed = [np.asarray(encode(t), wide).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 2 for x in packed], pa.int32()), pa.array(packed, pa.binary())], names=["source", "doc_id", "n", "tokens"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                packed = [np.asarray(encode(t), f"<u{bytes_}").tobytes() for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // bytes_ for x in packed], pa.int32()), pa.array(packed, pa.binary())], names=["source", "doc_id", "n", "tokens"])
 
     return picked.mapInArrow(run, "source string, doc_id bigint, n int, tokens binary").withColumn("rid", F.monotonically_increasing_id())
 
@@ -159,10 +172,10 @@ def _starts(docs: DataFrame) -> DataFrame:
     return local.join(base, ["source", "part"]).select("rid", (F.col("base") + F.col("at")).alias("start"))
 
 
-def packed_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def packed_blocks(docs: DataFrame, block: int = BLOCK, bytes_: int = 2) -> DataFrame:
     """``source, block, n_tokens, tokens``: each source's documents in order of their ids, end to end, cut into blocks.
 
-    ``docs`` is a written table of :func:`encoded`. The last block of a source is shorter. Rows of one id lie one behind
+    ``docs`` is a written table of :func:`encoded`, ``bytes_`` the bytes of a token. The last block of a source is shorter. Rows of one id lie one behind
     the other.
     """
     placed = docs.select("rid", "source", "n", "tokens").join(_starts(docs), "rid").where("n > 0")
@@ -170,39 +183,68 @@ def packed_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     pieces = placed.withColumn("block", F.explode(F.sequence(first, F.floor((F.col("start") + F.col("n") - 1) / block))))
     lo = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     hi = F.least((F.col("block") + 1) * block - F.col("start"), F.col("n"))
-    pieces = pieces.select("source", "block", F.greatest(F.col("start"), F.col("block") * block).alias("from"), F.substring("tokens", (lo * 2 + 1).cast("int"), ((hi - lo) * 2).cast("int")).alias("piece"))
+    pieces = pieces.select("source", "block", F.greatest(F.col("start"), F.col("block") * block).alias("from"), F.substring("tokens", (lo * bytes_ + 1).cast("int"), ((hi - lo) * bytes_).cast("int")).alias("piece"))
     joined = pieces.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("from", "piece"))).alias("p"))
     tokens = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["piece"]))
-    return joined.select("source", "block", tokens.alias("tokens")).withColumn("n_tokens", (F.length("tokens") / 2).cast("int"))
+    return joined.select("source", "block", tokens.alias("tokens")).withColumn("n_tokens", (F.length("tokens") / bytes_).cast("int"))
 
 
 def slots(spark: SparkSession, shares: list[Share], shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """``shard, slot, source, pass, block`` of the whole mix."""
-    count = {s.source: s.blocks for s in shares}
-    number = {s.source: i for i, s in enumerate(shares)}
-    rows = list(shard_counts(shares, shard, seed))
-    place: dict[int, int] = {}
-    table = []
-    for k, source, n, first in rows:
-        table.append((k, source, n, first, place.get(k, 0)))
-        place[k] = place.get(k, 0) + n
-    table = [(*r, place[r[0]]) for r in table]
-    frame = spark.createDataFrame(table or [], "shard int, source string, n int, first bigint, at int, size int")
-    frame = frame.repartition(max(1, min(len(table), spark.sparkContext.defaultParallelism * 4)))
+    """``shard, slot, source, pass, block`` of the whole mix.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two passes over ranges of shards, both drawn in tasks: the first sums each range's draws, the second draws the same
+    again and numbers the slots from the sums of the ranges before. The driver holds a few numbers a source.
+    """
+    names, blocks = [s.source for s in shares], [max(s.blocks, 1) for s in shares]
+    planned = np.array([s.slots for s in shares], np.int64)
+    total = int(planned.sum())
+    shards = -(-total // shard)
+    out = "shard bigint, slot int, source string, pass int, block bigint"
+    if not total:
+        return spark.createDataFrame([], out)
+    weights = planned.astype(np.float64)
+    ranges = -(-shards // RANGE)
+    parts = int(min(ranges, max(spark.sparkContext.defaultParallelism * 2, ranges // 64)))
+
+    def draws(r: int) -> Iterator[tuple[int, np.ndarray]]:
+        for k in range(r * RANGE, min((r + 1) * RANGE, shards)):
+            yield k, shard_draw(weights, k, min(shard, total - k * shard), seed)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                n, blocks, source = r["n"], count[r["source"]], r["source"]
-                q = np.arange(r["first"], r["first"] + n, dtype=np.int64)
-                turn = q // blocks
-                index = np.empty(n, np.int64)
-                for t in np.unique(turn):
-                    index[turn == t] = permuted(q[turn == t] % blocks, blocks, (seed * 1_000_003 + number[source]) * 4096 + int(t))
-                slot = permuted(np.arange(r["at"], r["at"] + n, dtype=np.int64), r["size"], seed * 7_919 + r["shard"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["shard"]), pa.int32()), pa.array(slot, pa.int32()), pa.array([source] * n), pa.array(turn, pa.int32()), pa.array(index, pa.int64())], names=["shard", "slot", "source", "pass", "block"])
+            for r in batch.column(0).to_pylist():
+                n = sum(d for _, d in draws(r))
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r), pa.int64()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["r", "s", "n"])
+
+    drawn = written(spark.range(0, ranges, 1, parts).mapInArrow(sums, "r bigint, s int, n bigint"), "draws")
+    sizes = np.zeros(len(shares), np.int64)
+    for row in drawn.groupBy("s").agg(F.sum("n").alias("n")).collect():  # one row a source
+        sizes[row["s"]] = row["n"]
+    settled = Settled(planned, sizes)
+    before = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    base = drawn.select("r", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    work = base.groupBy("r").agg(F.collect_list(F.struct("s", "base")).alias("bases"))  # at most one entry a source
 
-    return frame.mapInArrow(run, "shard int, slot int, source string, pass int, block bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, bases in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                first = np.zeros(len(names), np.int64)
+                for b in bases:
+                    first[b["s"]] = b["base"]
+                for k, draw in draws(r):
+                    held = [settled.numbers(int(s), np.arange(first[s], first[s] + draw[s])) for s in np.flatnonzero(draw)]
+                    first += draw
+                    source, number = (np.concatenate(x) for x in zip(*held, strict=True))
+                    n = np.array(blocks, np.int64)[source]
+                    turn, index = number // n, number % n
+                    for s, t in np.unique(np.stack([source, turn]), axis=1).T.tolist():
+                        own = (source == s) & (turn == t)
+                        index[own] = permuted(index[own], blocks[s], (seed * 1_000_003 + s) * 4096 + t)
+                    slot = permuted(np.arange(len(source), dtype=np.int64), len(source), seed * 7_919 + k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(source), k), pa.int64()), pa.array(slot, pa.int32()), pa.array([names[s] for s in source.tolist()], pa.string()), pa.array(turn, pa.int32()), pa.array(index, pa.int64())], names=["shard", "slot", "source", "pass", "block"])
+
+    return work.mapInArrow(run, out)
 
 
 def _targets(targets: DataFrame) -> list[tuple[str, float, int]]:
@@ -212,28 +254,29 @@ def _targets(targets: DataFrame) -> list[tuple[str, float, int]]:
     return [tuple(r) for r in rows]
 
 
-def _planned(docs: DataFrame, targets: DataFrame, block: int) -> list[Share]:
+def _planned(docs: DataFrame, targets: list[tuple[str, float, int]], block: int) -> list[Share]:
     sizes = docs.groupBy("source").agg(F.sum("n").alias("n")).collect()  # one row a listed source
-    return plan(_targets(targets), {r["source"]: r["n"] for r in sizes}, block)
+    return plan(targets, {r["source"]: r["n"] for r in sizes}, block)
 
 
-def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
     """``shard, slot, source, pass, block, n_tokens, tokens`` of the whole mix; see :func:`unpacked` for the ids.
 
     Documents whose source is null or not listed stay out, as do null and empty texts. An empty table gives no rows.
     """
-    docs = written(encoded(documents, targets), "encoded")
-    shares = _planned(docs, targets, block)
-    chosen = slots(documents.sparkSession, shares, shard, seed)
+    listed = _targets(targets)
+    docs = written(encoded(documents, [t[0] for t in listed], name, folder), "encoded")
+    chosen = slots(documents.sparkSession, _planned(docs, listed, block), shard, seed)
     # both sides grow with the data, whatever the planner makes of the slots' size
-    return chosen.hint("merge").join(packed_blocks(docs, block), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "n_tokens", "tokens")
+    return chosen.hint("merge").join(packed_blocks(docs, block, width(name, folder)), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "n_tokens", "tokens")
 
 
-def shares(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
     """``source, target_share, max_repeats, tokens, blocks, slots, mixed_tokens, actual_share, passes`` of each target."""
     spark = documents.sparkSession
-    docs = written(encoded(documents, targets).select("source", "n"), "sizes")
-    planned = _planned(docs, targets, block)
+    listed = _targets(targets)
+    docs = written(encoded(documents, [t[0] for t in listed], name, folder).select("source", "n"), "sizes")
+    planned = _planned(docs, listed, block)
     rows = [(s.source, s.target, s.repeats, s.tokens, s.blocks, s.slots, s.tokens % block or (block if s.tokens else 0)) for s in planned]
     frame = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens bigint, blocks bigint, slots bigint, rest bigint")
     drawn = slots(spark, planned, shard, seed).join(F.broadcast(frame.select("source", "blocks", "rest")), "source")
@@ -243,12 +286,13 @@ def shares(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard:
     return out.select("source", "target_share", "max_repeats", "tokens", "blocks", "slots", "mixed_tokens", (F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy())).alias("actual_share"), "passes")
 
 
-def unpacked(rows: DataFrame) -> DataFrame:
-    """The rows of :func:`mix` with ``tokens`` as ``array<int>``."""
+def unpacked(rows: DataFrame, bytes_: int = 2) -> DataFrame:
+    """The rows of :func:`mix` with ``tokens`` as ``array<int>``; ``bytes_`` is the vocabulary's :func:`width`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("tokens")
-            ids = [np.frombuffer(x, "<u2").astype(np.int32) for x in batch.column(at).to_pylist()]
+            ids = [np.frombuffer(x, f"<u{bytes_}").astype(np.int32) for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, "tokens", pa.array(ids, pa.list_(pa.int32())))
 
     fields = ", ".join(f"`{f.name}` {'array<int>' if f.name == 'tokens' else f.dataType.simpleString()}" for f in rows.schema)

@@ -95,6 +95,11 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+@query("p7_ids")
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.unpacked(p7_mix(spark, sf_dir), tokens.width())
+
+
 @query("p7_shares")
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))

@@ -16,15 +16,39 @@ def test_plan_meets_targets_and_caps():
     assert M.plan([], {}) == []
 
 
-def test_draws_add_up():
+def test_draws_are_multinomial_and_repeatable():
+    weights = np.array([600.0, 300.0, 100.0, 0.0])
+    draws = np.stack([M.shard_draw(weights, k, 1000, 3) for k in range(400)])
+    assert (draws.sum(axis=1) == 1000).all() and (draws[:, 3] == 0).all()
+    assert (M.shard_draw(weights, 7, 1000, 3) == draws[7]).all()
+    p = weights / 1000
+    assert np.allclose(draws.mean(axis=0), 1000 * p, atol=3)
+    assert np.allclose(draws.var(axis=0)[:3], (1000 * p * (1 - p))[:3], rtol=0.3)  # a multinomial's spread
+
+
+def test_draws_are_settled_to_the_plan():
+    planned, drawn = np.array([500, 300, 200, 0]), np.array([520, 260, 190, 30])
+    settled = M.Settled(planned, drawn)
+    held = [settled.numbers(s, np.arange(drawn[s])) for s in range(4)]
+    got = sorted((int(s), int(q)) for a, b in held for s, q in zip(a, b, strict=True))
+    assert got == [(s, q) for s in range(4) for q in range(planned[s])]
+    kept, number = held[0]
+    moved = np.flatnonzero(kept != 0)
+    assert len(moved) == 20 and np.diff(moved).max() <= 27  # evenly spread
+    assert (np.diff(number[kept == 0]) == 1).all()
+
+
+def test_slots_of_many_ranges(spark):
     shares = M.plan([("a", 0.6, 3), ("b", 0.4, 3)], {"a": 40_000, "b": 9_000}, 10)
-    rows = list(M.shard_counts(shares, 64, 1))
+    rows = M.slots(spark, shares, 16, 1).collect()
+    assert len({r["shard"] for r in rows}) > 2 * M.RANGE
     for s in shares:
-        own = [r for r in rows if r[1] == s.source]
-        assert sum(r[2] for r in own) == s.slots
-        assert [r[3] for r in own] == list(np.cumsum([0, *[r[2] for r in own]])[:-1])
-    sizes = np.bincount([r[0] for r in rows], [r[2] for r in rows])
-    assert (sizes[:-1] == 64).all() and len({r[2] for r in rows if r[1] == "b"}) > 3  # drawn, not even
+        own = [(r["pass"], r["block"]) for r in rows if r["source"] == s.source]
+        assert len(own) == len(set(own)) == s.slots
+    sizes = np.bincount([r["shard"] for r in rows])
+    assert (sizes[:-1] == 16).all()
+    own = np.bincount([r["shard"] for r in rows if r["source"] == "b"], minlength=len(sizes))
+    assert len(set(own[:-1].tolist())) > 5  # drawn, not even
 
 
 def test_permutation():
@@ -43,7 +67,7 @@ def corpus(spark):
 
 def test_blocks_hold_every_token_in_order(spark):
     rows, docs, targets = corpus(spark)
-    blocks = M.packed_blocks(written(M.encoded(docs, targets)), 16).orderBy("source", "block").collect()
+    blocks = M.packed_blocks(written(M.encoded(docs, ["big", "small", "absent"])), 16).orderBy("source", "block").collect()
     enc = encoder()
     for source in ("big", "small"):
         want = [t for i, x, s in rows if s == source and i is not None and x for t in enc.encode(x)]
@@ -71,6 +95,13 @@ def test_mix_and_shares(spark):
     assert ids[: len(encoder().encode("small words here"))] == encoder().encode("small words here")
 
 
+def test_ids_of_four_bytes(spark, monkeypatch):
+    _, docs, targets = corpus(spark)
+    narrow = M.unpacked(M.mix(docs, targets, 16, 32)).collect()
+    monkeypatch.setattr(M, "width", lambda *a: 4)
+    assert sorted(map(str, M.unpacked(M.mix(docs, targets, 16, 32), 4).collect())) == sorted(map(str, narrow))
+
+
 def test_nothing_to_mix(spark):
     _, docs, targets = corpus(spark)
     assert M.mix(docs.limit(0), targets).count() == 0
