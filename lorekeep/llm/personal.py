@@ -1,10 +1,13 @@
 """Personal items in free text: addresses of mail, telephone numbers, identity numbers, street addresses and names.
 
-Bootstrapped contextual extraction. One scan collects candidates, each with the two tokens before and behind it, its
-pattern. Candidates of a firm shape, and names whose parts are in the list of name parts, are seeds. Spark scores the
-graph of patterns and instances in rounds: a pattern most of whose instances are known is trusted, and a trusted pattern
-makes the unknown part of a half-known name, and numbers of a loose shape, known. Names are then accepted wherever both
-parts are known. All that is counted stays in tables; only the list of name parts, of checked size, goes to every task.
+Bootstrapped contextual extraction. One scan collects candidates with their patterns: the two tokens before and behind
+(context), and the form of what is inside (shape). Seeds are few: mail addresses in plain lower case, telephone numbers in
+international form, resident numbers with a valid check digit, addresses with a ZIP code or a Chinese city and road, and
+names whose parts are in the list of name parts. Everything else has to be reached from them. Spark scores the graph of
+patterns and candidates in rounds: a pattern that enough known items stand in is trusted, a candidate of a known form with
+a trusted context or shape becomes known, one of a loose form only in a context that is sure, and so on; for names a
+trusted context makes the unknown part of a half-known name known. All that is counted stays in tables; only the list of
+name parts, of checked size, goes to every task.
 """
 
 from __future__ import annotations
@@ -20,10 +23,14 @@ from lorekeep.session import cut, written
 
 #: Rounds in which patterns and instances are scored.
 ROUNDS = 3
-#: A pattern is trusted if so many of its instances, and this share of them, are known.
+#: A pattern of names is trusted if so many of its instances, and this share of them, are known.
 LEAST_KNOWN, LEAST_SHARE = 2, 0.6
+#: The same of a context and of a shape of the other items, whose seeds are only some of their forms.
+CONTEXT_SHARE, SHAPE_SHARE = 0.15, 0.3
 #: The share that makes an unknown instance of a pattern count by itself.
 SURE_KNOWN, SURE_SHARE = 8, 0.95
+#: Characters on each side that the two tokens of a context are looked for in.
+REACH = 64
 #: Most rows a list of name parts may have; it goes to every task.
 MOST_PARTS = 100_000
 
@@ -82,6 +89,36 @@ _CAPS = re.compile(rf"(?<![A-Za-z0-9_À-ÿŁł`/.\-]){_FAMILY}(?:,? (?:[{_UP}]\.
 _PART = re.compile(rf"[{_UP}]\.|{_FAMILY}")
 _PREFIX = re.compile(r"^(?:(?:van der|van|von|de la|de|di) )?(?:[od]['’])?", re.I)
 _TOKEN = re.compile(r"[A-Za-zÀ-ÿŁł]+|\d+|[一-鿿]|[^\sA-Za-z\d]")
+_ODD = re.compile(f"[{''.join(map(chr, sorted(_WIDE)))}]")
+
+# What is a seed by its form alone.
+_SEED_MAIL = re.compile(r"[a-z0-9._%+\-]+@[a-z0-9.\-]+")
+_SEED_ADDRESS = re.compile(r"[\s\S]*(?:\b[A-Z]{2} \d{5}(?:-\d{4})?$|市[\s\S]*(?:路|街|巷|大道|道)\s?\d+\s?号)")
+_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
+
+
+def _resident(value: str) -> bool:
+    """A resident number of 18 places whose check digit is right."""
+    v = value.replace(" ", "")
+    return len(v) == 18 and v[:17].isdigit() and "10X98765432"[sum(int(a) * b for a, b in zip(v, _WEIGHTS, strict=False)) % 11] == v[17].upper()
+
+
+_SEED = {
+    "email": lambda v: _SEED_MAIL.fullmatch(v) is not None,
+    "phone": lambda v: v.startswith("+"),
+    "id_number": _resident,
+    "address": lambda v: _SEED_ADDRESS.match(v) is not None,
+}
+_SHAPES = [(re.compile(r"[一-鿿]+"), "H"), (re.compile(rf"[{_LOW}]+"), "a"), (re.compile(rf"[{_UP}]+"), "A")]
+_DIGIT, _DIGITS, _BLANK = re.compile(r"\d"), re.compile(r"\d+"), re.compile(r"\s+")
+
+
+def _shape(kind: str, value: str) -> str:
+    """The form of an item: letters as classes, digits as 0, of numbers one for one."""
+    out = (_DIGIT if kind in ("phone", "id_number") else _DIGITS).sub("0", value)
+    for form, mark in _SHAPES:
+        out = form.sub(mark, out)
+    return _BLANK.sub(" ", out)
 
 
 def _context(text: str, a: int, b: int) -> tuple[str, str]:
@@ -90,8 +127,8 @@ def _context(text: str, a: int, b: int) -> tuple[str, str]:
     def plain(t: str) -> str:
         return "0" if t[0].isdigit() else "N" if t[0].isupper() else t
 
-    left = [plain(t) for t in _TOKEN.findall(text[max(0, a - 24) : a])[-2:]]
-    right = [plain(t) for t in _TOKEN.findall(text[b : b + 24])[:2]]
+    left = [plain(t) for t in _TOKEN.findall(text[max(0, a - REACH) : a])[-2:]]
+    right = [plain(t) for t in _TOKEN.findall(text[b : b + REACH])[:2]]
     return " ".join(left), " ".join(right)
 
 
@@ -160,12 +197,12 @@ class Scanner:
                 if len(m.group()) > n and m.span() not in seen:
                     yield m.start(), m.end(), m.group()[n:], m.group()[:n]
 
-    def scan(self, raw: str) -> list[tuple[str, int, int, bool, str, str, str, str]]:
-        """``kind, start, end, sure, given, family, left, right``."""
-        text = raw.translate(_WIDE)
+    def scan(self, raw: str) -> list[tuple[str, int, int, int, str, str, str, str, str]]:
+        """``kind, start, end, tier, given, family, shape, left, right``; tier 2 is a seed, 1 of a known form, 0 loose."""
+        text = raw.translate(_WIDE) if not raw.isascii() and _ODD.search(raw) else raw
         out = []
         taken = [*(("email", *x) for x in _mails(text))]
-        digits = any(c.isdigit() for c in text)
+        digits = _DIGIT.search(text) is not None
         if digits:
             for kind, form in (("id_number", _ID), ("address", _ADDRESS), ("phone", _PHONE)):
                 for m in form.finditer(text):
@@ -174,16 +211,17 @@ class Scanner:
                     if all(m.end() <= x or m.start() >= y for _, x, y in taken):
                         taken.append((kind, *m.span()))
         for kind, a, b in taken:
-            out.append((kind, a, b, True, "", "", *_context(text, a, b)))
+            value = raw[a:b]
+            out.append((kind, a, b, 2 if _SEED[kind](value) else 1, "", "", _shape(kind, text[a:b]), *_context(text, a, b)))
         if digits:
             for kind, form, least in (("phone", _LOOSE_PHONE, 7), ("id_number", _LOOSE_ID, 5)):
                 for m in form.finditer(text):
                     if least <= sum(c.isdigit() for c in m.group()) <= 18 and all(m.end() <= x or m.start() >= y for _, x, y in taken):
-                        out.append((kind, *m.span(), False, "", "", *_context(text, *m.span())))
+                        out.append((kind, *m.span(), 0, "", "", _shape(kind, m.group()), *_context(text, *m.span())))
         mails = [(a, b) for kind, a, b in taken if kind in ("email", "address")]
         for a, b, given, family in (*_latin(text), *self._han(text)):
             if all(b <= x or a >= y for x, y in mails):
-                out.append(("name", a, b, False, given, family, *_context(text, a, b)))
+                out.append(("name", a, b, 0, given, family, "", *_context(text, a, b)))
         return out
 
 
@@ -203,7 +241,7 @@ def candidates(texts: DataFrame, names: DataFrame) -> DataFrame:
         raise ValueError(f"more than {MOST_PARTS} name parts")
     given = frozenset(r["key"] for r in rows if r["part"] == "given")
     family = frozenset(r["key"] for r in rows if r["part"] == "family")
-    columns = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("sure", pa.bool_()), ("given", pa.string()), ("family", pa.string()), ("left", pa.string()), ("right", pa.string())]
+    columns = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("tier", pa.int32()), ("given", pa.string()), ("family", pa.string()), ("shape", pa.string()), ("left", pa.string()), ("right", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scanner(given, family).scan
@@ -217,18 +255,18 @@ def candidates(texts: DataFrame, names: DataFrame) -> DataFrame:
             fields = list(zip(*found, strict=True)) if found else [[]] * len(columns)
             yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(3)), *(pa.array(x, t) for x, (_, t) in zip(fields, columns, strict=True))], names=[*_UNIT, *(n for n, _ in columns)])
 
-    schema = "src string, record_id string, msg_pos int, kind string, start int, end int, sure boolean, given string, family string, left string, right string"
+    schema = "src string, record_id string, msg_pos int, kind string, start int, end int, tier int, given string, family string, shape string, left string, right string"
     return texts.select(*_UNIT, "text").mapInArrow(run, schema)
 
 
 def bootstrap(found: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Known given names, known family names (``key``) and the patterns sure for unknown ones (``kind, left, right``)."""
+    """Known given names, known family names (``key``) and the contexts sure for unknown ones (``left, right``)."""
     parts = name_parts(names)
     given = parts.where("part = 'given'").select("key").distinct()
     family = parts.where("part = 'family'").select("key").distinct()
     every = cut(found.where("kind = 'name'").groupBy("given", "family", "left", "right").agg(F.count("*").alias("n")))
     han = F.col("given").rlike(r"^[\x{4e00}-\x{9fff}]{2}$")
-    sure = None
+    sure = every.select("left", "right").where("false")
     for _ in range(rounds):
         g, f = given.withColumnRenamed("key", "given").withColumn("g", F.lit(1)), family.withColumnRenamed("key", "family").withColumn("f", F.lit(1))
         graph = every.withColumn("first", F.when(han, F.substring("given", 1, 1)).otherwise(F.col("given"))).withColumn("second", F.when(han, F.substring("given", 2, 1)))
@@ -236,40 +274,64 @@ def bootstrap(found: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> tuple
         graph = graph.withColumn("g", F.when(F.col("second").isNull(), F.col("g")).when(F.col("g").isNotNull() & F.col("g2").isNotNull(), 1))
         score = graph.groupBy("left", "right").agg(F.count("*").alias("all"), F.count(F.when(F.col("g").isNotNull() & F.col("f").isNotNull(), 1)).alias("known"))
         trusted = score.where((F.col("known") >= LEAST_KNOWN) & (F.col("known") >= LEAST_SHARE * F.col("all")))
-        sure = score.where((F.col("known") >= SURE_KNOWN) & (F.col("known") >= SURE_SHARE * F.col("all"))).select(F.lit("name").alias("kind"), "left", "right")
+        sure = score.where((F.col("known") >= SURE_KNOWN) & (F.col("known") >= SURE_SHARE * F.col("all"))).select("left", "right")
         half = graph.join(trusted.select("left", "right"), ["left", "right"])
         given = cut(given.unionByName(half.where("f is not null and g is null and second is null").select(F.col("first").alias("key"))).distinct())
         family = cut(family.unionByName(half.where("g is not null and f is null").select(F.col("family").alias("key"))).distinct())
-    numbers = found.where("kind in ('phone', 'id_number')").groupBy("kind", "left", "right").agg(F.count("*").alias("all"), F.count(F.when(F.col("sure"), 1)).alias("known"))
-    numbers = numbers.where((F.col("known") >= SURE_KNOWN) & (F.col("known") >= SURE_SHARE * F.col("all"))).select("kind", "left", "right")
-    return given, family, cut(sure.unionByName(numbers))
+    return given, family, cut(sure)
+
+
+_PATTERN = ["kind", "tier", "shape", "left", "right"]
+
+
+def reached(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``kind, tier, shape, left, right`` of the candidates other than names that are seeds or are reached from them.
+
+    Each round counts, of every context and of every shape, how many of its candidates are known. One of a known form is
+    reached by a context or a shape with at least ``LEAST_KNOWN`` known ones and ``CONTEXT_SHARE`` or ``SHAPE_SHARE`` of all;
+    one of a loose form by a context with ``SURE_KNOWN`` and ``SURE_SHARE``. Candidates alike in form and context are
+    counted together, so that no round sees single rows.
+    """
+    graph = cut(found.where("kind <> 'name'").groupBy(*_PATTERN).agg(F.count("*").alias("n")).withColumn("known", F.col("tier") == 2))
+    for _ in range(rounds):
+        seen = F.sum(F.when(F.col("known"), F.col("n")).otherwise(0))
+        contexts = graph.groupBy("kind", "left", "right").agg(seen.alias("ck"), F.sum("n").alias("cn"), F.sum(F.when(F.col("tier") > 0, F.col("n")).otherwise(0)).alias("cf"))
+        shapes = graph.where("tier > 0").groupBy("kind", "shape").agg(seen.alias("sk"), F.sum("n").alias("sn"))
+        scored = graph.join(contexts, ["kind", "left", "right"]).join(shapes, ["kind", "shape"], "left").na.fill(0, ["sk", "sn"])
+        by_context = (F.col("ck") >= LEAST_KNOWN) & (F.col("ck") >= CONTEXT_SHARE * F.col("cf"))
+        by_shape = (F.col("sk") >= LEAST_KNOWN) & (F.col("sk") >= SHAPE_SHARE * F.col("sn"))
+        sure = (F.col("ck") >= SURE_KNOWN) & (F.col("ck") >= SURE_SHARE * F.col("cn"))
+        reach = F.col("known") | F.when(F.col("tier") > 0, by_context | by_shape).otherwise(sure)
+        graph = cut(scored.select(*_PATTERN, "n", reach.alias("known")))
+    return graph.where("known").select(*_PATTERN)
 
 
 def _resolve(spans: list[dict]) -> list[dict]:
     """Spans apart from each other: firm shapes first, then the leftmost, of these the longest."""
     out: list[dict] = []
-    for s in sorted(spans, key=lambda s: (s["kind"] == "name", not s["sure"], s["start"], -s["end"])):
+    for s in sorted(spans, key=lambda s: (s["kind"] == "name", s["tier"] == 0, s["start"], -s["end"])):
         if all(s["end"] <= o["start"] or s["start"] >= o["end"] for o in out):
             out.append(s)
     return sorted(out, key=lambda s: s["start"])
 
 
-def items(texts: DataFrame, names: DataFrame) -> DataFrame:
+def items(texts: DataFrame, names: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``src, record_id, msg_pos, pii_type, nth, start, end`` of every personal item of ``units``, offsets in code points.
 
-    Texts without any item give no rows, an empty table none at all. With an empty list of names no name is found.
+    Texts without any item give no rows, an empty table none at all. With an empty list of names no name is found. A corpus
+    too small to show a pattern gives its seeds only, as do no rounds.
     """
     found = written(candidates(texts, names), "candidates")
-    given, family, sure = bootstrap(found, names)
-    firm = found.where("sure")
+    given, family, sure = bootstrap(found, names, rounds)
+    others = found.where("kind <> 'name'").join(reached(found, rounds), _PATTERN, "left_semi")
     named = found.where("kind = 'name'")
     two = F.col("given").rlike(r"^[\x{4e00}-\x{9fff}]{2}$")
-    named = named.withColumn("first", F.when(two, F.substring("given", 1, 1)).otherwise(F.col("given"))).withColumn("second", F.when(two, F.substring("given", 2, 1)).otherwise(F.col("given")))
-    known = named.join(given.select(F.col("key").alias("first")), "first", "left_semi").join(given.select(F.col("key").alias("second")), "second", "left_semi").join(family.select(F.col("key").alias("family")), "family", "left_semi")
-    loose = found.where("not sure").join(sure, ["kind", "left", "right"], "left_semi")
-    columns = [*_UNIT, "kind", "start", "end", "sure"]
-    every = firm.select(*columns).unionByName(known.select(*columns)).unionByName(loose.select(*columns))
-    by_unit = every.groupBy(*_UNIT).agg(F.collect_list(F.struct("kind", "start", "end", "sure")).alias("spans"))
+    split = named.withColumn("first", F.when(two, F.substring("given", 1, 1)).otherwise(F.col("given"))).withColumn("second", F.when(two, F.substring("given", 2, 1)).otherwise(F.col("given")))
+    known = split.join(given.select(F.col("key").alias("first")), "first", "left_semi").join(given.select(F.col("key").alias("second")), "second", "left_semi").join(family.select(F.col("key").alias("family")), "family", "left_semi")
+    loose = named.join(sure, ["left", "right"], "left_semi")
+    columns = [*_UNIT, "kind", "start", "end", "tier"]
+    every = others.select(*columns).unionByName(known.select(*columns)).unionByName(loose.select(*columns))
+    by_unit = every.groupBy(*_UNIT).agg(F.collect_list(F.struct("kind", "start", "end", "tier")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
