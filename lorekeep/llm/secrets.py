@@ -3,8 +3,8 @@
 First the corpus is indexed: every literal that stands where a credential stands (behind a key name, in a URL, behind
 an option ...) or has the form of one, with the number of records that hold it. Literals that many records share are
 placeholders and go, where records of near-equal text count once; references, masks and templates are none. What is left
-is confirmed: values of an issued format, however many records hold them, and rare values. Then every text is scanned again with an automaton of the confirmed values, so that an occurrence
-without any telling context is found too.
+is confirmed: values of an issued format, however many records hold them, and rare values. Then every text is scanned again
+with an automaton of the confirmed values, so that an occurrence without any telling context is found too.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ import binascii
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -294,28 +293,53 @@ def confirmed(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
 _RUN = re.compile(r"[A-Za-z0-9]{4,}")
 #: The first 8 characters of a value without such a run, where it stands alone; neither it nor a run is ever the other.
 _SHORT = re.compile(r"(?<![A-Za-z0-9])(?=((?:(?![A-Za-z0-9]{4})[^ ]){8}))")
+#: Characters beside a run that make it rarer.
+_BESIDE = 4
 
 
-def _bit(run: str) -> int:
-    return xxhash.xxh64_intdigest(run.encode(), 42) % _BITS
+def _bit(part: str) -> int:
+    return xxhash.xxh64_intdigest(part.encode(), 42) % _BITS
+
+
+def _part(value: str) -> tuple[str | None, int | None]:
+    """What a value is looked for by, and where in the value that begins: its longest run of letters and digits with the
+    ``_BESIDE`` characters behind it, or those before it, or alone if the value has neither; without a run of 4, the first
+    8 characters. Shorter values have none, as they are found at telling places only."""
+    m = max(_RUN.finditer(value), key=lambda m: (m.end() - m.start(), -m.start()), default=None)
+    if m is None:
+        return (value[:8], 0) if len(value) >= 8 else (None, None)
+    a, b = m.span()
+    if len(value) >= b + _BESIDE:
+        return value[a : b + _BESIDE], a
+    return (value[a - _BESIDE : b], a - _BESIDE) if a >= _BESIDE else (value[a:b], a)
+
+
+def _parts(text: str) -> Iterator[tuple[int, str]]:
+    """Everything in a text that may be the part of a value, with its place."""
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        yield a, m.group()
+        if b + _BESIDE <= len(text):
+            yield a, text[a : b + _BESIDE]
+        if a >= _BESIDE:
+            yield a - _BESIDE, text[a - _BESIDE : b]
+    for m in _SHORT.finditer(text):
+        yield m.start(), m.group(1)
 
 
 def _keys(texts: DataFrame, most_owners: int) -> tuple[DataFrame, int]:
-    """``key, run, offset, bit`` of the confirmed values, written, and how many bytes the keys have. ``run`` is a value's
-    longest run of letters and digits, or its first 8 characters if it has none of 4; shorter values have none, as they
-    are found at telling places only."""
+    """``key, part, offset, bit`` of the confirmed values, written, and how many bytes the keys have; see :func:`_part`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for v in b.column(0).to_pylist():
-                m = max(_RUN.finditer(v), key=lambda m: (m.end() - m.start(), -m.start()), default=None)
-                part, at = (m.group(), m.start()) if m else (v[:8], 0) if len(v) >= 8 else (None, None)
+                part, at = _part(v)
                 rows.append((_key(v), part, at, part and _bit(part)))
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["key", "run", "offset", "bit"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["key", "part", "offset", "bit"])
 
-    keys = written(confirmed(texts, most_owners).mapInArrow(run, "key string, run string, offset int, bit bigint"), "values")
+    keys = written(confirmed(texts, most_owners).mapInArrow(run, "key string, part string, offset int, bit bigint"), "values")
     return keys, keys.agg(F.sum(F.length("key"))).first()[0] or 0
 
 
@@ -323,8 +347,12 @@ _UNIT = ["src", "record_id", "msg_pos"]
 _SPAN = "src string, record_id string, msg_pos int, start int, end int"
 
 
+def _shared_keys(keys: DataFrame):
+    return keys.sparkSession.sparkContext.broadcast([r[0] for r in keys.select("key").collect()])  # at most AUTOMATON_BYTES
+
+
 def _by_automaton(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast([r[0] for r in keys.select("key").collect()])  # at most AUTOMATON_BYTES
+    shared = _shared_keys(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, machine = _automaton(shared.value)
@@ -342,11 +370,11 @@ def _by_automaton(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _by_join(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """As the automaton, for any number of values: told literals are joined by value, other occurrences by the longest run
-    of letters and digits of a value, which stands whole in every text that holds the value by itself, or by its first
-    characters if all its runs are short. A bitmap of fixed size keeps runs of no value from being shuffled."""
+    """As the automaton, for any number of values: told literals are joined by value, other occurrences by the part of a
+    value that :func:`_part` names, which stands whole in every text that holds the value by itself. A bitmap of fixed
+    size keeps parts of no value from being shuffled."""
 
-    held = keys.where("run is not null")
+    held = keys.where("part is not null")
     maps = held.groupBy((F.col("bit") / 32768).cast("int").alias("n")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("m")).collect()  # _BITS bits in all
     shared = texts.sparkSession.sparkContext.broadcast({r["n"]: bytes(r["m"]) for r in maps})
 
@@ -357,18 +385,17 @@ def _by_join(texts: DataFrame, keys: DataFrame) -> DataFrame:
             for i, text in enumerate(b.column(3).to_pylist()):
                 for x, y, _ in literals(text):
                     rows.append(i), starts.append(x), ends.append(y), values.append(_key(text[x:y]))
-                for m in chain(_RUN.finditer(text), _SHORT.finditer(text)):
-                    run = m.group(m.lastindex or 0)
-                    bit = _bit(run)
-                    part = maps.get(bit // 32768)
-                    if part and part[bit % 32768 // 8] >> bit % 8 & 1:
-                        rows.append(i), starts.append(m.start()), ends.append(-1), values.append(run)
+                for x, part in _parts(text):
+                    bit = _bit(part)
+                    own = maps.get(bit // 32768)
+                    if own and own[bit % 32768 // 8] >> bit % 8 & 1:
+                        rows.append(i), starts.append(x), ends.append(-1), values.append(part)
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(3)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(values, pa.string())], names=[*_UNIT, "start", "end", "value"])
 
     found = written(texts.select(*_UNIT, "text").mapInArrow(scan, _SPAN + ", value string"), "occurrences")
     told = found.where(F.col("end") >= 0).join(keys.select(F.col("key").alias("value"), F.lit(True).alias("good")), "value", "left").select(*_UNIT, "start", "end", F.coalesce("good", F.lit(False)).alias("good"), F.lit(None).cast("string").alias("key"))
-    runs = found.where(F.col("end") < 0).withColumnRenamed("value", "run").join(held.select("run", "offset", "key"), "run").select(*_UNIT, (F.col("start") - F.col("offset")).alias("start"), F.lit(-1).alias("end"), F.lit(True).alias("good"), "key")
+    runs = found.where(F.col("end") < 0).withColumnRenamed("value", "part").join(held.select("part", "offset", "key"), "part").select(*_UNIT, (F.col("start") - F.col("offset")).alias("start"), F.lit(-1).alias("end"), F.lit(True).alias("good"), "key")
     units = told.unionByName(runs).groupBy(*_UNIT).agg(F.collect_list(F.struct("start", "end", "good", "key")).alias("x")).join(texts.select(*_UNIT, "text"), _UNIT).select(*_UNIT, "text", "x")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,19 +434,43 @@ def find(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     return spans(texts, most_owners).select(*_UNIT, F.col("start").alias("start_at"))
 
 
+def _masked(text: str, spans: list[tuple[int, int]]) -> str:
+    for a, b in reversed(spans):
+        text = text[:a] + PLACEHOLDER + text[b:]
+    return text
+
+
 def redact(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     """The units with every secret value replaced by ``PLACEHOLDER``, the code around it as it was, and ``secrets``, how many."""
-    found = spans(texts, most_owners).groupBy(*_UNIT).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("x"))
+    keys, weight = _keys(texts, most_owners)
+    schema = "src string, record_id string, msg_pos int, text string, secrets int"
+    if weight <= AUTOMATON_BYTES:  # found and replaced in one go
+        shared = _shared_keys(keys)
+
+        def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, machine = _automaton(shared.value)
+            for whole in batches:
+                for first in range(0, whole.num_rows, 512):
+                    b = whole.slice(first, 512)
+                    out, counts = [], []
+                    for text in b.column(3).to_pylist():
+                        own = _spans(text, known, machine)
+                        out.append(_masked(text, own) if own else text)
+                        counts.append(len(own))
+                    yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(3)), pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=[*_UNIT, "text", "secrets"])
+
+        return texts.select(*_UNIT, "text").mapInArrow(replace, schema)
+    found = _by_join(texts, keys).groupBy(*_UNIT).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("x"))
     joined = texts.join(found, _UNIT, "left").select(*_UNIT, "text", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, counts = [], []
-            for text, own in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                for s in reversed(own or []):
-                    text = text[: s["start"]] + PLACEHOLDER + text[s["end"] :]
-                out.append(text)
-                counts.append(len(own or []))
-            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(3)), pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=[*_UNIT, "text", "secrets"])
-
-    return joined.mapInArrow(run, "src string, record_id string, msg_pos int, text string, secrets int")
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                b = whole.slice(first, 512)
+                out, counts = [], []
+                for text, own in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                    out.append(_masked(text, [(s["start"], s["end"]) for s in own or []]))
+                    counts.append(len(own or []))
+                yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(3)), pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=[*_UNIT, "text", "secrets"])
+
+    return joined.mapInArrow(run, schema)

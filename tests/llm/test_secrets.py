@@ -126,3 +126,27 @@ def test_joins_find_values_of_short_runs(spark, monkeypatch):
     assert once[-3:] == [("session", "s", 0, 4, 19), ("session", "s", 0, 60, 69), ("session", "t", 0, 4, 16)] and len(once) == 7
     monkeypatch.setattr(S, "AUTOMATON_BYTES", 0)
     assert sorted(tuple(r) for r in S.spans(df).collect()) == once
+
+
+def test_both_ways_agree_on_random_values(spark, monkeypatch):
+    """Values of any make-up, overlapping and with common runs, beside Han, at edges of texts and of each other."""
+    rng = random.Random(11)
+    bits = ["admin", "2024", "prod", "key", "aB3", "x9", "Q", "7", "-", "_", ".", "~", "+", "/", "=", "zzzz", "Ab12Cd"]
+    values = {"".join(rng.choice(bits) for _ in range(rng.randint(2, 9))) for _ in range(400)}
+    values = sorted({v.strip(".=") for v in values if len(v.strip(".=")) >= 4})
+    told = ['password="{}"', "token={} ", "curl -u me:{} x", "api_key: '{}'", "the password is {} now", "secret={}"]
+    rows = [("memory", f"m{i}", 0, rng.choice(told).format(v)) for i, v in enumerate(values)]
+    loose = [" ", "", "改", ", ", "\n", "a", "9", "("]
+    rows += [("session", f"s{i}", 0, "".join(rng.choice(values) + rng.choice(loose) for _ in range(12))) for i in range(300)]
+    rows += [("task", f"t{i}", 0, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, UNIT)
+    once = sorted(tuple(r) for r in S.spans(df).collect())
+    masked = sorted(tuple(r) for r in S.redact(df).collect())
+    monkeypatch.setattr(S, "AUTOMATON_BYTES", 0)
+    assert sorted(tuple(r) for r in S.spans(df).collect()) == once and len(once) > 1000
+    assert sorted(tuple(r) for r in S.redact(df).collect()) == masked
+
+
+def test_a_leaked_key_in_a_thousand_records(spark):
+    rows = [("session", f"s{i}", 0, f"run {i}: export AWS_KEY={'AKIA' + 'Q7ZP' * 4} and go") for i in range(1000)]
+    assert S.find(spark.createDataFrame(rows, UNIT)).count() == 1000
