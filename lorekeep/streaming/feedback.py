@@ -31,21 +31,59 @@ def once(deliveries: DataFrame, late: str = "7 days") -> DataFrame:
     return keyed.withWatermark("at", late).dropDuplicatesWithinWatermark(["session_id"])
 
 
+#: Parts of the store, by a hash of the session; a batch rewrites only those it touches.
+PARTS = 64
+
+
+def _pointers(spark: SparkSession, store: str) -> list[tuple[int, str]]:
+    """Numbers and paths of the store's pointer files, by number."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/pointers")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    folders = [f.getPath() for f in fs.listStatus(path)]
+    whole = [f.getName() for f in folders if f.getName().isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted((int(n), f"{store}/pointers/{n}") for n in whole)
+
+
+def _state(spark: SparkSession, store: str, before: int | None = None) -> dict[int, str]:
+    """The folder of each part of the store, as of the last batch (below ``before``). Only a store that isn't there is empty;
+    one that can't be read fails."""
+    own = [p for n, p in _pointers(spark, store) if before is None or n < before]
+    if not own:
+        return {}
+    return {r["part"]: r["folder"] for r in spark.read.schema("part int, folder string").option("mode", "FAILFAST").json(own[-1]).collect()}  # at most PARTS rows
+
+
+def current(spark: SparkSession, store: str) -> DataFrame | None:
+    """The latest deliveries that :func:`keep_latest` holds; None before its first batch."""
+    folders = sorted(set(_state(spark, store).values()))
+    return spark.read.parquet(*folders) if folders else None
+
+
 def keep_latest(deliveries: DataFrame, store: str, checkpoint: str):
-    """Every batch merged into the parquet store of the latest deliveries; a batch that runs again changes nothing.
+    """Every batch merged into a store of the latest deliveries, by parts; a batch that runs again changes nothing.
 
-    Snapshots take turns between two folders, so that a batch never overwrites what it reads; ``store`` names the
-    current one in a one-row table.
+    A batch reads and writes only the parts its sessions fall in, each into a folder of its own, and names the store's
+    folders in a pointer file of its number last of all. What a lost batch left is never read.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = f"{store}/{number % 2}"
+        part = F.pmod(F.xxhash64(normal_id(F.col("sessionId"))), F.lit(PARTS)).cast("int")
+        batch = batch.withColumn("__part", part).where(normal_id(F.col("sessionId")).isNotNull()).persist()
         try:
-            before = spark.read.parquet(f"{store}/{(number - 1) % 2}") if number else None
-        except Exception:
-            before = None
-        merged = merge_latest(before, batch) if before is not None else merge_latest(batch.limit(0), batch)
-        merged.write.mode("overwrite").parquet(path)
+            state = _state(spark, store, number)
+            touched = [r[0] for r in batch.select("__part").distinct().collect()]  # at most PARTS
+            held = [state[k] for k in touched if k in state]
+            rows = batch.drop("__part")
+            merged = merge_latest(spark.read.parquet(*held) if held else rows.limit(0), rows)
+            own = F.pmod(F.xxhash64("session_id"), F.lit(PARTS)).cast("int")
+            if touched:
+                merged.withColumn("__part", own).repartition("__part").write.mode("overwrite").partitionBy("__part").parquet(f"{store}/batch-{number}")
+            state |= {k: f"{store}/batch-{number}/__part={k}" for k in touched}
+            spark.createDataFrame(sorted(state.items()), "part int, folder string").coalesce(1).write.mode("overwrite").json(f"{store}/pointers/{number}")
+        finally:
+            batch.unpersist()
 
     return deliveries.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -1,6 +1,8 @@
 import json
 import sqlite3
 
+import pytest
+
 from lorekeep.sources import chatlogs, markdown
 from lorekeep.streaming import feedback
 
@@ -38,6 +40,34 @@ def test_jsonl_sessions(spark, tmp_path):
     assert chatlogs.jsonl_sessions(spark, str(tmp_path), "2027-01-01", "2027-01-02").count() == 0
 
 
+def test_texts_that_begin_with_a_bracket(spark, tmp_path):
+    own = tmp_path / "app"
+    own.mkdir()
+    say = lambda role, content: {"type": role, "timestamp": "2026-01-02T00:00:00Z", "message": {"role": role, "content": content}}
+    lines = [say("user", "[Image] fix this bug please"), say("assistant", "[done] see above"), say("user", "[]"), say("user", []), say("user", [{"type": "text", "text": "no"}]), say("assistant", [{"type": "text", "text": "[x]"}]), say("user", '[{"type": "text", "text": "quoted"}]')]
+    (own / "s.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = chatlogs.jsonl_sessions(spark, str(tmp_path), "2026-01-01", "2026-01-03").first()
+    assert [(m["role"], m["content"]) for m in got["conversation"]] == [("user", "[Image] fix this bug please"), ("assistant", "[done] see above"), ("user", "[]"), ("assistant", "[x]"), ("user", '[{"type": "text", "text": "quoted"}]')]
+
+
+def test_only_tools_with_a_reader(spark):
+    one = spark.createDataFrame([("a",)], "ide string")
+    with pytest.warns(UserWarning, match="vim"):
+        got = chatlogs.collected(["cursor", "vim"], {"cursor": lambda: one, "qoder": lambda: one})
+    assert got.count() == 1
+    with pytest.warns(UserWarning):
+        assert chatlogs.collected(["vim"], {}) is None
+
+
+def test_needles_in_texts(spark):
+    needles = ["a", "abc", "12345678", "12345678-tail", "", None, "zz"]
+    texts = ["xabcx", "12345678-tail-0", "12345678", "b", None, ""]
+    left = spark.createDataFrame([(n,) for n in needles], "needle string")
+    right = spark.createDataFrame([(t,) for t in texts], "hay string")
+    got = {(r["needle"], r["hay"]) for r in chatlogs.contained(left, "needle", right, "hay").collect()}
+    assert got == {(n, t) for n in needles for t in texts if n and t and n in t}
+
+
 def test_indexed_sessions(spark, tmp_path):
     (tmp_path / "data").mkdir()
     entries = {}
@@ -96,5 +126,24 @@ def test_streamed_deliveries(spark, tmp_path):
     for n, data in enumerate([[(1, "a", "2026-01-01", "2026-01-02")], [(2, "A", "2026-01-01", "2026-01-03"), (3, "b", None, None)]]):
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").json(source)
         feedback.keep_latest(spark.readStream.schema(schema).json(source), store, str(tmp_path / "cp")).awaitTermination(120)
-        got = {r["session_id"]: r["delivery_id"] for r in spark.read.parquet(f"{store}/{n % 2}").collect()}
+        got = {r["session_id"]: r["delivery_id"] for r in feedback.current(spark, store).collect()}
     assert got == {"a": 2, "b": 3}
+
+
+def test_a_damaged_store_fails_and_a_lost_batch_is_ignored(spark, tmp_path):
+    import shutil
+
+    schema = "delivery_id bigint, sessionId string, createdAt string, lastUpdatedAt string"
+    source, store, cp = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp")
+    assert feedback.current(spark, store) is None
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+        feedback.keep_latest(spark.readStream.schema(schema).json(source), store, cp).awaitTermination(120)
+
+    feed([(i, f"s{i}", "2026-01-01", None) for i in range(20)])
+    (tmp_path / "store" / "pointers" / "7").mkdir()  # of a batch that was lost before it ended
+    assert feedback.current(spark, store).count() == 20
+    shutil.rmtree(tmp_path / "store" / "batch-0")
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        feed([(100, "s3", "2026-01-02", None)])
