@@ -61,6 +61,35 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\s+", "-"), r"-+", "-"), r"^-+|-+$", "")
 
 
+def han_slug(text: Column, most: int = 50) -> Column:
+    """Slug that keeps Chinese characters: all else but letters, digits, ``_`` and ``-`` goes."""
+    plain = F.regexp_replace(strip(F.lower(F.coalesce(text, F.lit("")))), r"[^A-Za-z0-9_\x{4e00}-\x{9fff}\s\-]", "")
+    return F.left(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\s+", "-"), r"-+", "-"), r"^-+|-+$", ""), F.lit(most))
+
+
+def rendered(template: str, values: dict[str, Column]) -> Column:
+    """A template with each ``{name}`` replaced by its value, in the order given; a null value leaves an empty place."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def inside(path: Column, root: str) -> Column:
+    """Whether a path lies below a root once ``.`` and ``..`` are resolved; a path that climbs out of it doesn't."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    up = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    base = [x for x in root.split("/") if x not in ("", ".")]
+    return F.coalesce(path.startswith("/") & (F.size(up) > len(base)) & (F.slice(up, 1, len(base)) == F.array(*map(F.lit, base)).cast("array<string>")), F.lit(False))
+
+
+def head(text: Column, n: int) -> Column:
+    """The first ``n`` lines that aren't blank, and the number of the first of them."""
+    lines = F.split(F.coalesce(text, F.lit("")), r"\R")
+    full = F.transform(lines, lambda x: strip(x) != "")
+    return F.struct(F.greatest(F.array_position(full, True), F.lit(1)).cast("int").alias("line"), F.array_join(F.slice(F.filter(lines, lambda x: strip(x) != ""), 1, n), "\n").alias("snippet"))
+
+
 def note_id(name: Column, date: Column) -> Column:
     """``date-slug-hex``; the hex is a digest of both, so the same note gets the same id."""
     digest = F.substring(F.sha2(F.concat_ws("\n", date, name), 256), 1, 4)

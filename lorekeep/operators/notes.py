@@ -32,6 +32,42 @@ def stats(notes: DataFrame) -> DataFrame:
     return grouped.select(name.alias("dimension"), F.coalesce("scope", "source", "value").alias("key"), "n")
 
 
+def flags(notes: DataFrame) -> DataFrame:
+    """``dimension, key, n``: how many notes carry a mark of a conflict and how many one of being superseded."""
+    n = lambda c: F.count(F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, 1))
+    sums = notes.agg(n("potential_conflicts").alias("conflicts"), n("potentially_superseded_by").alias("superseded"))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit("flag").alias("dimension"), F.lit(c).alias("key"), F.col(c).alias("n")) for c in ("conflicts", "superseded")))).alias("x")).select("x.*")
+
+
+def spans(notes: DataFrame) -> DataFrame:
+    """``project_key, span``: from the first to the last day of creation of a project's live notes; unknown without any."""
+    own = notes.where("scope = 'project' and not coalesce(archived, false)").groupBy("project_key").agg(F.min(F.nullif("created", F.lit(""))).alias("a"), F.max(F.nullif("created", F.lit(""))).alias("b"))
+    return own.select("project_key", F.coalesce(F.concat("a", F.lit(" ~ "), "b"), F.lit("unknown")).alias("span"))
+
+
+def near_empty(notes: DataFrame, least: int = 5) -> bool:
+    """Whether a store has fewer live notes than ``least``; no more than so many rows are looked for."""
+    return notes.where("not coalesce(archived, false)").select("id").limit(least).count() < least
+
+
+def stale(notes: DataFrame, overviews: DataFrame) -> DataFrame:
+    """``project_key`` of the projects whose overview has to be made again: none is there, or a live note was written after
+    it; overviews (``project_key, compiled_at`` in seconds, ``edited``) that people edited stay as they are."""
+    last = notes.where("scope = 'project' and not coalesce(archived, false) and project_key is not null").groupBy("project_key").agg(F.max("file_mtime").alias("last"))
+    joined = last.join(overviews.select("project_key", "compiled_at", "edited"), "project_key", "left")
+    return joined.where(~F.coalesce("edited", F.lit(False)) & (F.col("compiled_at").isNull() | (F.col("last") > F.col("compiled_at")))).select("project_key")
+
+
+def contexts(notes: DataFrame, overviews: DataFrame, size: int = 4096) -> DataFrame:
+    """``project_key, summary``: a project's overview (``project_key, text``) if it has one that isn't blank, else the lines of
+    its notes as in :func:`summaries`, in at most ``size`` characters."""
+    body = strip(F.col("text"))
+    text = F.concat(F.lit("# "), F.col("project_key"), F.lit("\n\n"), body)
+    own = overviews.where(body != "").select("project_key", F.when(F.length(text) > size, F.concat(F.left(text, F.lit(size - 20)), F.lit("\n\n... (truncated)"))).otherwise(text).alias("summary"))
+    rest = notes.join(own.select("project_key"), "project_key", "left_anti").select(*notes.columns)
+    return own.unionByName(summaries(rest, size=size))
+
+
 def conflicts(notes: DataFrame) -> DataFrame:
     """``id, other`` of live notes of one scope and project that share two tags or have titles alike.
 
@@ -72,6 +108,23 @@ def superseded(notes: DataFrame) -> DataFrame:
     return later.groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("superseded_by"))
 
 
+def marked(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The store with new notes taken in and both ways marked: a new note's ``potential_conflicts`` are the live stored notes
+    it is in conflict with, in order, and each of those gets the new ids behind its own ``potentially_superseded_by``.
+    Only pairs of a new and a stored note count; an id in both is the new one."""
+    old = stored.join(incoming.select("id"), "id", "left_anti").select(*stored.columns)
+    both = old.withColumn("__new", F.lit(False)).unionByName(incoming.select(*stored.columns).withColumn("__new", F.lit(True)))
+    fresh = incoming.select(F.col("id").alias("other"), F.lit(True).alias("__o")).distinct()
+    edges = conflicts(both.drop("__new")).join(incoming.select("id", F.lit(True).alias("__i")).distinct(), "id", "left").join(fresh, "other", "left")
+    ahead = edges.where("__i and __o is null").groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("__ahead"))
+    behind = edges.where("__o and __i is null").groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("__behind"))
+    none = F.array().cast("array<string>")
+    out = both.join(ahead, "id", "left").join(behind, "id", "left")
+    out = out.withColumn("potential_conflicts", F.when(F.col("__new"), F.coalesce("__ahead", none)).otherwise(F.col("potential_conflicts")))
+    out = out.withColumn("potentially_superseded_by", F.when(F.col("__behind").isNotNull(), F.array_union(F.coalesce("potentially_superseded_by", none), F.col("__behind"))).otherwise(F.col("potentially_superseded_by")))
+    return out.select(*stored.columns)
+
+
 def inactive(notes: DataFrame, events: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """``id, age`` of automatic notes at least ``days`` old that no recent event names; an unreadable date is no age."""
     from lorekeep.operators.recall import recent
@@ -89,9 +142,13 @@ def source_now(notes: DataFrame) -> Column:
     return F.when(F.col("source").isin("auto", "bootstrap") & (written > 0) & ~F.isnan(written) & (F.col("file_mtime") > written + 5), "edited").otherwise(F.col("source"))
 
 
-def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert(stored: DataFrame, incoming: DataFrame, day: str | None = None) -> DataFrame:
     """The store after writing ``incoming`` (one row an id): protected notes stay as they are, others are replaced, new
-    ones added. The result is a new snapshot of the store."""
+    ones added. With a ``day``, what is written is updated on it, and created on the day it was first. The result is a new
+    snapshot of the store."""
+    if day:
+        born = stored.select("id", F.col("created").alias("__born"))
+        incoming = incoming.join(born, "id", "left").withColumn("created", F.coalesce("__born", F.nullif("created", F.lit("")), F.lit(day))).withColumn("updated", F.lit(day)).drop("__born")
     kept = stored.where(F.col("source").isin(*PROTECTED))
     fresh = incoming.join(kept.select("id"), "id", "left_anti")
     rest = stored.where(~F.coalesce(F.col("source").isin(*PROTECTED), F.lit(False))).join(incoming.select("id"), "id", "left_anti")
@@ -171,21 +228,24 @@ def queue(tasks: DataFrame) -> DataFrame:
 
 
 def scopes(notes: DataFrame, mode: str = "auto", project: str | None = None) -> DataFrame:
-    """The notes a search looks at: ``auto`` and ``all`` take every scope, ``current_project`` the personal notes' and the
-    project's own, ``personal`` and ``general`` only the personal ones; an unknown mode is ``auto``."""
+    """The notes a search looks at: ``all`` takes every scope, ``auto`` too if there is a project, else the personal ones,
+    ``current_project`` the project's own and none without one, ``personal`` and ``general`` only the personal ones; an
+    unknown mode is ``auto``."""
     own = F.col("scope") != "project"
     if mode in ("personal", "general"):
         return notes.where(own)
     if mode == "current_project":
         return notes.where((F.col("project_key") == project) & ~own) if project else notes.where("false")
-    return notes
+    return notes if mode == "all" or project else notes.where(own)
 
 
 def resolved(notes: DataFrame, wanted: str) -> DataFrame:
-    """The one note a word stands for: with that id, else the first, by id, whose id or title holds it in any case."""
+    """The one note a word stands for: with that id, personal ones before projects' and archived ones last; else the first,
+    by id, whose id or title holds it in any case."""
     low = wanted.lower()
     near = F.lower("id").contains(low) | F.lower(F.coalesce("title", F.lit(""))).contains(low)
-    return notes.where(near | (F.col("id") == wanted)).orderBy(F.when(F.col("id") == wanted, 0).otherwise(1), "id").limit(1)
+    root = F.when(F.coalesce("archived", F.lit(False)), 2).when(F.col("scope") == "project", 1).otherwise(0)
+    return notes.where(near | (F.col("id") == wanted)).orderBy(F.when(F.col("id") == wanted, root).otherwise(3), "id").limit(1)
 
 
 def remembered(texts: DataFrame, day: str) -> DataFrame:

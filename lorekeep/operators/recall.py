@@ -21,6 +21,8 @@ VALUE_WEIGHT = {"high": 1.5, "medium": 1.0, "low": 0.5}
 SOURCE_WEIGHT = {"manual": 1.3, "edited": 1.2, "auto": 1.0, "bootstrap": 1.0}
 HALF_LIFE, FLOOR, BOOST, BOOST_CAP, BOOST_DAYS = 90.0, 0.5, 0.1, 1.5, 30
 SUPERSEDED, CROSS = 0.6, 0.7
+#: Most candidates that are ranked anew for each query.
+MOST_CANDIDATES = 5_000
 
 
 def recent(events: DataFrame, as_of: str, days: int) -> DataFrame:
@@ -107,6 +109,30 @@ def search(notes: DataFrame, events: DataFrame, query: str, project: str | None,
     return out.orderBy(F.desc("score"), "id").limit(k)
 
 
+def fallback(notes: DataFrame, events: DataFrame, query: str, project: str | None, as_of: str, cap: int = 200) -> DataFrame:
+    """``id, scope, line, score`` of the notes that hold the query word for word, for stores without an index: hits by line,
+    weighted as in :func:`search`, rounded to 2 places, at most ``cap`` of a scope, the best first."""
+    live = live_notes(notes)
+    lines = F.split(F.lower(F.coalesce("body", F.lit(""))), r"\R")
+    q = query.lower()
+    n = F.transform(lines, lambda x: ((F.length(x) - F.length(F.replace(x, F.lit(q), F.lit("")))) / max(len(q), 1)).cast("int"))
+    held = live.withColumn("__n", n).withColumn("__hits", F.aggregate("__n", F.lit(0), lambda a, b: a + b)).where(F.col("__hits") > 0 if q else F.lit(False))
+    cross = (F.col("own") != "personal") & (F.col("own") != F.lit(project)) if project else F.lit(False)
+    joined = held.where(~cross | cross_match(query, F.col("tags"), title(F.col("body")))).join(recall_counts(events, as_of), "id", "left")
+    aged = decay(F.col("source"), F.col("_mtime_at_write"), F.col("file_mtime"), F.col("recalls"), as_of)
+    old = F.when(F.size(F.coalesce("potentially_superseded_by", F.array().cast("array<string>"))) > 0, SUPERSEDED).otherwise(1.0)
+    score = F.col("__hits") * _weight(F.col("value"), VALUE_WEIGHT) * _weight(F.col("source"), SOURCE_WEIGHT) * old * F.when(cross, CROSS).otherwise(1.0) * aged
+    out = joined.select("id", F.col("own").alias("scope"), F.array_position(F.transform("__n", lambda x: x > 0), True).alias("line"), F.round(score, 2).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("score"), "id"))
+    return out.withColumn("__r", rank).where(F.col("__r") <= cap).drop("__r")
+
+
+def top_reads(events: DataFrame, as_of: str, days: int, k: int = 10) -> DataFrame:
+    """``id, n`` of the notes read most often."""
+    reads = recent(events, as_of, days).where("event = 'read' and id <> ''")
+    return reads.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(k)
+
+
 def best_of(rows: DataFrame, key: str, score: str) -> DataFrame:
     """The row with the best score of each key, the first of equals by all other columns."""
     rest = [c for c in rows.columns if c not in (key, score)]
@@ -114,7 +140,10 @@ def best_of(rows: DataFrame, key: str, score: str) -> DataFrame:
 
 
 def line_hits(docs: DataFrame, query: str, key: str, text: str) -> DataFrame:
-    """``key, hits``: how often the query stands in a text, whatever its case; texts without any don't come out."""
+    """``key, hits``: how often the query stands in a text, whatever its case; texts without any don't come out, and for an
+    empty query none."""
+    if not query:
+        return docs.select(F.col(key), F.lit(0).alias("hits")).where("false")
     low, q = F.lower(F.coalesce(F.col(text), F.lit(""))), query.lower()
     n = ((F.length(low) - F.length(F.replace(low, F.lit(q), F.lit("")))) / len(q)).cast("int")
     return docs.select(F.col(key), n.alias("hits")).where("hits > 0")
@@ -185,3 +214,37 @@ def fuse(rows: DataFrame, bm25_column: str, cosine_column: str, weight: float =
     span = 1.0 if low == high or low is None else high - low
     scaled = (F.col(bm25_column) - F.lit(low).cast("double")) / span
     return rows.withColumn("final_score", weight * scaled + (1 - weight) * F.coalesce(F.col(cosine_column), F.lit(0.0)))
+
+
+def rerank(top: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, key, final_score, rank``: a few candidates (``key, bm25, embedding``), at most some thousands, by their fused
+    score for every query (``query_id, asked``). The candidates go to every task; queries stay where they are."""
+    rows = top.limit(MOST_CANDIDATES + 1).collect()
+    if len(rows) > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
+    keys = [r["key"] for r in rows]
+    scores = np.array([r["bm25"] for r in rows], np.float64)
+    span = (scores.max() - scores.min() or 1.0) if len(rows) else 1.0
+    scaled = 0.3 * (scores - scores.min()) / span if len(rows) else scores
+    vectors = [None if r["embedding"] is None else np.array(r["embedding"], np.float64) for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                out = np.zeros((b.num_rows, len(keys)))
+                for i, v in enumerate(b.column(1).to_pylist()):
+                    x = np.array(v if v is not None else [], np.float64)
+                    for j, y in enumerate(vectors):
+                        if y is not None and len(x) == len(y):
+                            norm = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
+                            out[i, j] = (x * y).sum() / norm if norm else 0.0
+                score = np.floor(np.abs(scaled + 0.7 * out) * 10_000 + 0.5) / 10_000 * np.sign(scaled + 0.7 * out) + 0.0
+                rank = np.argsort(np.lexsort((np.broadcast_to(np.arange(len(keys)), score.shape), -score), axis=1), axis=1) + 1
+                ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), len(keys))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys * b.num_rows, pa.int64()), pa.array(score.ravel()), pa.array(rank.ravel().astype(np.int32))], names=["query_id", "key", "final_score", "rank"])
+
+    if sorted(keys) != keys:
+        order = np.argsort(np.array(keys), kind="stable")
+        keys, scaled, vectors = [keys[i] for i in order], scaled[order], [vectors[i] for i in order]
+    return queries.select(F.col("query_id").cast("bigint").alias("query_id"), "asked").mapInArrow(run, "query_id bigint, key bigint, final_score double, rank int")

@@ -213,62 +213,32 @@ def snippet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).where("text is not null").select("doc_id", text.snippet_line("connection pool", F.col("text")).alias("line")).where("line is not null")
 
 
-def _probe(vectors: DataFrame):
-    """The vector asked for, that of the first id, as a literal."""
-    first = vectors.orderBy("vec_id").select("embedding").first()
-    return F.array(*(F.lit(x).cast("float") for x in (first[0] if first else [])))
-
-
-@query("cosine_topk", "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 4) AS cosine FROM embeddings, q ORDER BY cosine DESC, vec_id LIMIT 20")
-def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    scored = rows.select("vec_id", F.round(recall.cosine(F.col("embedding"), _probe(rows)), 4).alias("cosine"))
-    return scored.orderBy(F.desc("cosine"), "vec_id").limit(20)
-
-
-@query(
-    "fused_rerank",
-    _bm25(_DOCS, SEARCH) + """,
-qe AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
-top AS (SELECT key, bm25 FROM s WHERE abs(bm25) >= 1e-9 ORDER BY round(bm25, 9) DESC, key LIMIT 50),
-j AS (SELECT key, bm25, coalesce(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), e), 0) AS cosine FROM top LEFT JOIN embeddings v ON v.vec_id = top.key, qe)
-SELECT key, round(0.3 * (bm25 - min(bm25) OVER ()) / (CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 1 ELSE max(bm25) OVER () - min(bm25) OVER () END) + 0.7 * cosine, 4) AS final_score FROM j""",
-)
-def fused_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = bm25.scores(_documents(spark, sf_dir), SEARCH, "source", "doc_id", "text").where("abs(bm25) >= 1e-9")
-    top = scored.orderBy(F.round("bm25", 9).desc(), "key").limit(50)
-    vectors = table(spark, sf_dir, "embeddings")
-    near = top.join(vectors, top["key"] == vectors["vec_id"], "left").withColumn("cosine", recall.cosine(F.col("embedding"), _probe(vectors)))
-    return recall.fuse(near, "bm25", "cosine").select("key", (F.round("final_score", 4) + 0.0).alias("final_score"))
-
-
 _QUERIES = "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0"
 
 
-@query("cosine_neighbours", f"WITH q AS ({_QUERIES}), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 4) AS cosine FROM embeddings, q) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 20")
-def cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The neighbours of every row whose id is divisible by 20; ``cosine_topk`` has those of the first row."""
+@query("cosine_topk", f"WITH q AS ({_QUERIES}), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 4) AS cosine FROM embeddings, q) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 20")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of every row whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings")
     return recall.nearest(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 20)
 
 
 @query(
-    "fused_neighbours",
+    "fused_rerank",
     _bm25(_DOCS, SEARCH) + f""",
 qe AS ({_QUERIES}),
 top AS (SELECT key, bm25 FROM s WHERE abs(bm25) >= 1e-9 ORDER BY round(bm25, 9) DESC, key LIMIT 50),
-j AS (SELECT query_id, key, bm25, coalesce(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), e), 0) AS cosine FROM top LEFT JOIN embeddings v ON v.vec_id = top.key, qe)
-SELECT query_id, key, round(0.3 * (bm25 - min(bm25) OVER ()) / (CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 1 ELSE max(bm25) OVER () - min(bm25) OVER () END) + 0.7 * cosine, 4) AS final_score FROM j""",
+j AS (SELECT query_id, key, bm25, coalesce(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), e), 0) AS cosine FROM top LEFT JOIN embeddings v ON v.vec_id = top.key, qe),
+f AS (SELECT query_id, key, round(0.3 * (bm25 - min(bm25) OVER ()) / (CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 1 ELSE max(bm25) OVER () - min(bm25) OVER () END) + 0.7 * cosine, 4) AS final_score FROM j)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, key) AS INT) AS rank FROM f""",
 )
-def fused_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidates of the search ranked against every row whose id is divisible by 20; ``fused_rerank`` takes the first."""
+def fused_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 candidates of the search, ranked anew against every row whose id is divisible by 20."""
     scored = bm25.scores(_documents(spark, sf_dir), SEARCH, "source", "doc_id", "text").where("abs(bm25) >= 1e-9")
     vectors = table(spark, sf_dir, "embeddings")
     top = scored.orderBy(F.round("bm25", 9).desc(), "key").limit(50)
     top = written(top.join(vectors, top["key"] == vectors["vec_id"], "left").select("key", "bm25", "embedding"), "candidates")
-    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    near = asked.crossJoin(F.broadcast(top)).withColumn("cosine", recall.cosine(F.col("embedding"), F.col("asked")))
-    return recall.fuse(near, "bm25", "cosine").select("query_id", "key", (F.round("final_score", 4) + 0.0).alias("final_score"))
+    return recall.rerank(top, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")))
 
 
 # --- sessions ---------------------------------------------------------------------------------------------------------
@@ -451,10 +421,12 @@ def note_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "note_stats",
     f"""WITH n AS ({_NOTE}) SELECT 'scope' AS dimension, scope AS key, count(*) AS n FROM n GROUP BY scope
-UNION ALL SELECT 'source', source, count(*) FROM n GROUP BY source UNION ALL SELECT 'value', value, count(*) FROM n GROUP BY value""",
+UNION ALL SELECT 'source', source, count(*) FROM n GROUP BY source UNION ALL SELECT 'value', value, count(*) FROM n GROUP BY value
+UNION ALL SELECT 'flag', 'conflicts', count(*) FROM n WHERE len(potential_conflicts) > 0 UNION ALL SELECT 'flag', 'superseded', count(*) FROM n WHERE len(potentially_superseded_by) > 0""",
 )
 def note_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes.stats(recall.one_of_each(table(spark, sf_dir, "memories")))
+    own = recall.one_of_each(table(spark, sf_dir, "memories"))
+    return notes.stats(own).unionByName(notes.flags(own))
 
 
 _CONFLICTS = f"""WITH n AS (SELECT id, scope, CASE WHEN scope = 'project' THEN coalesce(project_key, '') ELSE '' END AS p, created,
@@ -556,13 +528,20 @@ def task_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.queue(table(spark, sf_dir, "tasks"))
 
 
-@query("remote_keys", """SELECT DISTINCT project_key, CASE WHEN project_key LIKE '%/%' THEN lower(split_part(project_key, '/', 1)) || substring(project_key, length(split_part(project_key, '/', 1)) + 1) END AS key,
- regexp_replace(replace(project_key, '/', '_'), '[^A-Za-z0-9._\\-]', '_', 'g') AS directory FROM memories WHERE project_key LIKE '%/%'""")
+_REMOTES = {"scp": "git@{0}:{1}.git", "https": "https://me:pw@{0}/{1}.git", "ssh": "ssh://git@{0}:2222/{1}", "git": "git://{0}/{1}.git/"}
+
+
+@query(
+    "remote_keys",
+    """SELECT project_key, notation, CASE WHEN notation = 'git' THEN NULL ELSE lower(split_part(project_key, '/', 1)) || substring(project_key, length(split_part(project_key, '/', 1)) + 1) END AS key,
+ regexp_replace(replace(project_key, '/', '_'), '[^A-Za-z0-9._\\-]', '_', 'g') AS directory FROM (SELECT DISTINCT project_key FROM memories WHERE project_key LIKE '%/%'), (SELECT unnest(['scp', 'https', 'ssh', 'git']) AS notation)""".replace("CASE WHEN notation = 'git' THEN NULL ELSE ", "").replace(" END AS key", " AS key"),
+)
 def remote_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every project key written as an ssh remote and brought back."""
+    """Every project key written as a remote in each notation and brought back."""
     own = table(spark, sf_dir, "memories").where("project_key like '%/%'").select("project_key").distinct()
-    remote = F.concat(F.lit("git@"), F.upper(F.substring_index("project_key", "/", 1)), F.lit(":"), F.expr("substring(project_key, instr(project_key, '/') + 1)"), F.lit(".git"))
-    return own.select("project_key", text.remote_key(remote).alias("key"), text.directory(F.col("project_key")).alias("directory"))
+    host, path = F.upper(F.substring_index("project_key", "/", 1)), F.expr("substring(project_key, instr(project_key, '/') + 1)")
+    forms = F.array(*(F.struct(F.lit(k).alias("notation"), text.rendered(v, {"0": host, "1": path}).alias("url")) for k, v in _REMOTES.items()))
+    return own.select("project_key", F.explode(forms).alias("r")).select("project_key", "r.notation", text.remote_key(F.col("r.url")).alias("key"), text.directory(F.col("project_key")).alias("directory"))
 
 
 # --- sources and texts ------------------------------------------------------------------------------------------------
@@ -581,29 +560,25 @@ def agent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatlogs.agent_messages(table(spark, sf_dir, "cursor_disk_kv"))
 
 
-@query("kv_kinds", "SELECT split_part(key, ':', 1) AS kind, count(*) AS n, count(DISTINCT key) AS keys FROM cursor_disk_kv WHERE key NOT LIKE 'composer.content.%' GROUP BY 1")
+@query("kv_kinds", "SELECT CASE WHEN starts_with(key, 'composer.content.') THEN 'composer.content' ELSE split_part(key, ':', 1) END AS kind, count(*) AS n, count(DISTINCT key) AS keys FROM cursor_disk_kv GROUP BY 1")
 def kv_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "cursor_disk_kv").where("key not like 'composer.content.%'")
-    once = rows.groupBy("key").agg(F.count("*").alias("n"))
-    return once.groupBy(F.substring_index("key", ":", 1).alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
-
-
-@query("kv_all_kinds", "SELECT CASE WHEN starts_with(key, 'composer.content.') THEN 'composer.content' ELSE split_part(key, ':', 1) END AS kind, count(*) AS n, count(DISTINCT key) AS keys FROM cursor_disk_kv GROUP BY 1")
-def kv_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows by kind; ``kv_kinds`` leaves out the kind that no colon follows."""
+    """All rows by the kind of their key: what stands before the first colon, or the one prefix that no colon follows."""
     once = table(spark, sf_dir, "cursor_disk_kv").groupBy("key").agg(F.count("*").alias("n"))
     kind = F.when(F.col("key").startswith("composer.content."), "composer.content").otherwise(F.substring_index("key", ":", 1))
     return once.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
 
 
-@query("frontmatter_roundtrip")
+_BACK = ("scope", "value", "source", "tags", "origin", "body")
+
+
+@query("frontmatter_roundtrip", f"SELECT id, {', '.join(f'true AS same_{c}' for c in _BACK)} FROM ({_NOTE})")
 def frontmatter_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes written as files' texts and read again: ``id`` and whether its fields came back."""
     own = recall.one_of_each(table(spark, sf_dir, "memories"))
     back = markdown.from_texts(markdown.as_texts(own)).select("id", F.struct("scope", "value", "source", "tags", "origin", "body").alias("b"))
     fields = [F.nullif(c, F.lit("")).alias(c) for c in ("scope", "value", "source")]
     mine = own.select("id", F.struct(*fields, F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "origin", F.ltrim(F.coalesce("body", F.lit("")), F.lit("\n")).alias("body")).alias("a"))
-    return mine.join(back, "id").select("id", *((F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"same_{c}") for c in ("scope", "value", "source", "tags", "origin", "body")))
+    return mine.join(back, "id").select("id", *((F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"same_{c}") for c in _BACK))
 
 
 @query("marked_blocks", f"""SELECT doc_id, md5(CASE WHEN text IS NULL THEN e'<!-- a -->\\nlist\\n<!-- z -->\\n' ELSE text || CASE WHEN ends_with(text, e'\\n\\n') THEN '' WHEN ends_with(text, e'\\n') THEN e'\\n' ELSE e'\\n\\n' END || e'<!-- a -->\\nlist\\n<!-- z -->\\n' END) AS digest FROM documents""")
@@ -623,10 +598,10 @@ def url_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "topic_notes",
     f"""SELECT 'personal' AS scope, title, NULL AS project_key, CASE WHEN value IN ('high', 'low') THEN value ELSE 'medium' END AS value, array_to_string(list_slice(coalesce(tags, []), 1, 6), ' ') AS tags
-FROM ({_NOTE}) WHERE scope <> 'project' UNION ALL SELECT CASE WHEN project_key IS NULL THEN 'personal' ELSE 'project' END, title, project_key, CASE WHEN value IN ('high', 'low') THEN value ELSE 'medium' END, array_to_string(list_slice(coalesce(tags, []), 1, 6), ' ') FROM ({_NOTE}) WHERE scope = 'project'""",
+FROM ({_NOTE}) WHERE scope <> 'project' AND value IS DISTINCT FROM 'low' UNION ALL SELECT CASE WHEN project_key IS NULL THEN 'personal' ELSE 'project' END, title, project_key, CASE WHEN value IN ('high', 'low') THEN value ELSE 'medium' END, array_to_string(list_slice(coalesce(tags, []), 1, 6), ' ') FROM ({_NOTE}) WHERE scope = 'project' AND value IS DISTINCT FROM 'low'""",
 )
 def topic_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = recall.one_of_each(table(spark, sf_dir, "memories")).withColumn("should_keep", F.lit(None).cast("boolean"))
+    own = recall.one_of_each(table(spark, sf_dir, "memories")).withColumn("should_keep", F.when(F.col("value") == "low", False).when(F.col("value") == "high", True))
     made = topics.to_notes(topics.kept(own), "2026-07-01")
     return made.select("scope", "title", "project_key", "value", F.array_join("tags", " ").alias("tags"))
 
@@ -675,18 +650,11 @@ def remembered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bare.agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
 
 
-@query("pages", "SELECT doc_id, length(text) AS chars, octet_length(encode(text)) AS bytes FROM documents WHERE octet_length(encode(text)) <= 60000")
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as pages; those cut are left to the tests."""
-    out = _documents(spark, sf_dir).where(F.octet_length("text") <= 60_000).select("doc_id", notes.page(F.col("text")).alias("t"))
-    return out.select("doc_id", F.length("t").cast("bigint").alias("chars"), F.octet_length("t").cast("bigint").alias("bytes"))
-
-
 _CUT = ", ".join(f"try(decode(encode(text)[1:{60_000 - i}]))" for i in range(4))
 
 
-@query("pages_cut", f"SELECT doc_id, length(t) AS chars, octet_length(encode(t)) AS bytes, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 60000 THEN text ELSE coalesce({_CUT}) END AS t FROM documents)")
-def pages_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a page, long ones cut and null ones too; ``pages`` has those that need no cut."""
+@query("pages", f"SELECT doc_id, length(t) AS chars, octet_length(encode(t)) AS bytes, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 60000 THEN text ELSE coalesce({_CUT}) END AS t FROM documents)")
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a page, long ones cut."""
     out = _documents(spark, sf_dir).select("doc_id", notes.page(F.col("text")).alias("t"))
     return out.select("doc_id", F.length("t").cast("bigint").alias("chars"), F.octet_length("t").cast("bigint").alias("bytes"), F.md5("t").alias("digest"))

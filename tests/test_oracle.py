@@ -2,7 +2,7 @@
 
 import pytest
 
-from lorekeep.plans import core_queries
+from lorekeep.plans import core_queries, flow_queries  # noqa: F401
 
 from .oracle import DATA, compare
 

@@ -8,12 +8,12 @@ from lorekeep.operators import recall
 from lorekeep.plans import core_queries
 
 
-def test_pages_cut_takes_every_document(spark, tmp_path):
+def test_pages_takes_every_document(spark, tmp_path):
     texts = [None, "", "short", "a" * 60_000, "a" * 60_001, *("a" * i + "长😀" * 20_000 for i in range(7))]
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     cut = [None if t is None else t.encode()[:60_000].decode(errors="ignore") for t in texts]
     want = {(i, *((None,) * 3 if t is None else (len(t), len(t.encode()), hashlib.md5(t.encode()).hexdigest()))) for i, t in enumerate(cut)}
-    assert {tuple(r) for r in core_queries.QUERIES["pages_cut"](spark, str(tmp_path)).select("doc_id", "chars", "bytes", "digest").collect()} == want
+    assert {tuple(r) for r in core_queries.QUERIES["pages"](spark, str(tmp_path)).select("doc_id", "chars", "bytes", "digest").collect()} == want
 
 
 def test_nearest_answers_every_query(spark):
@@ -37,5 +37,5 @@ def test_nearest_answers_every_query(spark):
 def test_every_kind_of_key_is_counted(spark, tmp_path):
     keys = ["composer.content.a", "composer.content.a", "composer.content.b:c", "bubbleId:s:1", "composerData:s"]
     spark.createDataFrame([(k,) for k in keys], "key string").write.parquet(f"{tmp_path}/cursor_disk_kv.parquet")
-    got = {tuple(r) for r in core_queries.QUERIES["kv_all_kinds"](spark, str(tmp_path)).select("kind", "n", "keys").collect()}
+    got = {tuple(r) for r in core_queries.QUERIES["kv_kinds"](spark, str(tmp_path)).select("kind", "n", "keys").collect()}
     assert got == {("composer.content", 3, 2), ("bubbleId", 1, 1), ("composerData", 1, 1)}
