@@ -5,7 +5,9 @@ the token sets, and Jaccard at least t means a symmetric difference of at most (
 are put in size bands by powers of 1 / t; sets that can match lie in the same or in neighbouring bands. Per band pair
 the sketch is cut in n blocks, more than the largest allowed difference d: two matching sets disagree in at most d
 blocks, so of any order of the blocks common to all sets the first d + 1 of both share one (the pigeonhole). The rarest
-blocks come first. Pairs that meet in a block are held against the distance bound inside the join and verified after.
+blocks come first. Rows of a block are brought together sorted, and the pairs that meet in it are held against the distance
+bound there, many at once; what is left is verified. A block that very many sets share is split into squares of bounded
+size, so no task sees more of it than another.
 """
 
 from __future__ import annotations
@@ -21,16 +23,21 @@ from pyspark.sql import functions as F
 from lorekeep.session import written
 
 THRESHOLD = (7, 10)
-#: Bits of the sketch held against the bound inside the join.
-SKETCH_WORDS = 4
+#: Words of the sketch held against the bound where sets meet, by the largest set they serve: so many bits tell two sets
+#: apart only as long as the difference allowed stays well below half of them.
+WIDTHS = ((310, 4), (1300, 16), (1 << 62, 64))
 #: Blocks of a band pair for each difference allowed in it.
-BLOCKS = 1.35
-#: Hash buckets of the block frequencies that order the blocks; what reaches the driver is one number a bucket.
-BUCKETS = 1 << 18
+BLOCKS = 1.0
+#: Hash buckets of the block frequencies that order the blocks; what reaches the driver is one number a bucket. A bucket also
+#: counts what else falls in it, on average the same everywhere: that much is taken off before a block is called frequent.
+BUCKETS = 1 << 20
+_CHUNK = 1 << 16
 #: Bytes of token sets that are worked on at once.
 SLICE = 1 << 20
-#: A block value met by more sets than this is split over several tasks.
+#: A block value met by more sets than this is split into squares of so many.
 HOT = 4000
+#: Pairs that are tested at once, and from how many on a block is tested by itself.
+PAIRS, LARGE = 1 << 16, 1 << 10
 
 
 def token_set(*texts: Column) -> Column:
@@ -88,12 +95,12 @@ def _cells(flat: np.ndarray, sizes: np.ndarray, channels: np.ndarray) -> tuple[n
     return _mix(value + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt[owner]), owner, place
 
 
-def _sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A parity sketch of each set, ``SKETCH_WORDS`` numbers a row."""
-    wide = 64 * SKETCH_WORDS
+def _sketches(flat: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
+    """A parity sketch of each set, ``words`` numbers a row."""
+    wide = 64 * words
     bit = (_mix(flat.view(np.uint64) + np.uint64(7)) % np.uint64(wide)).astype(np.int64)
     odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * wide + bit, minlength=len(sizes) * wide) & 1
-    return (odd.reshape(len(sizes), SKETCH_WORDS, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+    return (odd.reshape(len(sizes), words, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,68 +117,184 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
                 yield batch.column(0).to_numpy(zero_copy_only=False)[some], flat, sizes[some], np.array([_band(int(x)) for x in kinds])[where]
 
 
-def _frequencies(classes: DataFrame) -> np.ndarray:
+def _frequencies(classes: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """How many blocks of all sets fall in each bucket, and the bands that sets are in. Tasks send their counts in chunks."""
+    chunks = -(-BUCKETS // _CHUNK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, bands = np.zeros(chunks * _CHUNK, np.int64), set()
         for _, flat, sizes, band in _sets(batches):
+            bands |= {int(b) for b in np.unique(band)}
             for channels in (band, band - 1):
-                total += np.bincount((_cells(flat, sizes, channels)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
-
-    rows = classes.select("class", "tokens").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+                total[:BUCKETS] += np.bincount((_cells(flat, sizes, channels)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        if bands:
+            at = [i for i in range(chunks) if total[i * _CHUNK : (i + 1) * _CHUNK].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[i * _CHUNK : (i + 1) * _CHUNK].tobytes() for i in at], pa.binary()), pa.array([sorted(bands)] * len(at), pa.list_(pa.int32()))], names=["chunk", "n", "bands"])
+
+    def add(table: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x, np.int64) for x in table.column("n").to_pylist())
+        bands = sorted({b for x in table.column("bands").to_pylist() for b in x})
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "n": pa.array([n.tobytes()], pa.binary()), "bands": pa.array([bands], pa.list_(pa.int32()))})
+
+    schema = "chunk int, n binary, bands array<int>"
+    rows = classes.select("class", "tokens").mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    out = np.zeros(chunks * _CHUNK, np.int64)
+    for r in rows:
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["n"], np.int64)
+    return np.minimum(out[:BUCKETS], np.iinfo(np.int32).max).astype(np.int32), sorted({b for r in rows for b in r["bands"]})
+
+
+def _tiers(bands: list[int]) -> list[tuple[int, int, int]]:
+    """``low, high, words``: the channels, from ``low`` to below ``high``, whose largest sets a width of sketch serves; only
+    those that occur."""
+    p, q = THRESHOLD
+    channels, out, low = sorted({c for b in bands for c in (b, b - 1)}), [], -(1 << 30)
+    for most, words in WIDTHS:
+        high = next((c for c in range(max(low, -2), 1 << 10) if (q / p) ** (c + 2) > most), 1 << 30) if most < 1 << 62 else 1 << 30
+        if any(low <= c < high for c in channels):
+            out.append((low, high, words))
+        low = high
     return out
 
 
-def _probes(classes: DataFrame, frequency: np.ndarray, lower: bool) -> DataFrame:
+def _probes(classes: DataFrame, frequency: np.ndarray, lower: bool, tier: tuple[int, int, int]) -> DataFrame:
     """``sig, class, size, upper, pos, parts, s0..`` of the d + 1 rarest blocks of every set: for the pairs in which it is in
-    the lower band (or both are in one), and unless ``lower`` for those in which it is in the upper one, too."""
+    the lower band (or both are in one), and unless ``lower`` for those in which it is in the upper one, too; of the
+    channels of a tier."""
     p, q = THRESHOLD
-    kinds = {"sig": pa.int64(), "class": pa.int64(), "size": pa.int32(), "upper": pa.bool_(), "pos": pa.int32(), "parts": pa.int32()} | {f"s{i}": pa.int64() for i in range(SKETCH_WORDS)}
-    schema = "sig bigint, class bigint, size int, upper boolean, pos int, parts int, " + ", ".join(f"s{i} bigint" for i in range(SKETCH_WORDS))
+    low, high, words = tier
+    noise = float(frequency.mean())
+    noise += 4 * noise**0.5
+    kinds = {"sig": pa.int64(), "class": pa.int64(), "size": pa.int32(), "upper": pa.bool_(), "pos": pa.int32(), "parts": pa.int32()} | {f"s{i}": pa.int64() for i in range(words)}
+    schema = "sig bigint, class bigint, size int, upper boolean, pos int, parts int, " + ", ".join(f"s{i} bigint" for i in range(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, flat, sizes, band in _sets(batches):
-            bits = _sketches(flat, sizes)
-            # a partner that is larger has at most size * q / p tokens; in the upper band a set is the larger one itself
-            roles = [(band, False, sizes * (p + q) * (q - p) // (p * (q + p)))]
-            roles += [] if lower else [(band - 1, True, 2 * sizes * (q - p) // (q + p))]
-            for channels, upper, d in roles:
-                sig, owner, place = _cells(flat, sizes, channels)
+            for upper in (False,) if lower else (False, True):
+                channels = band - 1 if upper else band
+                own = (channels >= low) & (channels < high)
+                if not own.any():
+                    continue
+                mine, sub = sizes[own], flat[np.repeat(own, sizes)]
+                bits = _sketches(sub, mine, words)
+                # a partner that is larger has at most size * q / p tokens; in the upper band a set is the larger one itself
+                d = 2 * mine * (q - p) // (q + p) if upper else mine * (p + q) * (q - p) // (p * (q + p))
+                sig, owner, place = _cells(sub, mine, channels[own])
                 n = frequency[(sig & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 order = np.lexsort((sig, n, owner))
-                rank = place  # owners keep their places: the sorted cells of a set fill the same stretch
-                chosen = rank <= d[owner]
+                chosen = place <= d[owner]  # owners keep their places: the sorted cells of a set fill the same stretch
                 pick = order[chosen]
-                own = owner[pick]
-                columns = [sig[pick].view(np.int64), ids[own], sizes[own], np.full(len(pick), upper), rank[chosen], np.maximum(1, -(-n[pick] // HOT)), *bits[own].T]
+                of = owner[pick]
+                columns = [sig[pick].view(np.int64), ids[own][of], mine[of], np.full(len(pick), upper), place[chosen], np.maximum(1, np.ceil((n[pick] - noise) / HOT)), *bits[of].T]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), t) if pa.types.is_boolean(t) else pa.array(np.ascontiguousarray(x).astype(t.to_pandas_dtype()), t) for x, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     return classes.select("class", "tokens").mapInArrow(run, schema)
 
 
+def _columns(columns: list[np.ndarray]) -> dict:
+    """Rows of a batch as the tests need them: with t = p / q, two sets of sizes x and y may differ in (q - p) / (p + q) of
+    x + y at most, and a block at place ``pos`` of one of them is among their first if ``need`` is at most ``give`` of the
+    other."""
+    p, q = THRESHOLD
+    size, pos = columns[3].astype(np.int32), columns[4].astype(np.int32)
+    return {
+        "k": columns[0], "right": columns[1], "class": columns[2], "upper": columns[5], "bits": [x.view(np.uint64) for x in columns[6:]],
+        "give": size * (q - p), "need": pos * (p + q) - size * (q - p), "size": size, "least": -(-size * p // q),
+    }
+
+
+def _near(rows: dict, i, j) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows ``i`` and ``j`` (two arrays alike, or a slice of each for all their pairs) those that may reach
+    the threshold."""
+    p, q = THRESHOLD
+    whole = isinstance(i, slice)
+    left, right = ((lambda x: x[i][:, None]), (lambda x: x[j][None, :])) if whole else ((lambda x: x[i]), (lambda x: x[j]))
+    give = left(rows["give"]) + right(rows["give"])
+    good = left(rows["need"]) <= right(rows["give"])
+    good &= right(rows["need"]) <= left(rows["give"])
+    good &= left(rows["least"]) <= right(rows["size"])
+    good &= right(rows["least"]) <= left(rows["size"])
+    good &= right(rows["upper"]) | (left(rows["class"]) < right(rows["class"]))
+    bits, most = rows["bits"], (give // (p + q)).astype(np.int16 if len(rows["bits"]) < 64 else np.int32)
+    apart = np.bitwise_count(left(bits[0]) ^ right(bits[0])).astype(most.dtype)
+    apart += np.bitwise_count(left(bits[1]) ^ right(bits[1]))
+    good &= apart <= most
+    at = np.flatnonzero(good)
+    a, b = (at // good.shape[1] + i.start, at % good.shape[1] + j.start) if whole else (i[at], j[at])
+    apart, most = apart.reshape(-1)[at], most.reshape(-1)[at]
+    for x in bits[2:]:
+        apart = apart + np.bitwise_count(x[a] ^ x[b])
+    near = apart <= most
+    return a[near], b[near]
+
+
+def _pairs(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near pairs of sorted rows: within each key, every row of the left side with every one of the right."""
+    key, right = rows["k"], rows["right"]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.r_[starts[1:], len(key)]
+    lefts = np.add.reduceat((~right).astype(np.int64), starts)
+    rights = ends - starts - lefts
+    some = (lefts > 0) & (rights > 0)
+    starts, lefts, rights = starts[some], lefts[some], rights[some]
+    large = lefts * rights > LARGE
+    for a, m, n in zip(starts[large].tolist(), lefts[large].tolist(), rights[large].tolist(), strict=True):
+        rest = max(1, PAIRS // min(m, 256))
+        for x in range(a, a + m, 256):
+            for b in range(a + m, a + m + n, rest):
+                yield _near(rows, slice(x, min(x + 256, a + m)), slice(b, min(b + rest, a + m + n)))
+    starts, lefts, rights = starts[~large], lefts[~large], rights[~large]
+    ends = np.cumsum(lefts * rights)
+    for first in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        t = np.arange(first, min(first + PAIRS, int(ends[-1])))
+        g = np.searchsorted(ends, t, side="right")
+        t -= (ends - lefts * rights)[g]
+        yield _near(rows, starts[g] + t // rights[g], starts[g] + lefts[g] + t % rights[g])
+
+
+def _met(classes: DataFrame, frequency: np.ndarray, tier: tuple[int, int, int]) -> DataFrame:
+    """``a, b`` of the pairs that share one of their rarest blocks and stay within the bound as far as their sketches tell."""
+    words = tier[2]
+    bits = [f"s{i}" for i in range(words)]
+    parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+
+    def side(right: bool) -> DataFrame:
+        # the channel is in the signature, so one number is the whole key
+        rows = _probes(classes, frequency, not right, tier).withColumn("own", own).withColumn("other", F.explode(parts))
+        row, column = (F.col("other"), F.col("own")) if right else (F.col("own"), F.col("other"))
+        square = F.when(F.col("parts") == 1, F.col("sig")).otherwise(F.xxhash64("sig", row, column))
+        return rows.select(square.alias("k"), F.lit(right).alias("right"), "class", "size", "pos", "upper", *bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # rows of the left side of the last key so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None and held[0][0] == columns[0][0]:
+                columns = [np.concatenate([x, y]) for x, y in zip(held, columns, strict=True)]
+            rows = _columns(columns)
+            for i, j in _pairs(rows):
+                if len(i):
+                    a, b = rows["class"][i], rows["class"][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            last = (columns[0] == columns[0][-1]) & ~columns[1]
+            held = [x[last] for x in columns] if last.any() else None
+
+    both = side(False).unionByName(side(True)).repartition("k").sortWithinPartitions("k", "right")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def similar_classes(classes: DataFrame) -> DataFrame:
     """``a, b`` (a < b) of all pairs of different token sets that reach the threshold; ``classes`` has ``class, tokens``."""
     p, q = THRESHOLD
-    frequency = _frequencies(classes)
-    # the channel is in the signature, so one number is the whole join key
-    key = lambda part: F.col("sig").bitwiseXOR(part.cast("bigint") * 0x9E3779B97F4A7C1).alias("k")
-    bits = [f"s{i}" for i in range(SKETCH_WORDS)]
-    left = _probes(classes, frequency, True).select(key(F.pmod(F.xxhash64("class"), F.col("parts"))), "class", "size", "pos", *bits)
-    right = _probes(classes, frequency, False).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(key(F.col("part")), "class", "size", "pos", "upper", *bits)
-    lc, rc = (lambda n: F.col(f"l.{n}")), (lambda n: F.col(f"r.{n}"))
-    most = (lc("size") + rc("size")) * (q - p)  # times 1 / (p + q), the largest difference allowed
-    apart = sum((F.bit_count(lc(s).bitwiseXOR(rc(s))) for s in bits[1:]), F.bit_count(lc(bits[0]).bitwiseXOR(rc(bits[0]))))
-    meet = (
-        (lc("k") == rc("k")) & (rc("upper") | (lc("class") < rc("class")))
-        & (lc("size") * q >= rc("size") * p) & (rc("size") * q >= lc("size") * p)
-        & (lc("pos") * (p + q) <= most) & (rc("pos") * (p + q) <= most) & (apart * (p + q) <= most)
-    )
-    met = left.alias("l").join(right.alias("r"), meet).select(F.least(lc("class"), rc("class")).alias("a"), F.greatest(lc("class"), rc("class")).alias("b")).distinct()
+    frequency, bands = _frequencies(classes)
+    met = classes.select(F.col("class").alias("a"), F.col("class").alias("b")).where("false")
+    for tier in _tiers(bands):
+        met = met.unionByName(_met(classes, frequency, tier))
     tokens = classes.select("class", "tokens")
-    both = met.join(tokens.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = met.distinct().join(tokens.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.where(common * q >= (F.size("ta") + F.size("tb") - common) * p).select("a", "b")
 

@@ -59,11 +59,57 @@ def test_hot_block_is_split(spark, monkeypatch):
     assert {tuple(r) for r in N.similar_notes(spark.createDataFrame(rows, NOTE)).collect()} == brute(rows)
 
 
+def test_full_buckets_split_nothing(spark):
+    """Buckets that many ordinary blocks share aren't taken for frequent blocks; results never depend on the counts."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(60)] for _ in range(40)]
+    rows = [(f"{i}", None, " ".join(base[i % 40][: 60 - i % 7] + [f"x{i}"]), None) for i in range(120)]
+    classes, _ = N.note_classes(spark.createDataFrame(rows, NOTE))
+    frequency, bands = N._frequencies(classes)
+    assert frequency.sum() > 0
+    full = np.full(N.BUCKETS, 50_000, np.int32)  # as with very many notes: more than HOT in every bucket
+    for tier in N._tiers(bands):
+        assert N._probes(classes, full, False, tier).selectExpr("max(parts)").first()[0] == 1
+        some = sorted(tuple(r) for r in N._met(classes, full, tier).distinct().collect())
+        assert len(some) >= len(N.similar_classes(classes).collect())
+    heavy = np.zeros(N.BUCKETS, np.int32)
+    heavy[:] = 3
+    heavy[:8] = 3 * N.HOT
+    assert N._probes(classes, heavy, False, N._tiers(bands)[0]).selectExpr("max(parts)").first()[0] in (1, 3)
+
+
+def test_large_sets_have_wider_sketches(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for g in range(6):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range((300, 700, 1500)[g % 3])]
+        rows += [(f"{g}-{k}", None, " ".join(w for w in base if rng.random() > 0.05 * k), None) for k in range(4)]
+    rows += [(f"s{i}", None, f"a few words {i % 3}", None) for i in range(9)]
+    want = brute(rows)
+    assert {tuple(r) for r in N.similar_notes(spark.createDataFrame(rows, NOTE)).collect()} == want
+    classes, _ = N.note_classes(spark.createDataFrame(rows, NOTE))
+    assert [t[2] for t in N._tiers(N._frequencies(classes)[1])] == [4, 16, 64]
+    monkeypatch.setattr(N, "LARGE", 2)
+    monkeypatch.setattr(N, "PAIRS", 7)
+    assert {tuple(r) for r in N.similar_notes(spark.createDataFrame(rows, NOTE)).collect()} == want
+
+
+def test_pairs_of_a_key_in_several_batches(spark):
+    """A key whose rows come in several Arrow batches meets all of its other side."""
+    rows = [(f"{i:04d}", None, f"same words in all notes here {i % 700}", None) for i in range(900)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {tuple(r) for r in N.similar_notes(spark.createDataFrame(rows, NOTE)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows)
+
+
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype(np.int64) * 7919 for _ in range(400)]
     flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
-    bits = N._sketches(flat, sizes)
+    bits = N._sketches(flat, sizes, 4)
     sig, owner, place = N._cells(flat, sizes, np.full(400, 3))
     for i in range(0, 400, 2):
         d = len(np.setxor1d(sets[i], sets[i + 1]))
