@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lorekeep.session import cut
+from lorekeep.session import cut, numbered
 
 #: Positions of one conversation that are put in order by one task.
 BLOCK = 4096
@@ -79,23 +79,42 @@ def list_order(ids: Sequence) -> list[tuple[int, int]]:
 def order_replies(df: DataFrame, conversation: str, message: str, parent: str, time: str) -> DataFrame:
     """Positions for message rows that name the message they answer: ``conversation, message, pos, cyclic``.
 
-    For stores whose rows carry a parent id. Levels are peeled off the reply forest by joins (pointer doubling: the
-    number of rounds is the logarithm of the longest chain), so no conversation is gathered. Within a level the earlier
-    time, then the message id goes first. A message without parent, or whose parent has no row, starts a thread;
-    messages on a cycle or behind one get a null ``pos`` and ``cyclic`` true. Null message ids don't come out; of
-    repeated message ids the earliest row counts.
+    For stores whose rows carry a parent. Kahn's algorithm on a forest, spread over tasks: what is free after the same number
+    of steps makes a level, levels come from joins (pointer doubling: the number of rounds is the logarithm of the longest
+    chain), and messages left over lie on a cycle or behind one. Within a level the earlier time, then the message id goes
+    first. No conversation is gathered; positions are counted over sorted ranges. A message without parent, or whose parent
+    has no row, starts a thread; messages left over get a null ``pos`` and ``cyclic`` true. Null message ids don't come
+    out; of repeated message ids the earliest row counts.
     """
     w = Window.partitionBy("c", "m").orderBy(F.col("t").asc_nulls_last(), F.col("p").asc_nulls_last())
     nodes = df.select(F.col(conversation).alias("c"), F.col(message).alias("m"), F.col(parent).alias("p"), F.col(time).alias("t")).where("m is not null").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
     known = nodes.select("c", F.col("m").alias("p"), F.lit(True).alias("known"))
     step = cut(nodes.join(known, ["c", "p"], "left").select("c", "m", "t", F.when(F.col("known"), F.col("p")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth")))
-    longest = nodes.groupBy("c").count().agg(F.max("count")).first()[0] or 0
+    longest = step.groupBy("c").count().agg(F.max("count")).first()[0] or 0
     for _ in range(int(longest).bit_length()):
         far = step.select("c", F.col("m").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        step = cut(step.join(far, ["c", "up"], "left").select("c", "m", "t", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")))
-    cyclic = F.col("up").isNotNull()
-    order = Window.partitionBy("c", cyclic).orderBy("depth", F.col("t").asc_nulls_last(), "m")
-    return step.select(F.col("c").alias(conversation), F.col("m").alias(message), F.when(~cyclic, F.row_number().over(order) - 1).alias("pos"), cyclic.alias("cyclic"))
+        # rows that have arrived need no partner: keys of their own keep them from meeting in one task
+        rest = step.where("up is not null").join(far, ["c", "up"], "left").select("c", "m", "t", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        step = cut(step.where("up is null").select("c", "m", "t", "up", "depth").unionByName(rest))
+    free = numbered(step.where("up is null"), "c", [F.col("depth"), F.col("t").asc_nulls_last(), F.col("m")], "pos")
+    out = free.select("c", "m", (F.col("pos") - 1).alias("pos"), F.lit(False).alias("cyclic")).unionByName(step.where("up is not null").select("c", "m", F.lit(None).cast("int").alias("pos"), F.lit(True).alias("cyclic")))
+    return out.select(F.col("c").alias(conversation), F.col("m").alias(message), "pos", "cyclic")
+
+
+def reply_graph(kv: DataFrame) -> DataFrame:
+    """``session_id, bubble_id, parent, seen_at`` of every message that any snapshot of a conversation lists.
+
+    A message answers the one before it in the latest snapshot that lists it; messages that a later snapshot no longer
+    lists stay where they were, so the graph forks there. ``seen_at`` is the time of the first snapshot with the message.
+    Unreadable rows, entries without an id and repeated entries add nothing.
+    """
+    rows = kv.where(F.col("key").startswith("composerData:")).where(_is_object(F.col("value"))).select(F.expr("substring(key, length('composerData:') + 1)").alias("session_id"), "snapshot_at", F.from_json("value", _COMPOSER).alias("c"))
+    ids = F.when(F.size("c.conversationMap") > 0, F.map_keys("c.conversationMap")).otherwise(F.transform("c.fullConversationHeadersOnly", lambda h: h["bubbleId"]))
+    once = rows.select("session_id", "snapshot_at", F.array_distinct(F.filter(ids, lambda x: x.isNotNull())).alias("ids"))
+    pairs = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.when(i > 0, F.get("ids", i - 1)).alias("up")))
+    each = once.select("session_id", "snapshot_at", F.explode(pairs).alias("x"))
+    best = F.max(F.struct(F.col("snapshot_at").alias("t"), F.col("x.up").alias("up")))
+    return each.groupBy("session_id", F.col("x.id").alias("bubble_id")).agg(best.alias("b"), F.min("snapshot_at").alias("seen_at")).select("session_id", "bubble_id", F.col("b.up").alias("parent"), "seen_at")
 
 
 @F.pandas_udf(_ORDERED)

@@ -42,6 +42,18 @@ n AS (SELECT *, lead(role) OVER (PARTITION BY sid ORDER BY pos) AS next FROM k),
 bad AS (SELECT sid FROM a WHERE NOT ok UNION SELECT sid FROM n WHERE (pos = 0 AND role <> 'user') OR (role = 'user' AND next IS DISTINCT FROM 'assistant'))
 SELECT sid AS session_id, CAST(pos AS INT) AS pos, id AS bubble_id, role FROM n WHERE sid NOT IN (SELECT sid FROM bad)"""
 
+_ORDER = """
+WITH RECURSIVE c AS (SELECT row_number() OVER () AS r, substring(key, 14) AS sid, snapshot_at AS seen, CAST(value AS JSON) AS j FROM cursor_disk_kv
+  WHERE key LIKE 'composerData:%' AND json_valid(value) AND json_type(CASE WHEN json_valid(value) THEN value END) = 'OBJECT'),
+a AS (SELECT r, sid, seen, unnest(json_keys(j, '$.conversationMap')) AS id, generate_subscripts(json_keys(j, '$.conversationMap'), 1) AS i FROM c WHERE len(json_keys(j, '$.conversationMap')) > 0
+  UNION ALL SELECT r, sid, seen, unnest(h).bubbleId, generate_subscripts(h, 1) FROM (SELECT r, sid, seen, from_json(json_extract(j, '$.fullConversationHeadersOnly'), '[{"bubbleId":"VARCHAR"}]') AS h FROM c WHERE coalesce(len(json_keys(j, '$.conversationMap')), 0) = 0)),
+f AS (SELECT r, sid, seen, id, min(i) AS i FROM a WHERE id IS NOT NULL GROUP BY r, sid, seen, id),
+p AS (SELECT sid, id, seen, lag(id) OVER (PARTITION BY r ORDER BY i) AS up FROM f),
+n AS (SELECT sid, id, up, t FROM (SELECT *, min(seen) OVER (PARTITION BY sid, id) AS t, row_number() OVER (PARTITION BY sid, id ORDER BY seen DESC NULLS LAST, up DESC NULLS LAST) AS k FROM p) WHERE k = 1),
+d AS (SELECT sid, id, t, 0 AS depth FROM n WHERE up IS NULL UNION ALL SELECT n.sid, n.id, n.t, d.depth + 1 FROM d JOIN n ON n.sid = d.sid AND n.up = d.id)
+SELECT n.sid AS session_id, n.id AS bubble_id, d.id IS NULL AS cyclic, CASE WHEN d.id IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY n.sid, d.id IS NULL ORDER BY d.depth, d.t NULLS LAST, n.id) - 1 AS INT) END AS pos
+FROM n LEFT JOIN d ON d.sid = n.sid AND d.id = n.id"""
+
 _P3 = """
 WITH t AS (SELECT id, lower(concat_ws(e'\\n', coalesce(any_value(title), ''), coalesce(any_value(body), ''), coalesce(array_to_string(any_value(tags), e'\\n'), ''))) AS x FROM memories WHERE id IS NOT NULL GROUP BY id),
 w AS (SELECT id, unnest(list_distinct(list_concat(regexp_extract_all(x, '[a-z0-9_]+'), flatten(list_transform(regexp_extract_all(x, '[\\x{4e00}-\\x{9fff}]+'),
@@ -61,6 +73,12 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversation_parts(table(spark, sf_dir, "cursor_disk_kv"))
 
 
+@query("p2_order", _ORDER)
+def p2_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message that any snapshot lists, branches that later ones gave up among them, in the order of the reply graph."""
+    return conversations.order_replies(conversations.reply_graph(table(spark, sf_dir, "cursor_disk_kv")), "session_id", "bubble_id", "parent", "seen_at")
+
+
 @query("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -114,3 +114,20 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame(rows, KV)
     more = df.withColumns({c: F.lit(1) for c in ("v", "b", "m", "o", "at", "pos", "block", "session_id", "type", "role", "text", "ckey")})
     assert sorted(tuple(r) for r in C.rebuild(more).collect()) == run(spark, rows) != []
+
+
+def test_snapshots_fork_the_graph(spark):
+    from datetime import datetime
+
+    heads = lambda *ids: json.dumps({"fullConversationHeadersOnly": [{"bubbleId": i} for i in ids]})
+    at = lambda d: datetime(2026, 1, d)
+    rows = [("composerData:s", heads("a", "b", "c", "c2"), at(1)), ("composerData:s", heads("a", "b", None, "d", "a", "e"), at(2)), ("composerData:s", "{broken", at(3)), ("composerData:s", None, at(4))]
+    rows += [("composerData:t", json.dumps({"conversationMap": {"y": {}, "x": {}}}), None), ("bubbleId:s:a", "{}", at(1)), (None, "{}", at(1))]
+    graph = C.reply_graph(spark.createDataFrame(rows, KV))
+    assert {(r["session_id"], r["bubble_id"]): r["parent"] for r in graph.collect()} == {("s", "a"): None, ("s", "b"): "a", ("s", "c"): "b", ("s", "c2"): "c", ("s", "d"): "b", ("s", "e"): "d", ("t", "y"): None, ("t", "x"): "y"}
+    order = C.order_replies(graph, "session_id", "bubble_id", "parent", "seen_at").orderBy("session_id", "pos").collect()
+    assert [r["bubble_id"] for r in order] == ["a", "b", "c", "d", "c2", "e", "y", "x"] and not any(r["cyclic"] for r in order)
+    loop = graph.where("session_id = 't'").unionByName(spark.createDataFrame([("t", "y2", "z2", None), ("t", "z2", "y2", None), ("t", "w", "z2", None)], graph.schema))
+    got = {r["bubble_id"]: (r["pos"], r["cyclic"]) for r in C.order_replies(loop, "session_id", "bubble_id", "parent", "seen_at").collect()}
+    assert got == {"y": (0, False), "x": (1, False), "y2": (None, True), "z2": (None, True), "w": (None, True)}
+    assert C.order_replies(graph.limit(0), "session_id", "bubble_id", "parent", "seen_at").count() == 0
