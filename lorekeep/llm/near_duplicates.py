@@ -157,25 +157,27 @@ def _tiers(bands: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _probes(classes: DataFrame, frequency: np.ndarray, lower: bool, tier: tuple[int, int, int]) -> DataFrame:
-    """``sig, class, size, upper, pos, parts, s0..`` of the d + 1 rarest blocks of every set: for the pairs in which it is in
-    the lower band (or both are in one), and unless ``lower`` for those in which it is in the upper one, too; of the
-    channels of a tier."""
+def _probes(classes: DataFrame, frequency: np.ndarray, right: bool, tier: tuple[int, int, int]) -> DataFrame:
+    """``k, class, meta, s0..`` of the d + 1 rarest blocks of every set: on the left side for the pairs in which it is in the
+    lower band (or both are in one), on the right for those and those in which it is in the upper one; of the channels of a
+    tier. ``k`` is the block's value, its lowest bit the side; ``meta`` is the set's size, the block's place, and whether it is
+    there for the upper band. Of a frequent block the rows go to one row (column) of a square of parts, by their class.
+    """
     p, q = THRESHOLD
     low, high, words = tier
     noise = float(frequency.mean())
     noise += 4 * noise**0.5
-    kinds = {"sig": pa.int64(), "class": pa.int64(), "size": pa.int32(), "upper": pa.bool_(), "pos": pa.int32(), "parts": pa.int32()} | {f"s{i}": pa.int64() for i in range(words)}
-    schema = "sig bigint, class bigint, size int, upper boolean, pos int, parts int, " + ", ".join(f"s{i} bigint" for i in range(words))
+    names = ["k", "class", "meta", *(f"s{i}" for i in range(words))]
+    schema = ", ".join(f"{n} bigint" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, flat, sizes, band in _sets(batches):
-            for upper in (False,) if lower else (False, True):
+            for upper in (False, True) if right else (False,):
                 channels = band - 1 if upper else band
                 own = (channels >= low) & (channels < high)
                 if not own.any():
                     continue
-                mine, sub = sizes[own], flat[np.repeat(own, sizes)]
+                mine, sub, kind = sizes[own], flat[np.repeat(own, sizes)], ids[own]
                 bits = _sketches(sub, mine, words)
                 # a partner that is larger has at most size * q / p tokens; in the upper band a set is the larger one itself
                 d = 2 * mine * (q - p) // (q + p) if upper else mine * (p + q) * (q - p) // (p * (q + p))
@@ -184,9 +186,19 @@ def _probes(classes: DataFrame, frequency: np.ndarray, lower: bool, tier: tuple[
                 order = np.lexsort((sig, n, owner))
                 chosen = place <= d[owner]  # owners keep their places: the sorted cells of a set fill the same stretch
                 pick = order[chosen]
-                of = owner[pick]
-                columns = [sig[pick].view(np.int64), ids[own][of], mine[of], np.full(len(pick), upper), place[chosen], np.maximum(1, np.ceil((n[pick] - noise) / HOT)), *bits[of].T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), t) if pa.types.is_boolean(t) else pa.array(np.ascontiguousarray(x).astype(t.to_pandas_dtype()), t) for x, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+                of, key, rank = owner[pick], sig[pick], place[chosen]
+                parts = np.maximum(1, np.ceil((n[pick] - noise) / HOT)).astype(np.int64)
+                if (parts > 1).any():
+                    at = np.repeat(np.arange(len(parts)), parts)
+                    across = (np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.uint64)
+                    of, key, rank, parts = of[at], key[at], rank[at], parts[at].astype(np.uint64)
+                    along = _mix(kind[of].view(np.uint64) + np.uint64(11)) % parts
+                    row, column = (across, along) if right else (along, across)
+                    key = np.where(parts > 1, _mix(key + _mix(row * parts + column + np.uint64(3))), key)
+                k = (key & ~np.uint64(1)) | np.uint64(right)
+                meta = mine[of] << 32 | rank << 1 | int(upper)
+                columns = [k.view(np.int64), kind[of], meta, *bits[of].T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x, np.int64), pa.int64()) for x in columns], names=names)
 
     return classes.select("class", "tokens").mapInArrow(run, schema)
 
@@ -196,9 +208,10 @@ def _columns(columns: list[np.ndarray]) -> dict:
     x + y at most, and a block at place ``pos`` of one of them is among their first if ``need`` is at most ``give`` of the
     other."""
     p, q = THRESHOLD
-    size, pos = columns[3].astype(np.int32), columns[4].astype(np.int32)
+    key, kind, meta = columns[:3]
+    size, pos = (meta >> 32).astype(np.int32), (meta >> 1 & 0x7FFFFFFF).astype(np.int32)
     return {
-        "k": columns[0], "right": columns[1], "class": columns[2], "upper": columns[5], "bits": [x.view(np.uint64) for x in columns[6:]],
+        "k": key | 1, "right": (key & 1).astype(bool), "class": kind, "upper": (meta & 1).astype(bool), "bits": [x.view(np.uint64) for x in columns[3:]],
         "give": size * (q - p), "need": pos * (p + q) - size * (q - p), "size": size, "least": -(-size * p // q),
     }
 
@@ -254,17 +267,6 @@ def _pairs(rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _met(classes: DataFrame, frequency: np.ndarray, tier: tuple[int, int, int]) -> DataFrame:
     """``a, b`` of the pairs that share one of their rarest blocks and stay within the bound as far as their sketches tell."""
-    words = tier[2]
-    bits = [f"s{i}" for i in range(words)]
-    parts = F.sequence(F.lit(0), F.col("parts") - 1)
-    own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
-
-    def side(right: bool) -> DataFrame:
-        # the channel is in the signature, so one number is the whole key
-        rows = _probes(classes, frequency, not right, tier).withColumn("own", own).withColumn("other", F.explode(parts))
-        row, column = (F.col("other"), F.col("own")) if right else (F.col("own"), F.col("other"))
-        square = F.when(F.col("parts") == 1, F.col("sig")).otherwise(F.xxhash64("sig", row, column))
-        return rows.select(square.alias("k"), F.lit(right).alias("right"), "class", "size", "pos", "upper", *bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # rows of the left side of the last key so far
@@ -272,18 +274,19 @@ def _met(classes: DataFrame, frequency: np.ndarray, tier: tuple[int, int, int])
             if not batch.num_rows:
                 continue
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None and held[0][0] == columns[0][0]:
+            if held is not None and held[0][0] | 1 == columns[0][0] | 1:
                 columns = [np.concatenate([x, y]) for x, y in zip(held, columns, strict=True)]
             rows = _columns(columns)
             for i, j in _pairs(rows):
                 if len(i):
                     a, b = rows["class"][i], rows["class"][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            last = (columns[0] == columns[0][-1]) & ~columns[1]
+            last = columns[0] == (columns[0][-1] & ~np.int64(1))
             held = [x[last] for x in columns] if last.any() else None
 
-    both = side(False).unionByName(side(True)).repartition("k").sortWithinPartitions("k", "right")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    both = _probes(classes, frequency, False, tier).unionByName(_probes(classes, frequency, True, tier))
+    # one number is the whole key, and its lowest bit puts the left side first
+    return both.repartition(F.col("k").bitwiseOR(F.lit(1))).sortWithinPartitions("k").mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_classes(classes: DataFrame) -> DataFrame:
