@@ -34,10 +34,11 @@ def scores(docs: DataFrame, query: str, scope: str, key: str, text: str) -> Data
     found = sorted(set(terms))
     count = lambda q: F.size(F.filter("t", lambda x: x == q))
     tf = {q: count(q) for q in found}
-    # written: it is read twice, and texts are far larger than their counts
-    counted = written(base.select("scope", "key", F.size("t").alias("len"), *(tf[q].alias(f"f{i}") for i, q in enumerate(found))), "counts")
+    # written, so that texts are cut into tokens once: the counts are read without the terms, the terms without the counts
+    held = written(base.select("scope", "key", F.size("t").alias("len"), *(tf[q].alias(f"f{i}") for i, q in enumerate(found)), F.array_distinct("t").alias("terms")), "counts")
+    counted = held.drop("terms")
     sizes = counted.groupBy("scope").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *(F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(found))))
-    df = base.select("scope", F.explode(F.array_distinct("t")).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
+    df = held.select("scope", F.explode("terms").alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
     idf = lambda d: F.ln(F.col("n") - d + 0.5) - F.ln(d + 0.5)
     mean = df.join(sizes.select("scope", "n"), "scope").groupBy("scope").agg(F.avg(idf(F.col("df"))).alias("mean"))
     stats = sizes.join(mean, "scope", "left")
@@ -66,14 +67,17 @@ class Index:
     """Postings of a corpus in a folder, so that a query reads its own terms and no text.
 
     ``postings`` (term, scope, key, f, len, df) are sorted by term, which lets the scan skip what the query doesn't name;
-    ``scopes`` has a row a scope. Scores and candidates equal :func:`scores` and :func:`candidates`.
+    ``scopes`` has a row a scope; ``kept``, if columns to keep are named, a row a document with them. Scores and candidates
+    equal :func:`scores` and :func:`candidates`.
     """
 
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
 
     @classmethod
-    def build(cls, docs: DataFrame, scope: str, key: str, text: str, path: str) -> Index:
+    def build(cls, docs: DataFrame, scope: str, key: str, text: str, path: str, keep: list[str] | None = None) -> Index:
+        if keep:
+            docs.select(F.col(key).alias("key"), *keep).sort("key").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/kept")
         base = docs.select(F.coalesce(F.col(scope), F.lit("")).alias("scope"), F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
         tf = base.select("scope", "key", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("scope", "key", "len", "term").agg(F.count("*").alias("f"))
         tf.write.mode("overwrite").parquet(f"{path}/tf")
@@ -86,6 +90,10 @@ class Index:
         tf.join(df, ["scope", "term"]).repartitionByRange("term", "scope", "key").sortWithinPartitions("term").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
         return cls(docs.sparkSession, path)
 
+    def kept(self) -> DataFrame:
+        """``key`` and the columns kept of every document."""
+        return self.spark.read.parquet(f"{self.path}/kept")
+
     def candidates(self, query: str, cap: int = CAP) -> DataFrame:
         """``scope, key, bm25, shift, rank`` of the documents with a match, as :func:`candidates` gives them.
 

@@ -86,24 +86,37 @@ def cross_match(query: str, tags: Column, name: Column) -> Column:
 
 
 def live_notes(notes: DataFrame) -> DataFrame:
-    """Notes to search, each once, with ``own``, the scope whose corpus they are in."""
-    live = one_of_each(notes).where("not coalesce(archived, false)")
+    """Notes to search, each once, with ``own``, the scope whose corpus they are in, ``h1``, their title, and ``outdated``."""
+    live = one_of_each(notes).where("not coalesce(archived, false)").withColumn("h1", title(F.col("body")))
+    live = live.withColumn("outdated", F.size(F.coalesce("potentially_superseded_by", F.array().cast("array<string>"))) > 0)
     return live.withColumn("own", F.when(F.col("scope") == "project", F.coalesce("project_key", F.lit(""))).otherwise(F.lit("personal")))
 
 
+#: What a search needs of a note beside its text; an index for :func:`search` keeps these columns and ``own``.
+KEPT = ["tags", "h1", "source", "value", "_mtime_at_write", "file_mtime", "outdated"]
+
+
+def note_index(notes: DataFrame, path: str) -> bm25.Index:
+    """An index of :func:`live_notes` for :func:`search`."""
+    return bm25.Index.build(live_notes(notes), "own", "id", "body", path, ["own", *KEPT])
+
+
 def search(notes: DataFrame, events: DataFrame, query: str, project: str | None, as_of: str, k: int = 5, index: bm25.Index | None = None) -> DataFrame:
-    """``id, scope, bm25, decay, score`` of the best notes for a query, by an index of :func:`live_notes` if there is one.
+    """``id, scope, bm25, decay, score`` of the best notes for a query, by a :func:`note_index` if there is one.
 
     Personal notes and each project are scopes of their own; notes of other projects count only if close to the query,
     and less. Every note's own weight, source, supersession and decay scale its score.
     """
-    live = live_notes(notes)
-    hits = index.candidates(query) if index else bm25.candidates(bm25.scores(live, query, "own", "id", "body"))
-    joined = hits.withColumnRenamed("key", "id").join(live.drop("scope"), "id").join(recall_counts(events, as_of), "id", "left")
+    if index:  # the index has what the weights need; the notes aren't read
+        hits, live = index.candidates(query), index.kept().withColumnRenamed("key", "id")
+    else:
+        live = written(live_notes(notes).select("id", "own", *KEPT, "body"), "live")
+        hits, live = bm25.candidates(bm25.scores(live, query, "own", "id", "body")), live.drop("body")
+    joined = hits.withColumnRenamed("key", "id").join(live, "id").join(recall_counts(events, as_of), "id", "left")
     cross = (F.col("own") != "personal") & (F.col("own") != F.lit(project)) if project else F.lit(False)
-    joined = joined.where(~cross | cross_match(query, F.col("tags"), title(F.col("body"))))
+    joined = joined.where(~cross | cross_match(query, F.col("tags"), F.col("h1")))
     aged = decay(F.col("source"), F.col("_mtime_at_write"), F.col("file_mtime"), F.col("recalls"), as_of)
-    old = F.when(F.size(F.coalesce("potentially_superseded_by", F.array().cast("array<string>"))) > 0, SUPERSEDED).otherwise(1.0)
+    old = F.when(F.col("outdated"), SUPERSEDED).otherwise(1.0)
     score = (F.col("bm25") + F.col("shift")) * _weight(F.col("value"), VALUE_WEIGHT) * _weight(F.col("source"), SOURCE_WEIGHT) * old * F.when(cross, CROSS).otherwise(1.0) * aged
     out = joined.select("id", F.col("own").alias("scope"), F.round("bm25", 3).alias("bm25"), F.round(aged, 3).alias("decay"), F.round(score, 3).alias("score"))
     return out.orderBy(F.desc("score"), "id").limit(k)
