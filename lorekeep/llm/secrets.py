@@ -179,13 +179,16 @@ def _key(value: str) -> str:
     return value if len(value) <= _HEAD else f"{value[:_HEAD]}\0{len(value)}\0{hashlib.sha1(value.encode()).hexdigest()}"  # noqa: S324
 
 
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z0-9]")
+#: Characters from which on a value is looked for away from telling places.
+_ALONE = 5
+_KINDS, _LETTER = [re.compile(p) for p in (r"[0-9]", r"[a-z]", r"[A-Z]", r"[^A-Za-z0-9]")], re.compile(r"[A-Za-z0-9]")
 
 
 def _stands_alone(text: str, a: int, b: int) -> bool:
-    """Whether a value without telling context is long and mixed, and no part of a longer word. Words are of ASCII letters
-    and digits; Han characters stand beside them without a blank."""
-    return b - a >= 8 and _DIGIT.search(text, a, b) is not None and not _LETTER.match(text, a - 1 if a else len(text)) and not _LETTER.match(text, b)
+    """Whether a value without telling context isn't a plain word (of ``_ALONE`` characters or more, of two kinds at least:
+    digits, small and capital letters, others), and no part of a longer word. Words are of ASCII letters and digits; Han
+    characters stand beside them without a blank."""
+    return b - a >= _ALONE and not _LETTER.match(text, a - 1 if a else len(text)) and not _LETTER.match(text, b) and sum(k.search(text, a, b) is not None for k in _KINDS) > 1
 
 
 def _settled(text: str, told: list[tuple[int, int]], good: list[tuple[int, int]], places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -199,7 +202,7 @@ def _settled(text: str, told: list[tuple[int, int]], good: list[tuple[int, int]]
 
 
 def _spans(text: str, keys: frozenset, automaton) -> list[tuple[int, int]]:
-    """Where confirmed values stand: at telling places, and elsewhere if they are long and mixed and stand alone."""
+    """Where confirmed values stand: at telling places, and elsewhere if they stand alone."""
     told = literals(text)
     places = []
     if automaton is not None:
@@ -291,8 +294,8 @@ def confirmed(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
 
 
 _RUN = re.compile(r"[A-Za-z0-9]{4,}")
-#: The first 8 characters of a value without such a run, where it stands alone; neither it nor a run is ever the other.
-_SHORT = re.compile(r"(?<![A-Za-z0-9])(?=((?:(?![A-Za-z0-9]{4})[^ ]){8}))")
+#: The first characters of a value without such a run, where it stands alone; neither they nor a run are ever the other.
+_SHORT = re.compile(rf"(?<![A-Za-z0-9])(?=((?:(?![A-Za-z0-9]{{4}})[^ ]){{{_ALONE}}}))")
 #: Characters beside a run that make it rarer.
 _BESIDE = 4
 
@@ -304,10 +307,10 @@ def _bit(part: str) -> int:
 def _part(value: str) -> tuple[str | None, int | None]:
     """What a value is looked for by, and where in the value that begins: its longest run of letters and digits with the
     ``_BESIDE`` characters behind it, or those before it, or alone if the value has neither; without a run of 4, the first
-    8 characters. Shorter values have none, as they are found at telling places only."""
+    ``_ALONE`` characters. Shorter values have none, as they are found at telling places only."""
     m = max(_RUN.finditer(value), key=lambda m: (m.end() - m.start(), -m.start()), default=None)
     if m is None:
-        return (value[:8], 0) if len(value) >= 8 else (None, None)
+        return (value[:_ALONE], 0) if len(value) >= _ALONE else (None, None)
     a, b = m.span()
     if len(value) >= b + _BESIDE:
         return value[a : b + _BESIDE], a

@@ -147,6 +147,18 @@ def test_both_ways_agree_on_random_values(spark, monkeypatch):
     assert sorted(tuple(r) for r in S.redact(df).collect()) == masked
 
 
+def test_short_and_digitless_values_are_looked_for(spark, monkeypatch):
+    rows = [("memory", "a", 0, 'password = "k9-Zq-7x-Lm"'), ("memory", "b", 0, "password=aB-x7"), ("memory", "c", 0, "password=QwErTyUi"), ("memory", "d", 0, "password=plainword"), ("memory", "e", 0, "password=aB3!")]
+    rows += [("session", "s", 0, "saw k9-Zq-7x-Lm, aB-x7 and QwErTyUi, not plainword, aB3! or xaB-x7")]
+    df = spark.createDataFrame(rows, UNIT)
+    text = rows[-1][3]
+    want = sorted(("session", "s", 0, text.index(v)) for v in ("k9-Zq-7x-Lm", "aB-x7", "QwErTyUi"))
+    for limit in (S.AUTOMATON_BYTES, 0):
+        monkeypatch.setattr(S, "AUTOMATON_BYTES", limit)
+        got = sorted(tuple(r) for r in S.find(df).collect())
+        assert [r for r in got if r[0] == "session"] == want
+
+
 def test_a_leaked_key_in_a_thousand_records(spark):
     rows = [("session", f"s{i}", 0, f"run {i}: export AWS_KEY={'AKIA' + 'Q7ZP' * 4} and go") for i in range(1000)]
     assert S.find(spark.createDataFrame(rows, UNIT)).count() == 1000
