@@ -88,16 +88,25 @@ def order_replies(df: DataFrame, conversation: str, message: str, parent: str, t
     """
     w = Window.partitionBy("c", "m").orderBy(F.col("t").asc_nulls_last(), F.col("p").asc_nulls_last())
     nodes = df.select(F.col(conversation).alias("c"), F.col(message).alias("m"), F.col(parent).alias("p"), F.col(time).alias("t")).where("m is not null").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-    known = nodes.select("c", F.col("m").alias("p"), F.lit(True).alias("known"))
-    step = cut(nodes.join(known, ["c", "p"], "left").select("c", "m", "t", F.when(F.col("known"), F.col("p")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth")))
-    longest = step.groupBy("c").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(int(longest).bit_length()):
-        far = step.select("c", F.col("m").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        # rows that have arrived need no partner: keys of their own keep them from meeting in one task
-        rest = step.where("up is not null").join(far, ["c", "up"], "left").select("c", "m", "t", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
-        step = cut(step.where("up is null").select("c", "m", "t", "up", "depth").unionByName(rest))
-    free = numbered(step.where("up is null"), "c", [F.col("depth"), F.col("t").asc_nulls_last(), F.col("m")], "pos")
-    out = free.select("c", "m", (F.col("pos") - 1).alias("pos"), F.lit(False).alias("cyclic")).unionByName(step.where("up is not null").select("c", "m", F.lit(None).cast("int").alias("pos"), F.lit(True).alias("cyclic")))
+    # the rounds work on digests of conversation and message, together 128 bits
+    nodes = cut(nodes.select("c", "m", "t", F.xxhash64("c").alias("ch"), F.xxhash64("m").alias("mh"), F.when(F.col("p").isNotNull(), F.xxhash64("p")).alias("ph")))
+    ids = nodes.select("ch", "mh", "ph")
+    known = ids.select("ch", F.col("mh").alias("ph"), F.lit(True).alias("known"))
+    rounds = ids.groupBy("ch").agg(F.length(F.bin(F.count("*"))).alias("rounds"))  # enough for a chain of all its messages
+    step = cut(ids.join(known, ["ch", "ph"], "left").join(rounds, "ch").select("ch", "mh", F.when(F.col("known"), F.col("ph")).alias("up"), F.when(F.col("known"), 1).otherwise(0).alias("depth"), "rounds"))
+    parts = []
+    for k in range(step.agg(F.max("rounds")).first()[0] or 0):
+        parts.append(step.where(F.col("rounds") <= k))  # nothing of these conversations moves any more
+        live = step.where(F.col("rounds") > k)
+        far = live.select("ch", F.col("mh").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
+        rest = live.where("up is not null").join(far, ["ch", "up"], "left").select("ch", "mh", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), "rounds")
+        step = cut(live.where("up is null").unionByName(rest))
+    for part in parts:
+        step = step.unionByName(part)
+    placed = nodes.select("c", "m", "t", "ch", "mh").join(step.select("ch", "mh", "up", "depth"), ["ch", "mh"])
+    free = numbered(placed.where("up is null").select("c", "m", "t", "depth"), "c", [F.col("depth"), F.col("t").asc_nulls_last(), F.col("m")], "pos")
+    left = placed.where("up is not null").select("c", "m", F.lit(None).cast("int").alias("pos"), F.lit(True).alias("cyclic"))
+    out = free.select("c", "m", (F.col("pos") - 1).alias("pos"), F.lit(False).alias("cyclic")).unionByName(left)
     return out.select(F.col("c").alias(conversation), F.col("m").alias(message), "pos", "cyclic")
 
 
