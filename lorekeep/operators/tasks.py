@@ -6,7 +6,7 @@ returns the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import or_else
@@ -15,6 +15,17 @@ from lorekeep.operators.delivery import keep_first
 DAY = "0000-00-00"
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Tasks from files of one JSON object each, ``<id>.task`` if pending, with ``.in_progress`` or ``.failed`` behind it
+    otherwise; ``mtime`` is the file's. Other files and those that can't be read don't come out."""
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"), (F.unix_micros("_metadata.file_modification_time") / 1e6).alias("mtime"))
+    state = F.when(F.col("file").endswith(".task"), "pending").when(F.col("file").endswith(".task.in_progress"), "in_progress").when(F.col("file").endswith(".task.failed"), "failed")
+    # what a failed task has behind its object are remarks on the failure
+    body = F.when(state == "failed", F.regexp_replace("value", r"\n# (?:error|failed_at): [^\n]*", "")).otherwise(F.col("value"))
+    rows = files.select(F.from_json(body, "task_id string, session_id string, ide string, workspace string, project_key string, created_at string, batch_date string, prompt string").alias("t"), state.alias("status"), "mtime")
+    return rows.where("status is not null and t.task_id is not null").select("t.*", "status", "mtime")
+
+
 def one_of_each(tasks: DataFrame) -> DataFrame:
     """Tasks without repeated ids: of the rows of an id the latest, then the smallest status."""
     return keep_first(tasks, "task_id", [F.col("mtime").desc_nulls_last(), F.col("status").asc_nulls_last()])

@@ -91,7 +91,7 @@ def batch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("kv_file_scan", "SELECT key, md5(value) AS digest FROM cursor_disk_kv WHERE key LIKE 'composerData:%'")
 def kv_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key-value rows written to SQLite files, one a task, and scanned by prefix. The shared folder has to be a mounted one."""
-    folder = _folder(spark, "kv").removeprefix("file://").removeprefix("file:")
+    folder = _mounted(spark, "kv")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
@@ -110,6 +110,52 @@ def kv_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.md5("value").alias("digest"))
 
 
+def _files(rows: DataFrame, folder: str) -> None:
+    """Rows of ``name, text`` written as a file each below a mounted folder."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                path = f"{folder}/{name}"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(f"{path}.part-{uuid.uuid4().hex}", "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
+                os.replace(f.name, path)  # a task that runs again writes the same
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    rows.select("name", "text").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+def _mounted(spark: SparkSession, name: str) -> str:
+    return _folder(spark, name).removeprefix("file://").removeprefix("file:")
+
+
+@query("note_files", f"SELECT id, scope, value, source, title, len(tags) AS n_tags, CAST(row_number() OVER (PARTITION BY scope ORDER BY id) AS INT) AS place FROM (SELECT id, scope, value, source, coalesce(trim(regexp_extract(coalesce(body, ''), '(?m)^[ \\t]*#+[ \\t]*([^#\\s][^\\n\\r]*)$', 1)), '') AS title, coalesce(tags, []) AS tags FROM ({_NOTE}) WHERE scope IS NOT NULL)")
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notes as markdown files, compiled overviews among them that don't count, scanned again in the order of their paths."""
+    folder = _mounted(spark, "notes")
+    own = _notes(spark, sf_dir)
+    texts = markdown.as_texts(own.where("scope is not null"))
+    scope = own.select("id", "scope")
+    named = texts.join(scope, "id").select("id", "scope", "text")
+    made = named.select(F.concat_ws("/", "scope", F.concat("id", F.lit(".md"))).alias("name"), "text")
+    _files(made.unionByName(named.where("scope = 'project'").select(F.concat(F.lit("project/_compiled/"), "id", F.lit(".md")).alias("name"), "text")), folder)
+    rows = markdown.read_notes(spark, f"file://{folder}").select("id", "scope", "value", "source", "title", F.size("tags").cast("bigint").alias("n_tags"), "file_path")
+    return numbered(rows, "scope", [F.col("file_path")], "place").drop("file_path")
+
+
+@query("task_files", "SELECT task_id, status, coalesce(nullif(batch_date, ''), '0000-00-00') AS day, md5(prompt) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY mtime DESC NULLS LAST, status NULLS LAST) AS one_n FROM tasks WHERE task_id IS NOT NULL) WHERE one_n = 1 AND status IN ('pending', 'in_progress', 'failed')")
+def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tasks as files whose suffix tells their state, unreadable ones among them, scanned again."""
+    folder = _mounted(spark, "tasks")
+    own = tasks.one_of_each(table(spark, sf_dir, "tasks")).where("status in ('pending', 'in_progress', 'failed')")
+    body = F.to_json(F.struct("task_id", "batch_date", "created_at", "prompt"))
+    suffix = F.concat(F.lit(".task"), F.when(F.col("status") == "pending", "").otherwise(F.concat(F.lit("."), "status")))
+    rows = own.select(F.concat("task_id", suffix).alias("name"), body.alias("text"))
+    _files(rows.unionByName(spark.createDataFrame([("x.task", "{broken"), ("y.tmp", "{}")], "name string, text string")), folder)
+    return tasks.read_files(spark, f"file://{folder}").select("task_id", "status", tasks.day().alias("day"), F.md5("prompt").alias("digest"))
+
+
 _EVENTS = "SELECT ts, event, query, coalesce(len(list_filter(hits, x -> x IS NOT NULL)), 0) AS n_hits, id, path FROM recall_events WHERE event IS NOT NULL"
 
 
