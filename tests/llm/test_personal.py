@@ -1,5 +1,3 @@
-import pytest
-
 from lorekeep.llm import personal as P
 from lorekeep.llm import texts
 
@@ -62,16 +60,15 @@ def test_several_items_of_a_text(spark):
     assert [x[2] for x in got[1]] == ["Elke Torvick", "Halacre, Maeve", "ELKE O'TORVICK", "Maeve R. van der Halacre", "Elke Maeve Torvick-Halacre", "欧阳舟", "路澜舟"]
 
 
-@pytest.mark.parametrize(
-    "text",
-    [
+RESEMBLING = [
         "git clone git@git.host.example:core/x.git", "postgres://svc:pw@db-1.example:5432/app", "ssh deploy@glyph-writer-89.example", "icon@2x.png", "`@types/node@5.2.4`", "root@build-71625:/srv# ls",
         "Order no. 2026-77569-10282 and build 10.24473.3.87523", "Trace 9565490231157731 took 23 ms", "Listen on 10.37.0.12:8443, fallback 192.0.2.41", "uuid 5f0e89410-9c1b-4a7e-a14827-001143877", "status codes 200 404 502 503",
-        "The Will Return flag and the Grace Period timer", "Spring Boot, Apache Kafka and Visual Studio", "Route 53 answers", "梧桐路 607", "",
-    ],
-)
-def test_what_only_resembles(spark, text):
-    assert found(spark, [text]) == {}
+        "The Will Return flag and the Grace Period timer", "Spring Boot, Apache Kafka and Visual Studio", "Route 53 answers", "梧桐路 607", ""
+]
+
+
+def test_what_only_resembles(spark):
+    assert found(spark, RESEMBLING) == {}
 
 
 def test_unseen_parts_are_learnt_from_patterns(spark):
