@@ -240,27 +240,30 @@ def scopes(notes: DataFrame, mode: str = "auto", project: str | None = None) ->
 
 
 def resolved(notes: DataFrame, wanted: str) -> DataFrame:
-    """The one note a word stands for: with that id, personal ones before projects' and archived ones last; else the first,
-    by id, whose id or title holds it in any case."""
+    """The one note a word stands for: with that id, personal ones before projects' and archived ones last; else the newest
+    whose id or title holds it in any case."""
     low = wanted.lower()
     near = F.lower("id").contains(low) | F.lower(F.coalesce("title", F.lit(""))).contains(low)
     root = F.when(F.coalesce("archived", F.lit(False)), 2).when(F.col("scope") == "project", 1).otherwise(0)
-    return notes.where(near | (F.col("id") == wanted)).orderBy(F.when(F.col("id") == wanted, root).otherwise(3), "id").limit(1)
+    return notes.where(near | (F.col("id") == wanted)).orderBy(F.when(F.col("id") == wanted, root).otherwise(3), *newest()).limit(1)
 
 
 def remembered(texts: DataFrame, day: str) -> DataFrame:
-    """Notes that people dictate (``body, scope, project_key, tags``): redacted, with the first heading of depth one or the
-    first 30 characters as title, and a heading in front if there is none."""
+    """Notes that people dictate (``body, scope, project_key, tags``, and ``value`` if there is one): redacted, without blanks at
+    both ends. A first line that begins with ``#`` is the title, else its first 30 characters are, put in front as a heading.
+    Unknown values are medium, a project scope without a key is personal; blank texts don't come out."""
     from lorekeep.functions.cleaning import redacted
-    from lorekeep.functions.text import note_id, title
+    from lorekeep.functions.text import note_id
 
     body, _ = redacted(F.col("body"))
-    held = texts.withColumn("body", strip(body)).where("body <> ''").withColumn("h1", title(F.col("body")))
-    name = or_else(F.col("h1"), strip(F.left(F.regexp_replace("body", r"\R", " "), F.lit(30))))
+    line = F.get(F.split("body", r"\R", 2), 0)
+    held = texts.withColumn("body", strip(body)).where("body <> ''").withColumn("__headed", line.startswith("#"))
+    name = F.when(F.col("__headed"), strip(F.regexp_replace(line, r"^#+", ""))).otherwise(or_else(strip(F.left(line, F.lit(30))), F.lit("memory")))
     project = (F.col("scope") == "project") & (F.coalesce("project_key", F.lit("")) != "")
-    return held.select(
-        note_id(name, F.lit(day)).alias("id"), F.when(project, "project").otherwise("personal").alias("scope"), F.when(project, F.col("project_key")).alias("project_key"), name.alias("title"),
-        F.when(F.col("h1") != "", F.col("body")).otherwise(F.concat(F.lit("# "), name, F.lit("\n\n"), F.col("body"))).alias("body"), F.lit("manual").alias("source"), F.lit("medium").alias("value"),
+    value = F.when(F.col("value").isin("high", "medium", "low"), F.col("value")).otherwise("medium") if "value" in texts.columns else F.lit("medium")
+    return held.withColumn("__name", name).select(
+        note_id(F.col("__name"), F.lit(day)).alias("id"), F.when(project, "project").otherwise("personal").alias("scope"), F.when(project, F.col("project_key")).alias("project_key"), F.col("__name").alias("title"),
+        F.when(F.col("__headed"), F.col("body")).otherwise(F.concat(F.lit("# "), "__name", F.lit("\n\n"), "body")).alias("body"), F.lit("manual").alias("source"), value.alias("value"),
         F.lit(day).alias("created"), F.lit(day).alias("updated"), F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 6).alias("tags"),
     )
 

@@ -619,7 +619,7 @@ def scope_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.scopes(recall.one_of_each(table(spark, sf_dir, "memories")), "current_project", _PROJECT).select("id")
 
 
-@query("resolved_note", f"SELECT id, title FROM ({_NOTE}) WHERE contains(lower(id), 'decision') OR contains(lower(coalesce(title, '')), 'decision') ORDER BY id LIMIT 1")
+@query("resolved_note", f"SELECT id, title FROM ({_NOTE}) WHERE contains(lower(id), 'decision') OR contains(lower(coalesce(title, '')), 'decision') ORDER BY coalesce(nullif(updated, ''), created) DESC NULLS LAST, id LIMIT 1")
 def resolved_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.resolved(recall.one_of_each(table(spark, sf_dir, "memories")), "Decision").select("id", "title")
 
@@ -637,17 +637,20 @@ def archived_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.archived(own, own.where("value = 'low'")).select("id", F.coalesce("archived", F.lit(False)).alias("archived"))
 
 
+_SAID = f"SELECT task_id, {_stripped(_redacted_sql('prompt')[0])} AS body, project_key FROM (SELECT task_id, any_value(prompt) AS prompt, any_value(nullif(project_key, 'null')) AS project_key FROM tasks WHERE task_id IS NOT NULL GROUP BY task_id)"
+
+
 @query(
     "remembered_notes",
-    _LATEST + f""", b AS (SELECT task_id, {_stripped(_redacted_sql("coalesce(any_value(prompt), '')")[0])} AS body FROM tasks WHERE task_id IS NOT NULL GROUP BY task_id)
-SELECT count(*) AS n, sum(length(body)) AS chars FROM (SELECT DISTINCT body FROM b WHERE body <> '')""",
+    f"""WITH b AS (SELECT *, string_split_regex(body, '\\r\\n|[\\n\\x0b\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]')[1] AS line FROM ({_SAID}) WHERE body <> ''),
+t AS (SELECT *, CASE WHEN starts_with(line, '#') THEN {_stripped("regexp_replace(line, '^#+', '')")} ELSE coalesce(nullif({_stripped('left(line, 30)')}, ''), 'memory') END AS title FROM b)
+SELECT CASE WHEN coalesce(project_key, '') <> '' THEN 'project' ELSE 'personal' END AS scope, nullif(project_key, '') AS project_key, title, md5(CASE WHEN starts_with(line, '#') THEN body ELSE '# ' || title || e'\\n\\n' || body END) AS digest FROM t""",
 )
 def remembered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task prompts taken as dictated notes, counted without the headings put in front."""
-    prompts = table(spark, sf_dir, "tasks").where("task_id is not null").groupBy("task_id").agg(F.any_value("prompt").alias("body"))
-    made = notes.remembered(prompts.withColumns({"scope": F.lit("personal"), "project_key": F.lit(None).cast("string"), "tags": F.lit(None).cast("array<string>")}), "2026-07-01")
-    bare = made.select(F.when(F.col("body").startswith(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"))), F.expr("substring(body, length(title) + 5)")).otherwise(F.col("body")).alias("body")).distinct()
-    return bare.agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
+    """Task prompts taken as dictated notes."""
+    prompts = table(spark, sf_dir, "tasks").where("task_id is not null").groupBy("task_id").agg(F.any_value("prompt").alias("body"), F.any_value(F.nullif("project_key", F.lit("null"))).alias("project_key"))
+    made = notes.remembered(prompts.withColumns({"scope": F.lit("project"), "tags": F.lit(None).cast("array<string>")}), "2026-07-01")
+    return made.select("scope", "project_key", "title", F.md5("body").alias("digest"))
 
 
 _CUT = ", ".join(f"try(decode(encode(text)[1:{60_000 - i}]))" for i in range(4))
