@@ -124,3 +124,31 @@ def test_rerank_ties_and_missing_vectors(spark):
     assert sorted(got[0]) == [(1, 3, 0.7), (2, 5, 0.7), (3, 9, 0.3)]
     assert sorted(got[20]) == sorted(got[40]) == [(1, 9, 0.3), (2, 3, 0.0), (3, 5, 0.0)]
     assert recall.rerank(top.limit(0), asked).count() == 0
+
+
+def test_dictated_notes_take_their_first_line(spark):
+    said = [("## Head  \nrest", None, None, None, "high"), ("\n  first line that is longer than thirty characters\nmore", "project", "k", ["a"] * 8, "odd"), ("#\nx", "project", "", None, None), (" ", None, None, None, None), (None, None, None, None, None)]
+    rows = {r["title"]: r for r in notes.remembered(spark.createDataFrame(said, "body string, scope string, project_key string, tags array<string>, value string"), "2026-07-01").collect()}
+    assert set(rows) == {"Head", "first line that is longer than", ""}
+    assert rows["Head"]["body"] == "## Head  \nrest" and rows["Head"]["value"] == "high" and rows["Head"]["scope"] == "personal"
+    long = rows["first line that is longer than"]
+    assert long["body"].startswith("# first line that is longer than\n\nfirst line") and len(long["tags"]) == 6 and (long["scope"], long["value"]) == ("project", "medium")
+    assert rows[""]["scope"] == "personal"
+
+
+def test_a_word_stands_for_the_newest_note(spark):
+    rows = [("x", "project", "k", "Find me", "2026-01-01", None, False), ("y", "personal", None, "find ME too", "2026-01-01", "2026-03-01", True), ("z", "personal", None, None, None, None, False), ("x", "personal", None, "o", "2020-01-01", None, True), ("x", "personal", None, "own", "2020-01-01", None, False)]
+    df = spark.createDataFrame(rows, "id string, scope string, project_key string, title string, created string, updated string, archived boolean")
+    assert notes.resolved(df, "find me").first()["id"] == "y"
+    assert notes.resolved(df, "x").first()["title"] == "own"
+    assert notes.resolved(df, "nothing like it").count() == 0
+
+
+def test_task_files(spark, tmp_path):
+    (tmp_path / "a.task").write_text('{"task_id": "a", "prompt": "p\\nq"}')
+    (tmp_path / "b.task.in_progress").write_text('{"task_id": "b", "batch_date": "2026-01-01"}')
+    (tmp_path / "c.task.failed").write_text('{"task_id": "c"}\n# error: bad\n# failed_at: now\n')
+    (tmp_path / "d.task").write_text("{broken")
+    (tmp_path / "e.txt").write_text('{"task_id": "e"}')
+    got = {r["task_id"]: (r["status"], r["prompt"]) for r in tasks.read_files(spark, str(tmp_path)).where("mtime > 0").collect()}
+    assert got == {"a": ("pending", "p\nq"), "b": ("in_progress", None), "c": ("failed", None)}
