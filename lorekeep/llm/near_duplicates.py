@@ -323,7 +323,12 @@ def similar_notes(notes: DataFrame) -> DataFrame:
     links = similar_classes(classes)
     x, y = members.select(F.col("class").alias("a"), F.col("id").alias("x")), members.select(F.col("class").alias("b"), F.col("id").alias("y"))
     across = links.join(x, "a").join(y, "b").select("x", "y")
-    equal = members.alias("m").join(members.alias("n"), (F.col("m.class") == F.col("n.class")) & (F.col("m.id") < F.col("n.id"))).select(F.col("m.id").alias("x"), F.col("n.id").alias("y"))
+    # of a class of very many copies each part of the one side meets all of the other in a task of its own
+    counts = members.groupBy("class").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sized = members.join(counts, "class")
+    one = sized.select("class", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("x"))
+    other = sized.select("class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("y"))
+    equal = one.join(other, ["class", "part"]).where("x < y").select("x", "y")
     return across.unionByName(equal).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 

@@ -59,6 +59,13 @@ def test_hot_block_is_split(spark, monkeypatch):
     assert {tuple(r) for r in N.similar_notes(spark.createDataFrame(rows, NOTE)).collect()} == brute(rows)
 
 
+def test_copies_of_one_note_are_split(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 5)
+    rows = [(f"{i:03d}", None, f"the same note {'again' if i < 40 else i % 5}", None) for i in range(60)]
+    got = [tuple(r) for r in N.similar_notes(spark.createDataFrame(rows, NOTE)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
 def test_full_buckets_split_nothing(spark):
     """Buckets that many ordinary blocks share aren't taken for frequent blocks; results never depend on the counts."""
     rng = random.Random(5)
