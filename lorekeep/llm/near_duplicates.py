@@ -333,9 +333,11 @@ def similar_notes(notes: DataFrame) -> DataFrame:
 
 
 def note_groups(notes: DataFrame) -> DataFrame:
-    """``id, class_id, links``: one row of each id, its class of equal notes and the number of other classes it is near."""
+    """``id, class_id, links``: one row of each id, its class of equal notes, named by the smallest id in it, and the number of
+    other classes it is near."""
     classes, members = note_classes(notes)
     links = similar_classes(written(classes, "classes"))
     ends = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class")))
     counted = ends.groupBy("class").agg(F.count("*").alias("links"))
-    return members.join(counted, "class", "left").select("id", F.col("class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = members.groupBy("class").agg(F.min("id").alias("class_id")).join(counted, "class", "left")
+    return members.join(named, "class").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))

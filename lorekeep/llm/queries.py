@@ -62,6 +62,13 @@ n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
 m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY 1, 2)
 SELECT id_a, id_b FROM m JOIN n p ON p.id = id_a JOIN n q ON q.id = id_b WHERE common * 10 >= (p.n + q.n - common) * 7"""
 
+_GROUPS = _P3[: _P3.rindex("SELECT")] + """, k AS (SELECT id, md5(string_agg(word, ' ' ORDER BY word)) AS key FROM w GROUP BY id),
+c AS (SELECT id, min(id) OVER (PARTITION BY key) AS class_id FROM k),
+l AS (SELECT id_a, id_b FROM m JOIN n p ON p.id = id_a JOIN n q ON q.id = id_b WHERE common * 10 >= (p.n + q.n - common) * 7),
+e AS (SELECT a.class_id AS x, b.class_id AS y FROM l JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE a.class_id <> b.class_id),
+f AS (SELECT x, count(DISTINCT y) AS links FROM (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) GROUP BY x)
+SELECT c.id, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN f ON f.x = class_id"""
+
 
 @query("p2_found", _P2)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +110,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.similar_notes(table(spark, sf_dir, "memories"))
 
 
-@query("p3_groups")
+@query("p3_groups", _GROUPS)
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.note_groups(table(spark, sf_dir, "memories"))
 
