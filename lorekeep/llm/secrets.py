@@ -1,7 +1,7 @@
 """Credentials in code, settings, commands and remarks.
 
 First the corpus is indexed: every literal that stands where a credential stands (behind a key name, in a URL, behind
-an option ...) or has the form of one, with the number of records that hold it. Literals that many records share are
+an option ...), has the form of an issued one or is made up as keys are, with the number of records that hold it. Literals that many records share are
 placeholders and go, where records of near-equal text count once; references, masks and templates are none. What is left
 is confirmed: values of an issued format, however many records hold them, and rare values. Then every text is scanned again
 with an automaton of the confirmed values, so that an occurrence without any telling context is found too.
@@ -12,8 +12,11 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -81,6 +84,39 @@ _PLACES = [(hints, re.compile(p)) for hints, p in (
 )]
 _ENTRY = re.compile(r"(?:^|\s)[A-Za-z0-9.\-]+:\d{2,5}:[A-Za-z0-9_*]+:[A-Za-z0-9_]+:([^\s\u4e00-\u9fff]+)")
 
+# Strings without any telling place that are made up as keys are, and what such strings are public behind.
+_STRUCTURED = re.compile(r"(?<![A-Za-z0-9+/_\-=.~@#$%^&*:\\])[A-Za-z0-9_\-+/]{24,88}={0,2}(?![A-Za-z0-9+/_\-=.@:(])")
+_PUBLIC = re.compile(r"(?:base64,|sha-?\d{1,3}[-:=]|ssh-[\w-]+\s|ecdsa-[\w-]+\s|(?:integrity|fingerprint|checksum|digest|etag|nonce|signature|thumbprint)\W{0,5})\s*$", re.I)
+_ARMOUR = re.compile(r"-----BEGIN [^-\n]*-----[\s\S]*?(?:-----END|\Z)")
+#: Least information a character, and least share of neighbours of different kinds, of such a string.
+_INFORMATION, _CHANGES = 4.0, 0.45
+
+
+def _kind(c: str) -> int:
+    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+
+
+def _made_up(value: str) -> bool:
+    """Whether a string has the make-up of a key: all kinds of characters, as evenly spread as if drawn, and often changing."""
+    if value.startswith("AAAA"):  # public key material
+        return False
+    kinds = [_kind(c) for c in value]
+    if not {0, 1, 2} <= set(kinds) or sum(a != b for a, b in pairwise(kinds)) < _CHANGES * (len(value) - 1):
+        return False
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values()) >= _INFORMATION
+
+
+def _structured(text: str) -> list[tuple[int, int, bool]]:
+    out, armour = [], None
+    for m in _STRUCTURED.finditer(text):
+        a, b = m.span()
+        if _made_up(m.group()) and not _PUBLIC.search(text[max(0, a - 40) : a]):
+            armour = [x.span() for x in _ARMOUR.finditer(text)] if armour is None else armour
+            if all(b <= x or a >= y for x, y in armour):
+                out.append((a, b, False))
+    return out
+
+
 _ISSUED_HINTS = ("akia", "asia", "sk-", "k_live_", "k_test_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "aiza", "eyj")
 _KEY_HINTS = ("passw", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey", "private_key", "private-key", "privatekey", "auth_key", "auth-key", "authkey", "credential", "pass", "private key-----")
 
@@ -155,6 +191,7 @@ def literals(text: str) -> list[tuple[int, int, bool]]:
                 found.append((a, b, False))
     if low.count(":") >= 4:
         found += [(*m.span(1), False) for m in _ENTRY.finditer(text)]
+    found += _structured(text)
     out: list[tuple[int, int, bool]] = []
     for a, b, issued in sorted(found, key=lambda x: (not x[2], x[0], -x[1])):
         value = text[a:b]

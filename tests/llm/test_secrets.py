@@ -159,6 +159,14 @@ def test_short_and_digitless_values_are_looked_for(spark, monkeypatch):
         assert [r for r in got if r[0] == "session"] == want
 
 
+def test_structured_values_that_nothing_tells(spark):
+    key, public = "q7Zt2XbL9pVw4KcR8mNy3HgD", "Hq7Zt2Xb+L9pVw4KcR/8mNy3HgDq7Zt2XbL9pVw4KcR8mNy3Hg=="
+    rows = [("memory", "a", 0, f"we still use {key} there"), ("task", "b", 0, f"改成{key}再试")]
+    rows += [("task", f"p{i}", 0, t) for i, t in enumerate([f'"integrity": "sha512-{public}"', f"data:image/png;base64,{public}", f"-----BEGIN CERTIFICATE-----\n{public}\n-----END CERTIFICATE-----", "ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAq7Zt2XbL9pVw4KcR me", "see JuniperThistlePoolManagerFactory2Impl", "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "id 4702e9a9-81f3-4c8c-aadf-065bfde4b428", "lib/prism/krill_syncer_window2Handler.kt"])]
+    df = spark.createDataFrame(rows, UNIT)
+    assert {tuple(r) for r in S.find(df).collect()} == {("memory", "a", 0, 13), ("task", "b", 0, 2)}
+
+
 def test_a_leaked_key_in_a_thousand_records(spark):
     rows = [("session", f"s{i}", 0, f"run {i}: export AWS_KEY={'AKIA' + 'Q7ZP' * 4} and go") for i in range(1000)]
     assert S.find(spark.createDataFrame(rows, UNIT)).count() == 1000
