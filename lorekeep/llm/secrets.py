@@ -37,6 +37,8 @@ _HASHES = 16
 AUTOMATON_BYTES = 4 << 20
 #: Bits of the map of values' runs; its size doesn't depend on the data.
 _BITS = 1 << 24
+#: Parts of texts of which a task remembers whether the map has them.
+_REMEMBERED = 200_000
 PLACEHOLDER = "<SECRET>"
 
 # Values of an issued format, wherever they stand.
@@ -419,16 +421,25 @@ def _by_join(texts: DataFrame, keys: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast({r["n"]: bytes(r["m"]) for r in maps})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = shared.value
+        maps, told = shared.value, {}
+
+        def may(part: str) -> bool:
+            hit = told.get(part)
+            if hit is None:
+                bit = _bit(part)
+                own = maps.get(bit // 32768)
+                hit = bool(own and own[bit % 32768 // 8] >> bit % 8 & 1)
+                if len(told) < _REMEMBERED:
+                    told[part] = hit
+            return hit
+
         for b in batches:
             rows, starts, ends, values = [], [], [], []
             for i, text in enumerate(b.column(3).to_pylist()):
                 for x, y, _ in literals(text):
                     rows.append(i), starts.append(x), ends.append(y), values.append(_key(text[x:y]))
                 for x, part in _parts(text):
-                    bit = _bit(part)
-                    own = maps.get(bit // 32768)
-                    if own and own[bit % 32768 // 8] >> bit % 8 & 1:
+                    if may(part):
                         rows.append(i), starts.append(x), ends.append(-1), values.append(part)
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(3)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(values, pa.string())], names=[*_UNIT, "start", "end", "value"])
