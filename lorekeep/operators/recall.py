@@ -101,8 +101,9 @@ def note_index(notes: DataFrame, path: str) -> bm25.Index:
     return bm25.Index.build(live_notes(notes), "own", "id", "body", path, ["own", *KEPT])
 
 
-def search(notes: DataFrame, events: DataFrame, query: str, project: str | None, as_of: str, k: int = 5, index: bm25.Index | None = None) -> DataFrame:
-    """``id, scope, bm25, decay, score`` of the best notes for a query, by a :func:`note_index` if there is one.
+def search(notes: DataFrame, events: DataFrame, query: str, project: str | None, as_of: str, k: int = 5, index: bm25.Index | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """``id, scope, bm25, decay, score`` of the best notes for a query, by a :func:`note_index` if there is one, and with
+    ``counts``, a result of :func:`recall_counts` that a store keeps for a while, instead of counting the events again.
 
     Personal notes and each project are scopes of their own; notes of other projects count only if close to the query,
     and less. Every note's own weight, source, supersession and decay scale its score.
@@ -112,7 +113,8 @@ def search(notes: DataFrame, events: DataFrame, query: str, project: str | None,
     else:
         live = written(live_notes(notes).select("id", "own", *KEPT, "body"), "live")
         hits, live = bm25.candidates(bm25.scores(live, query, "own", "id", "body")), live.drop("body")
-    joined = hits.withColumnRenamed("key", "id").join(live, "id").join(recall_counts(events, as_of), "id", "left")
+    counts = recall_counts(events, as_of) if counts is None else counts
+    joined = hits.withColumnRenamed("key", "id").join(live, "id").join(counts, "id", "left")
     cross = (F.col("own") != "personal") & (F.col("own") != F.lit(project)) if project else F.lit(False)
     joined = joined.where(~cross | cross_match(query, F.col("tags"), F.col("h1")))
     aged = decay(F.col("source"), F.col("_mtime_at_write"), F.col("file_mtime"), F.col("recalls"), as_of)

@@ -152,3 +152,16 @@ def test_task_files(spark, tmp_path):
     (tmp_path / "e.txt").write_text('{"task_id": "e"}')
     got = {r["task_id"]: (r["status"], r["prompt"]) for r in tasks.read_files(spark, str(tmp_path)).where("mtime > 0").collect()}
     assert got == {"a": ("pending", "p\nq"), "b": ("in_progress", None), "c": ("failed", None)}
+
+
+def test_search_by_index_and_kept_counts(spark, tmp_path):
+    from lorekeep.plans.core_queries import _PROJECT, AS_OF, NOTE_QUERY
+
+    from .oracle import DATA
+
+    memories, events = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("memories", "recall_events"))
+    want = [tuple(r) for r in recall.search(memories, events, NOTE_QUERY, _PROJECT, AS_OF, 20).collect()]
+    index = recall.note_index(memories, str(tmp_path / "i"))
+    counts = recall.recall_counts(events, AS_OF).cache()
+    assert [tuple(r) for r in recall.search(memories, events, NOTE_QUERY, _PROJECT, AS_OF, 20, index, counts).collect()] == want != []
+    assert recall.search(memories, events, "  ", None, AS_OF, 5, index).count() == 0
