@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekeep.functions.text import or_else, strip, words
+from lorekeep.operators.partners import partners, taken
 from lorekeep.session import numbered
 
 PROTECTED = ("manual", "edited")
@@ -68,36 +71,27 @@ def contexts(notes: DataFrame, overviews: DataFrame, size: int = 4096) -> DataFr
     return own.unionByName(summaries(rest, size=size))
 
 
+def _live(notes: DataFrame) -> DataFrame:
+    """What of live notes tells who meets whom: ``id, scope, p, tags, w``, and ``c`` of their creation."""
+    live = notes.where("not coalesce(archived, false) and id is not null").dropDuplicates(["id"])
+    tags = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull()), F.lower)))
+    project = F.when(F.col("scope") == "project", F.coalesce("project_key", F.lit(""))).otherwise(F.lit(""))
+    return live.select("id", "scope", project.alias("p"), tags.alias("tags"), words(F.col("title")).alias("w"), F.coalesce("created", F.lit("")).alias("c"))
+
+
 def conflicts(notes: DataFrame) -> DataFrame:
     """``id, other`` of live notes of one scope and project that share two tags or have titles alike.
 
     Exact without comparing all notes of a project: two shared tags, or a title likeness of 0.4 or more, both need a
-    shared word. For tags, the pairs of a note's tags are joined; for titles, its rarest words, as many as a likeness of
-    0.4 can't do without. Tags and words met by very many notes are what AQE's skew join splits.
+    shared word. For tags, the pairs of a note's tags are looked up; for titles, its rarest words, as many as a likeness of
+    0.4 can't do without. Notes are moved, never pairs.
     """
-    live = notes.where("not coalesce(archived, false) and id is not null").select("id", F.col("scope"), F.when(F.col("scope") == "project", F.coalesce("project_key", F.lit(""))).otherwise(F.lit("")).alias("p"), "title", "tags").dropDuplicates(["id"])
-    tags = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull()), F.lower)))
-    base = live.select("id", "scope", "p", tags.alias("tags"), words(F.col("title")).alias("w"))
-    two = F.flatten(F.transform("tags", lambda x, i: F.transform(F.slice(F.col("tags"), i + 2, F.size("tags")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    tagged = base.select("id", "scope", "p", F.explode(two).alias("k"))
-    a, b = tagged.alias("a"), tagged.alias("b")
-    same = (F.col("a.scope") == F.col("b.scope")) & (F.col("a.p") == F.col("b.p"))
-    by_tags = a.join(b, same & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-
-    each = base.select("id", "scope", "p", F.explode("w").alias("word"), F.size("w").alias("n"))
-    df = each.groupBy("scope", "p", "word").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    # alike at 0.4 means at least ceil(0.4 * n) words in common, so one of the n - ceil(0.4 * n) + 1 rarest
-    rare = each.join(df, ["scope", "p", "word"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * 2 / 5) + 1).select("id", "scope", "p", "word", "n")
-    a, b = rare.alias("a"), rare.alias("b")
-    sizes = (F.col("a.n") * 5 >= F.col("b.n") * 2) & (F.col("b.n") * 5 >= F.col("a.n") * 2)
-    met = a.join(b, same & (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & sizes).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    sets = base.select("id", "w")
-    both = met.join(sets.select(F.col("id").alias("x"), F.col("w").alias("wx")), "x").join(sets.select(F.col("id").alias("y"), F.col("w").alias("wy")), "y")
-    common = F.size(F.array_intersect("wx", "wy"))
-    by_title = both.where(common * 5 >= (F.size("wx") + F.size("wy") - common) * 2).select("x", "y")
-    pairs = by_tags.unionByName(by_title).distinct()
-    return pairs.select(F.col("x").alias("id"), F.col("y").alias("other")).unionByName(pairs.select(F.col("y").alias("id"), F.col("x").alias("other")))
+
+    def give(t: pa.Table, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([taken(t, "id", np.repeat(x, n)), taken(t, "id", y)], names=["id", "other"])
+
+    kind = notes.schema["id"].dataType.simpleString()
+    return partners(_live(notes.withColumn("created", F.lit(""))).drop("c"), f"id {kind}, other {kind}", give)
 
 
 def superseded(notes: DataFrame) -> DataFrame:
