@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorekeep.functions.text import or_else, strip, words
-from lorekeep.operators.partners import partners, taken
+from lorekeep.operators.partners import lists, partners, taken
 from lorekeep.session import numbered
 
 PROTECTED = ("manual", "edited")
@@ -96,10 +97,16 @@ def conflicts(notes: DataFrame) -> DataFrame:
 
 def superseded(notes: DataFrame) -> DataFrame:
     """``id, superseded_by``: for each note the later ones (by creation, then id) it is in conflict with, in order."""
-    order = notes.select("id", F.coalesce("created", F.lit("")).alias("c")).dropDuplicates(["id"])
-    edges = conflicts(notes).join(order, "id").join(order.select(F.col("id").alias("other"), F.col("c").alias("oc")), "other")
-    later = edges.where((F.col("oc") > F.col("c")) | ((F.col("oc") == F.col("c")) & (F.col("other") > F.col("id"))))
-    return later.groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("superseded_by"))
+
+    def later(t: pa.Table):
+        c = pc.rank(t["c"].combine_chunks(), tiebreaker="dense").to_numpy()
+        return lambda x, y: y[(c[y] > c[x]) | ((c[y] == c[x]) & (y > x))]
+
+    def give(t: pa.Table, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([taken(t, "id", x[n > 0]), lists(t, n[n > 0], y)], names=["id", "superseded_by"])
+
+    kind = notes.schema["id"].dataType.simpleString()
+    return partners(_live(notes), f"id {kind}, superseded_by array<{kind}>", give, later)
 
 
 def marked(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -40,6 +40,18 @@ def test_conflicts_as_by_brute_force(spark, data, monkeypatch, share):
     assert len(got) == len(set(got)) and set(got) == met(data) and len(got) > 200
 
 
+@pytest.mark.parametrize("share", [4096, 7])
+def test_later_partners_in_order(spark, data, monkeypatch, share):
+    monkeypatch.setattr(partners, "SHARE", share)
+    made = {r[0]: r[5] or "" for r in data}
+    want = {}
+    for a, b in sorted(met(data)):
+        if (made[b], b) > (made[a], a):
+            want.setdefault(a, []).append(b)
+    got = notes.superseded(spark.createDataFrame(data, NOTE)).collect()
+    assert len(got) == len(want) and {r["id"]: r["superseded_by"] for r in got} == want
+
+
 def exchanged_behind(df):
     """Whether anything is exchanged or joined once partners are found."""
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -49,6 +61,7 @@ def exchanged_behind(df):
 def test_pairs_are_never_exchanged(spark, data):
     df = spark.createDataFrame(data, NOTE)
     assert not exchanged_behind(notes.conflicts(df))
+    assert not exchanged_behind(notes.superseded(df))
 
 
 def test_groups_stay_whole():
