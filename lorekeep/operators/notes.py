@@ -7,11 +7,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lorekeep.functions.text import or_else, strip, words
 from lorekeep.operators.partners import lists, partners, taken
-from lorekeep.session import numbered
+from lorekeep.session import numbered, written
 
 PROTECTED = ("manual", "edited")
 TAGS, TITLE = 2, 0.40
@@ -72,12 +73,17 @@ def contexts(notes: DataFrame, overviews: DataFrame, size: int = 4096) -> DataFr
     return own.unionByName(summaries(rest, size=size))
 
 
-def _live(notes: DataFrame) -> DataFrame:
-    """What of live notes tells who meets whom: ``id, scope, p, tags, w``, and ``c`` of their creation."""
-    live = notes.where("not coalesce(archived, false) and id is not null").dropDuplicates(["id"])
+def _kept() -> list[Column]:
+    """What of a note tells whom it meets: ``scope, p, tags, w``."""
     tags = F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull()), F.lower)))
     project = F.when(F.col("scope") == "project", F.coalesce("project_key", F.lit(""))).otherwise(F.lit(""))
-    return live.select("id", "scope", project.alias("p"), tags.alias("tags"), words(F.col("title")).alias("w"), F.coalesce("created", F.lit("")).alias("c"))
+    return [F.col("scope"), project.alias("p"), tags.alias("tags"), words(F.col("title")).alias("w")]
+
+
+def _live(notes: DataFrame, *more: Column) -> DataFrame:
+    """``id, scope, p, tags, w`` of live notes, written, since they are read more than once."""
+    live = notes.where("not coalesce(archived, false) and id is not null").dropDuplicates(["id"])
+    return written(live.select("id", *_kept(), *more), "notes")
 
 
 def conflicts(notes: DataFrame) -> DataFrame:
@@ -92,7 +98,7 @@ def conflicts(notes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([taken(t, "id", np.repeat(x, n)), taken(t, "id", y)], names=["id", "other"])
 
     kind = notes.schema["id"].dataType.simpleString()
-    return partners(_live(notes.withColumn("created", F.lit(""))).drop("c"), f"id {kind}, other {kind}", give)
+    return partners(_live(notes), f"id {kind}, other {kind}", give)
 
 
 def superseded(notes: DataFrame) -> DataFrame:
@@ -106,7 +112,7 @@ def superseded(notes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([taken(t, "id", x[n > 0]), lists(t, n[n > 0], y)], names=["id", "superseded_by"])
 
     kind = notes.schema["id"].dataType.simpleString()
-    return partners(_live(notes), f"id {kind}, superseded_by array<{kind}>", give, later)
+    return partners(_live(notes, F.coalesce("created", F.lit("")).alias("c")), f"id {kind}, superseded_by array<{kind}>", give, later)
 
 
 def marked(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -115,14 +121,25 @@ def marked(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     Only pairs of a new and a stored note count; an id in both is the new one."""
     old = stored.join(incoming.select("id"), "id", "left_anti").select(*stored.columns)
     both = old.withColumn("__new", F.lit(False)).unionByName(incoming.select(*stored.columns).withColumn("__new", F.lit(True)))
-    fresh = incoming.select(F.col("id").alias("other"), F.lit(True).alias("__o")).distinct()
-    edges = conflicts(both.drop("__new")).join(incoming.select("id", F.lit(True).alias("__i")).distinct(), "id", "left").join(fresh, "other", "left")
-    ahead = edges.where("__i and __o is null").groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("__ahead"))
-    behind = edges.where("__o and __i is null").groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("__behind"))
+    kind = both.schema["id"].dataType
+    # all rows of an id, and what one of the live ones meets by; rows go with their note, so that lists are never moved
+    live = F.col("id").isNotNull() & ~F.coalesce("archived", F.lit(False))
+    one = both.groupBy("id").agg(F.first("__new").alias("fresh"), F.collect_list(F.struct(*both.columns)).alias("rows"), F.first(F.when(live, F.struct(*_kept())), ignorenulls=True).alias("by"))
+    one = written(one.select("id", "fresh", "rows", "by.*"), "notes")
+
+    def across(t: pa.Table):
+        fresh = t["fresh"].to_numpy()
+        return lambda x, y: y[fresh[y] != fresh[x]]
+
+    def give(t: pa.Table, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([taken(t, "rows", x), lists(t, n, y)], names=["rows", "__others"])
+
+    result = StructType([one.schema["rows"], StructField("__others", ArrayType(kind))])
+    found = partners(one, result, give, across, own=("rows",)).unionByName(one.where("scope is null").select("rows", F.lit(None).cast(ArrayType(kind)).alias("__others")))
+    out = found.select("__others", F.explode("rows").alias("__r")).select("__r.*", "__others")
     none = F.array().cast("array<string>")
-    out = both.join(ahead, "id", "left").join(behind, "id", "left")
-    out = out.withColumn("potential_conflicts", F.when(F.col("__new"), F.coalesce("__ahead", none)).otherwise(F.col("potential_conflicts")))
-    out = out.withColumn("potentially_superseded_by", F.when(F.col("__behind").isNotNull(), F.array_union(F.coalesce("potentially_superseded_by", none), F.col("__behind"))).otherwise(F.col("potentially_superseded_by")))
+    out = out.withColumn("potential_conflicts", F.when(F.col("__new"), F.coalesce("__others", none)).otherwise(F.col("potential_conflicts")))
+    out = out.withColumn("potentially_superseded_by", F.when(~F.col("__new") & (F.size("__others") > 0), F.array_union(F.coalesce("potentially_superseded_by", none), F.col("__others"))).otherwise(F.col("potentially_superseded_by")))
     return out.select(*stored.columns)
 
 

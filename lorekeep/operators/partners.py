@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lorekeep.session import written
 
@@ -121,15 +122,14 @@ def _partners(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
         yield x, y[y != x]
 
 
-def partners(notes: DataFrame, result: str, give: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], among: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]] | None = None, own: tuple[str, ...] = ()) -> DataFrame:
+def partners(notes: DataFrame, result: str | StructType, give: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], among: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]] | None = None, own: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the schema ``result``, made by ``give`` of a table of notes, numbers of rows in it, how many partners each of
     them has, and the partners' numbers. Partners come in the order of their ids.
 
     ``notes`` has a row for each ``id``, with ``scope`` (those without one meet none and are left out), ``p``, ``tags`` and
     ``w`` without repeats or nulls, and what ``give`` and ``among`` read; columns ``own`` are only there in rows they are
-    asked for. ``among`` makes of a table what keeps some of a row's partners.
+    asked for. It is read more than once, so it should be written. ``among`` makes of a table what keeps some of a row's partners.
     """
-    notes = written(notes, "notes")
     n = F.count("*")
     groups = notes.where("scope is not null").groupBy("scope", "p").agg(n.alias("__n"), F.least(F.ceil(n / SHARE), F.lit(MOST_SHARES)).cast("int").alias("__shares"))
     groups = written(groups.withColumn("g", F.monotonically_increasing_id()), "groups")

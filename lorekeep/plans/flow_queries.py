@@ -337,7 +337,8 @@ FROM (SELECT *, sb AS list_distinct_in_order FROM f) f LEFT JOIN g ON g.id = f.i
 )
 def incremental_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes of the last months taken into a store of the older ones."""
-    own = written(_notes(spark, sf_dir).withColumn("fresh", F.coalesce(F.expr(_CUT), F.lit(False))), "store")
+    read = _notes(spark, sf_dir).select("id", "scope", "project_key", "title", "tags", "created", "archived", "potential_conflicts", "potentially_superseded_by")
+    own = written(read.withColumn("fresh", F.coalesce(F.expr(_CUT), F.lit(False))), "store")
     out = notes.marked(own.where("not fresh").drop("fresh"), own.where("fresh").drop("fresh"))
     joined = lambda c: F.coalesce(F.array_join(c, " "), F.lit(""))
     return out.select("id", joined("potential_conflicts").alias("potential_conflicts"), joined("potentially_superseded_by").alias("superseded_by"))

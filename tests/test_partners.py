@@ -52,6 +52,25 @@ def test_later_partners_in_order(spark, data, monkeypatch, share):
     assert len(got) == len(want) and {r["id"]: r["superseded_by"] for r in got} == want
 
 
+def test_marks_as_by_brute_force(spark, data):
+    wide = NOTE + ", extra map<string,string>"
+    data = [(*r, {"k": r[0]}) for r in data] + [(None, "personal", None, "a b", ["a", "b"], None, False, None, ["z"], None)]
+    old, new = data[:250] + data[-1:], data[240:-1]
+    names = {r[0] for r in new}
+    pairs = {(a, b) for a, b in met(data) if (a in names) != (b in names)}
+    want = []
+    for r in [*[r for r in old if r[0] not in names], *new]:
+        others = sorted(b for a, b in pairs if a == r[0])
+        if r[0] in names:
+            r = (*r[:7], others, *r[8:])
+        elif others:
+            r = (*r[:8], list(dict.fromkeys([*(r[8] or []), *others])), *r[9:])
+        want.append(r)
+    df = notes.marked(spark.createDataFrame(old, wide), spark.createDataFrame(new, wide))
+    assert not exchanged_behind(df)
+    assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, want))
+
+
 def exchanged_behind(df):
     """Whether anything is exchanged or joined once partners are found."""
     plan = df._jdf.queryExecution().executedPlan().toString()
