@@ -93,3 +93,21 @@ def test_clashing_columns(spark, data):
     more = docs.withColumns({c: F.lit(0) for c in ("is_spam", "n", "h", "flagged", "perplexity")})
     wide = labels.withColumns({c: F.lit("x") for c in ("text", "__n", "n")})
     assert sorted(r[0] for r in S.stuffed_pages(more, wide).collect()) == sorted(r[0] for r in S.stuffed_pages(docs, labels).collect())
+
+
+def test_all_labelled_rows_count(spark):
+    docs = spark.range(20_500).selectExpr("id as doc_id", "'t' as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 100 as int) as is_spam")
+    assert S.labelled_pages(docs, labels).count() == 20_500
+
+
+def test_bounds_in_the_tasks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for case in range(4):
+        y = rng.random(150) < (0.3, 0.7, 0.02, 0.98)[case]
+        score = np.round(rng.normal(2, 0.4, 150) + y * rng.choice([-1.5, 1.5] if case % 2 else [0, 2], 150), 2 - case % 2)
+        df = spark.createDataFrame(list(zip(y.astype(int).tolist(), score.tolist(), strict=True)), "y int, score double")
+        assert S.bounds_of(df.repartition(5)) == pytest.approx(S.bounds(score, y), abs=0)
+    assert S.bounds_of(df.where("y = 1")) is None and S.bounds_of(df.limit(0)) is None
